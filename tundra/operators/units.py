@@ -148,7 +148,7 @@ def _automaton() -> ahocorasick.Automaton:
 
 def _edge(text: str, i: int, c: str) -> bool:
     """Whether an alias that ends in c may end beside text[i]."""
-    return not (0 <= i < len(text)) or not (c.isalpha() and text[i].isalpha() or c.isdigit() and text[i].isalnum())
+    return not (0 <= i < len(text)) or not (c.isalpha() and text[i].isalpha() or c.isdigit() and (text[i].isalnum() or text[i] in ".,"))
 
 
 @lru_cache(maxsize=200_000)

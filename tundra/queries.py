@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import badrows, nested, units
+from .operators import badrows, nested, spatial, units
 from .plans.runtime import ship_package, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,11 @@ def p5_levels(spark, d):
 @query("p5_values")
 def p5_values(spark, d):
     return nested.values_table(table(spark, d, "yaml_rec"))
+
+
+@query("p4_found")
+def p4_found(spark, d):
+    inside = spatial.points_in_regions(table(spark, d, "tract_point"), table(spark, d, "ctractpoly"))
+    tracts = table(spark, d, "ctract").select("sId", F.col("centroid.x").alias("x"), F.col("centroid.y").alias("y"))
+    near = spatial.near_pairs(tracts, "sId", "x", "y", 2.0)
+    return inside.select(F.lit("in").alias("kind"), "key_a", "key_b").unionByName(near.select(F.lit("near").alias("kind"), "key_a", "key_b"))
