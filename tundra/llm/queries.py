@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.runtime import ship_package, table
-from . import langid
+from . import langid, leakage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,3 +36,13 @@ def p8_found(spark, d):
 @query("p8_segments")
 def p8_segments(spark, d):
     return langid.segments(table(spark, d, "documents"))
+
+
+@query("p7_found")
+def p7_found(spark, d):
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
+@query("p7_spans")
+def p7_spans(spark, d):
+    return leakage.leak_spans(table(spark, d, "documents"), table(spark, d, "eval_item"))
