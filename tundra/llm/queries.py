@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.runtime import ship_package, table
-from . import langid, leakage
+from . import langid, leakage, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,3 +46,13 @@ def p7_found(spark, d):
 @query("p7_spans")
 def p7_spans(spark, d):
     return leakage.leak_spans(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
+@query("p6_pack")
+def p6_pack(spark, d):
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_capacity"))
+
+
+@query("p6_usage")
+def p6_usage(spark, d):
+    return packing.usage(packing.pack(table(spark, d, "documents"), table(spark, d, "pack_capacity")), table(spark, d, "pack_capacity"))
