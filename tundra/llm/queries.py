@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.runtime import ship_package, table
-from . import langid, leakage, packing
+from . import langid, leakage, names, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,6 +49,17 @@ def p7_spans(spark, d):
     return leakage.leak_spans(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
+@query("p3_found")
+def p3_found(spark, d):
+    return names.linked_pairs(names.resolve(table(spark, d, "test_csv_input")))
+
+
+@query("p3_classes")
+def p3_classes(spark, d):
+    c = names.resolve(table(spark, d, "test_csv_input"))
+    return c.join(c.groupBy("field_name", "class").agg(F.count(F.lit(1)).alias("n_spellings")), ["field_name", "class"])
+
+
 @query("p6_pack")
 def p6_pack(spark, d):
     return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_capacity"))
