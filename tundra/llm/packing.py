@@ -219,9 +219,16 @@ def pack(docs: DataFrame, capacities: DataFrame, id_col: str = "doc_id", text_co
         return fill(pdf, p.capacity, p.bins, p.chunks)
 
     packed = placed.groupBy("cap_id", "chunk").applyInPandas(fill_chunk, schema)
-    # full pieces each have a container of their own, numbered from the text's id, below zero
-    own = pieces.filter("full > 0").select("cap_id", "doc_id", "cap", F.explode(F.expr("sequence(0, full - 1)")).alias("piece")).select(
-        "cap_id", F.expr("-1 - (pmod(xxhash64(doc_id, piece), 4611686018427387904L))").alias("container_id"), F.lit(0).alias("position"), "doc_id", "piece", F.col("cap").alias("n_tokens"), F.lit(0).cast("bigint").alias("start"),
+    # full pieces each have a container of their own, numbered below zero by running sums in the same buckets
+    oversize = pieces.filter("full > 0").select("cap_id", "doc_id", "cap", "full").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    totals = oversize.groupBy("cap_id", "bucket").agg(F.sum("full").alias("n")).select(
+        "cap_id", "bucket", F.coalesce(F.sum("n").over(Window.partitionBy("cap_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")
+    )
+    in_bucket = Window.partitionBy("cap_id", "bucket").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    own = (
+        oversize.withColumn("inside", F.coalesce(F.sum("full").over(in_bucket), F.lit(0))).join(totals, ["cap_id", "bucket"])
+        .select("cap_id", "doc_id", "cap", (F.col("before") + F.col("inside")).alias("first"), F.explode(F.expr("sequence(0L, full - 1)")).alias("piece"))
+        .select("cap_id", (-1 - F.col("first") - F.col("piece")).alias("container_id"), F.lit(0).alias("position"), "doc_id", "piece", F.col("cap").alias("n_tokens"), F.lit(0).cast("bigint").alias("start"))
     )
     return packed.unionByName(own)
 
