@@ -1,4 +1,7 @@
-"""Registry of the core queries and of the SQL they are compared with."""
+"""Registry of the core queries and of the SQL they are compared with.
+
+Every query runs over its whole tables. Doubles are rounded in both forms, as sums of doubles depend on their order.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import badrows, nested, spatial, units
+from .functions import bitset, casts, mercator, polygon, records, softmax
+from .operators import accum, badrows, boxes, hierarchy, histogram, kvstore, nested, notes, spatial, timed, tracts, units
 from .plans.runtime import ship_package, table
+from .sources import csvtext, kvp, ogr, packed, yamlfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,6 +36,14 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded; -0.0 becomes 0.0."""
+    return df.select([(F.round(F.col(f"`{c}`"), digits) + F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+# ---------------------------------------------------------------- problems 1, 2, 4, 5
+
+
 @query("p1_found")
 def p1_found(spark, d):
     return units.misrecorded(table(spark, d, "test_csv_input"), table(spark, d, "cost_rate"))
@@ -51,6 +64,14 @@ def p2_loaded(spark, d):
     return badrows.loaded(table(spark, d, "csv_line"))
 
 
+@query("p4_found")
+def p4_found(spark, d):
+    inside = spatial.points_in_regions(table(spark, d, "tract_point"), table(spark, d, "ctractpoly"))
+    centroids = table(spark, d, "ctract").select("sId", F.col("centroid.x").alias("x"), F.col("centroid.y").alias("y"))
+    near = spatial.near_pairs(centroids, "sId", "x", "y", 2.0)
+    return inside.select(F.lit("in").alias("kind"), "key_a", "key_b").unionByName(near.select(F.lit("near").alias("kind"), "key_a", "key_b"))
+
+
 @query("p5_found")
 def p5_found(spark, d):
     return nested.objects_table(table(spark, d, "yaml_rec"))
@@ -66,9 +87,813 @@ def p5_values(spark, d):
     return nested.values_table(table(spark, d, "yaml_rec"))
 
 
-@query("p4_found")
-def p4_found(spark, d):
-    inside = spatial.points_in_regions(table(spark, d, "tract_point"), table(spark, d, "ctractpoly"))
-    tracts = table(spark, d, "ctract").select("sId", F.col("centroid.x").alias("x"), F.col("centroid.y").alias("y"))
-    near = spatial.near_pairs(tracts, "sId", "x", "y", 2.0)
-    return inside.select(F.lit("in").alias("kind"), "key_a", "key_b").unionByName(near.select(F.lit("near").alias("kind"), "key_a", "key_b"))
+# ---------------------------------------------------------------- accumulators
+
+_NTH = "list_sort(list({x}))[CAST(floor({k} * count({x}) / {d}) AS BIGINT) + 1]"
+
+
+def _nth(x: str, k: int, d: int) -> str:
+    return _NTH.format(x=x, k=k, d=d)
+
+
+@query(
+    "accum_by_flag",
+    f"""SELECT l_returnflag, count(l_quantity) AS count, round(avg(l_quantity), 6) AS mean, round(coalesce(stddev_samp(l_quantity), 0), 6) AS stdv, min(l_quantity) AS min, max(l_quantity) AS max,
+    {_nth('l_quantity', 1, 2)} AS median, {_nth('l_quantity', 1, 4)} AS q1, {_nth('l_quantity', 3, 4)} AS q3 FROM lineitem GROUP BY l_returnflag""",
+)
+def accum_by_flag(spark, d):
+    return rounded(accum.accumulate(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity"))
+
+
+@query(
+    "statval_by_flag",
+    "SELECT l_returnflag, round(sum(l_extendedprice), 2) AS sum, count(l_extendedprice) AS count, min(l_extendedprice) AS min, max(l_extendedprice) AS max, round(sum(l_extendedprice) / count(l_extendedprice), 4) AS mean FROM lineitem GROUP BY l_returnflag",
+)
+def statval_by_flag(spark, d):
+    # accumulated by ship mode of status first, then merged: the same as all at once
+    part = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(accum.stat_val(F.col("l_extendedprice")).alias("s"))
+    merged = part.groupBy("l_returnflag").agg(accum.merge_stat_vals(F.col("s")).alias("s"))
+    return merged.select("l_returnflag", F.round("s.sum", 2).alias("sum"), "s.count", "s.min", "s.max", F.round(accum.stat_mean(F.col("s")), 4).alias("mean"))
+
+
+@query("accum_histogram", "SELECT l_returnflag, l_quantity AS value, count(*) AS n FROM lineitem GROUP BY ALL")
+def accum_histogram(spark, d):
+    return accum.value_histogram(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity")
+
+
+@query(
+    "accum_price_order_statistics",
+    f"SELECT l_linestatus, {_nth('l_extendedprice', 1, 4)} AS q1, {_nth('l_extendedprice', 1, 2)} AS median, {_nth('l_extendedprice', 3, 4)} AS q3 FROM lineitem GROUP BY l_linestatus",
+)
+def accum_price_order_statistics(spark, d):
+    return accum.order_statistics(table(spark, d, "lineitem"), ["l_linestatus"], "l_extendedprice")
+
+
+@query(
+    "tag_aware_views",
+    f"""SELECT event_type, round(avg(value), 6) AS v_ave, round(coalesce(stddev_samp(value), 0), 6) AS v_stdv, min(value) AS v_min, max(value) AS v_max, {_nth('value', 1, 2)} AS v_median, count(value) AS v_count,
+    round(avg(user_id), 6) AS u_ave, round(coalesce(stddev_samp(user_id), 0), 6) AS u_stdv, min(user_id)::DOUBLE AS u_min, max(user_id)::DOUBLE AS u_max, {_nth('user_id', 1, 2)}::DOUBLE AS u_median, count(user_id) AS u_count FROM events GROUP BY event_type""",
+)
+def tag_aware_views(spark, d):
+    tags = {"_ave": "mean", "_stdv": "stdv", "_min": "min", "_max": "max", "_median": "median", "_count": "count"}
+    e = table(spark, d, "events").withColumn("user_id", F.col("user_id").cast("double"))
+    return rounded(accum.tag_aware(e, ["event_type"], {"v": "value", "u": "user_id"}, tags))
+
+
+@query("accum_render", "SELECT event_type, printf('%.3f+-%.3f', avg(value), coalesce(stddev_samp(value), 0)) AS text FROM events GROUP BY event_type")
+def accum_render(spark, d):
+    e = table(spark, d, "events").groupBy("event_type").agg(F.avg("value").alias("m"), accum.sample_stdv(F.col("value")).alias("s"))
+    return e.select("event_type", F.format_string("%.3f+-%.3f", "m", "s").alias("text"))
+
+
+@query(
+    "multival_stats",
+    """SELECT p_brand, round(avg(p_size), 6) AS p_size_mean, round(coalesce(stddev_samp(p_size), 0), 6) AS p_size_stdv, min(p_size)::DOUBLE AS p_size_min, max(p_size)::DOUBLE AS p_size_max, count(p_size) AS p_size_count,
+    round(avg(p_retailprice), 6) AS p_retailprice_mean, round(coalesce(stddev_samp(p_retailprice), 0), 6) AS p_retailprice_stdv, min(p_retailprice) AS p_retailprice_min, max(p_retailprice) AS p_retailprice_max, count(p_retailprice) AS p_retailprice_count FROM part GROUP BY p_brand""",
+)
+def multival_stats(spark, d):
+    return rounded(accum.multi_val(table(spark, d, "part"), ["p_brand"], ["p_size", "p_retailprice"]))
+
+
+@query(
+    "multival_merge",
+    "SELECT 'all' AS scope, count(*) AS n, round(sum(v), 2) AS total FROM (SELECT s_acctbal AS v FROM supplier UNION ALL SELECT c_acctbal AS v FROM customer)",
+)
+def multival_merge(spark, d):
+    a = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
+    b = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    return accum.merge_multi_val(a, b).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 2).alias("total")).select(F.lit("all").alias("scope"), "n", "total")
+
+
+@query(
+    "multival_columns",
+    "SELECT o_custkey, array_to_string(list(o_orderkey ORDER BY o_orderkey), ',') AS orders, array_to_string(list(o_orderstatus ORDER BY o_orderkey), ',') AS states, min_by(o_orderstatus, o_orderkey) AS first_state FROM orders GROUP BY o_custkey",
+)
+def multival_columns(spark, d):
+    o = table(spark, d, "orders").select("o_custkey", F.struct("o_orderkey", "o_orderstatus").alias("r")).groupBy("o_custkey").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    return o.select(
+        "o_custkey", F.array_join(F.transform(accum.position_list("rows", "o_orderkey"), lambda k: k.cast("string")), ",").alias("orders"),
+        F.array_join(accum.position_list("rows", "o_orderstatus"), ",").alias("states"), accum.entry("rows", 0)["o_orderstatus"].alias("first_state"),
+    )
+
+
+@query(
+    "high_water",
+    "SELECT row_id, coalesce(PowerRate, 0) AS f, coalesce(BaseCostYear, 0)::BIGINT AS i FROM test_csv_input",
+)
+def high_water(spark, d):
+    t = table(spark, d, "test_csv_input")
+    text = F.coalesce(F.col("PowerRate").cast("string"), F.lit("NA"))
+    return t.select("row_id", accum.high_water_float(text).alias("f"), accum.high_water_int(F.coalesce(F.col("BaseCostYear").cast("string"), F.lit("NA"))).alias("i"))
+
+
+# ---------------------------------------------------------------- histograms
+
+_BINS = "SELECT event_type, CAST(floor(value * (1.0 / {q})) AS BIGINT) AS bin, count(*) AS n, CAST(sum(CASE WHEN value = 0 THEN 1 ELSE 0 END) AS BIGINT) AS zeros FROM events WHERE value IS NOT NULL GROUP BY 1, 2"
+_CENTRES = """SELECT event_type, 0.0::DOUBLE AS centre, zeros AS n FROM bins WHERE bin = 0 UNION ALL SELECT event_type, {q} * 0.5 AS centre, n - zeros AS n FROM bins WHERE bin = 0
+UNION ALL SELECT event_type, bin * {q}::DOUBLE + {q} * 0.5 AS centre, n FROM bins WHERE bin <> 0"""
+
+
+@query("histo_bins", _BINS.format(q="0.5::DOUBLE"))
+def histo_bins(spark, d):
+    return histogram.build(table(spark, d, "events"), ["event_type"], "value", 0.5)
+
+
+@query(
+    "histo_quantiles",
+    f"""WITH bins AS ({_BINS.format(q='7::DOUBLE')}), c AS ({_CENTRES.format(q='7::DOUBLE')}), s AS (SELECT event_type, sum(n) AS count, sum(centre * n) / sum(n) AS mean, min(centre) AS min, max(centre) AS max FROM c GROUP BY 1),
+    r AS (SELECT c.*, s.count, s.mean, s.min, s.max, sum(n) OVER (PARTITION BY c.event_type ORDER BY centre ROWS UNBOUNDED PRECEDING) AS cum FROM c JOIN s ON c.event_type = s.event_type)
+    SELECT event_type, max(count)::BIGINT AS count, round(max(mean), 6) AS mean, round(sqrt(sum(n * (centre - mean) * (centre - mean)) / (max(count) - 1)), 6) AS stdv, min(min) AS min, max(max) AS max,
+    min(CASE WHEN cum >= floor(count / 4) THEN centre END) AS q1, min(CASE WHEN cum >= floor(count * 2 / 4) THEN centre END) AS median, min(CASE WHEN cum >= floor(count * 3 / 4) THEN centre END) AS q3 FROM r GROUP BY event_type""",
+)
+def histo_quantiles(spark, d):
+    return rounded(histogram.statistics(histogram.build(table(spark, d, "events"), ["event_type"], "value", 7.0), ["event_type"], 7.0))
+
+
+@query("histo_merge", "SELECT CAST(floor(value * 2) AS BIGINT) AS bin, count(*) AS n, CAST(sum(CASE WHEN value = 0 THEN 1 ELSE 0 END) AS BIGINT) AS zeros FROM events WHERE event_type IN ('click', 'view') GROUP BY 1")
+def histo_merge(spark, d):
+    e = table(spark, d, "events")
+    a, b = (histogram.build(e.filter(F.col("event_type") == t), [], "value", 0.5) for t in ("click", "view"))
+    return histogram.merge(a, b, [])
+
+
+@query(
+    "histo_rebin",
+    f"""WITH bins AS ({_BINS.format(q='0.5::DOUBLE')}), c AS ({_CENTRES.format(q='0.5::DOUBLE')})
+    SELECT event_type, CAST(floor(centre * 0.5) AS BIGINT) AS bin, CAST(sum(n) AS BIGINT) AS n, CAST(sum(CASE WHEN centre = 0 THEN n ELSE 0 END) AS BIGINT) AS zeros FROM c GROUP BY 1, 2""",
+)
+def histo_rebin(spark, d):
+    return histogram.rebin(histogram.build(table(spark, d, "events"), ["event_type"], "value", 0.5), ["event_type"], 0.5, 2.0)
+
+
+@query("histo_raw", f"WITH bins AS ({_BINS.format(q='50::DOUBLE')}), c AS ({_CENTRES.format(q='50::DOUBLE')}) SELECT event_type, centre AS value FROM c, unnest(range(n)) WHERE n > 0")
+def histo_raw(spark, d):
+    return histogram.raw(histogram.build(table(spark, d, "events"), ["event_type"], "value", 50.0), ["event_type"], 50.0)
+
+
+@query("histo_json", f"WITH b AS ({_BINS.format(q='20::DOUBLE')}) SELECT event_type, 20.0::DOUBLE AS quantum, bin, n, zeros FROM b")
+def histo_json(spark, d):
+    """Written as JSON and read again."""
+    bins = histogram.build(table(spark, d, "events"), ["event_type"], "value", 20.0)
+    return histogram.from_json(histogram.to_json(bins, ["event_type"], 20.0), ["event_type"])
+
+
+@query("histo_same", "SELECT DISTINCT event_type, true AS equal FROM events WHERE value IS NOT NULL")
+def histo_same(spark, d):
+    bins = histogram.build(table(spark, d, "events"), ["event_type"], "value", 20.0)
+    again = histogram.from_json(histogram.to_json(bins, ["event_type"], 20.0), ["event_type"]).drop("quantum")
+    return histogram.same(bins, again, ["event_type"])
+
+
+# ---------------------------------------------------------------- times, softmax
+
+
+@query(
+    "ts_accum",
+    "SELECT event_type, count(value) AS count, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS stdv, min(value) AS min, max(value) AS max, epoch_us(min(ts)) AS min_t, epoch_us(max(ts)) AS max_t FROM events WHERE value IS NOT NULL GROUP BY event_type",
+)
+def ts_accum(spark, d):
+    e = table(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    return rounded(timed.timed_statistics(e, ["event_type"], "value", "t").drop("max_t_end"))
+
+
+@query(
+    "softmax_group",
+    "WITH e AS (SELECT p_partkey, p_brand, exp(p_retailprice * 0.01 - max(p_retailprice * 0.01) OVER (PARTITION BY p_brand)) AS e FROM part) SELECT p_partkey, round(e / sum(e) OVER (PARTITION BY p_brand), 9) AS p FROM e",
+)
+def softmax_group(spark, d):
+    return softmax.softmax_rows(table(spark, d, "part").select("p_partkey", "p_brand", "p_retailprice"), ["p_brand"], "p_retailprice", 0.01).select("p_partkey", F.round("p", 9).alias("p"))
+
+
+@query(
+    "softmax_array",
+    """WITH u AS (SELECT vec_id, unnest(embedding)::DOUBLE * 2 AS y, generate_subscripts(embedding, 1) AS i FROM embeddings), e AS (SELECT vec_id, i, exp(y - max(y) OVER (PARTITION BY vec_id)) AS e FROM u)
+    SELECT vec_id, i::INTEGER AS i, round(e / sum(e) OVER (PARTITION BY vec_id), 9) AS p FROM e""",
+)
+def softmax_array(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.posexplode(softmax.softmax_array(F.col("embedding"), 2.0)).alias("i", "p"))
+    return e.select("vec_id", (F.col("i") + 1).cast("int").alias("i"), F.round("p", 9).alias("p"))
+
+
+# ---------------------------------------------------------------- notes
+
+_ONCE = "SELECT grp, holder, seq, min(struct_pack(op := op, note_key := note_key, num := num, str_val := str_val)) AS r FROM note_ledger GROUP BY ALL"
+_EVENTS = f"WITH o AS (SELECT grp, holder, seq, r.op AS op, r.note_key AS note_key, r.num AS num, r.str_val AS str_val FROM ({_ONCE}))"
+_GATED = f"""{_EVENTS}, g AS (SELECT *, coalesce(last_value(CASE op WHEN 'enable' THEN 1 WHEN 'disable' THEN 0 END IGNORE NULLS) OVER (PARTITION BY grp ORDER BY seq ROWS UNBOUNDED PRECEDING), 1) AS is_on FROM o),
+e AS (SELECT grp, holder, seq, op, note_key, num, str_val FROM g WHERE is_on = 1 AND op IN ('add', 'replace'))"""
+_KEPT = f"""{_GATED}, cut AS (SELECT grp, holder, note_key, max(seq) AS cut FROM e WHERE op = 'replace' GROUP BY ALL),
+k AS (SELECT e.* FROM e LEFT JOIN cut ON e.grp = cut.grp AND e.holder = cut.holder AND e.note_key = cut.note_key WHERE cut.cut IS NULL OR e.seq >= cut.cut)"""
+
+
+def _ledger(spark, d):
+    return notes.once(table(spark, d, "note_ledger").select("grp", "holder", "seq", "op", "note_key", "num", "str_val"), ["grp", "holder", "seq"])
+
+
+def _effective(spark, d):
+    return notes.effective(notes.gate(_ledger(spark, d)), ["grp", "holder"], "note_key")
+
+
+@query("notes_sum", f"{_EVENTS} SELECT grp, holder, note_key, count(*) AS n, round(sum(num), 4) AS total FROM o WHERE op = 'add' GROUP BY grp, holder, note_key")
+def notes_sum(spark, d):
+    return rounded(notes.fold(_ledger(spark, d).filter("op = 'add'"), ["grp", "holder"], "note_key", "num"), 4)
+
+
+@query("notes_gate", f"{_GATED} SELECT grp, op, count(*) AS n, round(sum(num), 2) AS total FROM e GROUP BY grp, op")
+def notes_gate(spark, d):
+    return notes.gate(_ledger(spark, d)).groupBy("grp", "op").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("num"), 2).alias("total"))
+
+
+@query("notes_replace", f"{_KEPT} SELECT grp, holder, note_key, count(*) AS n, round(sum(num), 4) AS total FROM k GROUP BY grp, holder, note_key")
+def notes_replace(spark, d):
+    return rounded(notes.fold(_effective(spark, d), ["grp", "holder"], "note_key", "num"), 4)
+
+
+@query("notes_concat", f"{_KEPT} SELECT grp, holder, note_key, string_agg(str_val, '' ORDER BY seq) AS words FROM k WHERE str_val IS NOT NULL GROUP BY grp, holder, note_key")
+def notes_concat(spark, d):
+    return notes.fold(_effective(spark, d).filter("str_val IS NOT NULL"), ["grp", "holder"], "note_key", "num", "str_val").select("grp", "holder", "note_key", "words")
+
+
+@query(
+    "notes_required",
+    f"""{_KEPT}, f AS (SELECT grp, holder, note_key, round(sum(num), 4) AS total FROM k GROUP BY ALL), w AS (SELECT grp, holder, max(CASE WHEN note_key = 'int' THEN total END) AS "int", max(CASE WHEN note_key = 'fill' THEN total END) AS fill,
+    max(CASE WHEN note_key = 'alarm' THEN total END) AS alarm, bool_or(note_key = 'int') AND bool_or(note_key = 'fill') OR bool_or(note_key = 'alarm') AS ok FROM f GROUP BY grp, holder) SELECT grp, holder, "int", fill, alarm FROM w WHERE ok""",
+)
+def notes_required(spark, d):
+    f = rounded(notes.fold(_effective(spark, d), ["grp", "holder"], "note_key", "num"), 4)
+    return notes.report(f, ["grp", "holder"], "note_key", "total", ["int", "fill", "alarm"], ["int", "fill"], ["alarm"])
+
+
+@query("notes_clear_all", f"{_EVENTS} SELECT grp, note_key, count(*) AS n FROM o WHERE op = 'add' AND regexp_matches(note_key, '^(?:f|temp)') GROUP BY ALL")
+def notes_clear_all(spark, d):
+    return notes.keep_keys(_ledger(spark, d).filter("op = 'add'"), "note_key", "f|temp").groupBy("grp", "note_key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("notes_available", f"{_EVENTS} SELECT grp, holder, array_to_string(list_sort(list(DISTINCT note_key)), ',') AS names FROM o WHERE op IN ('add', 'replace') AND note_key IS NOT NULL GROUP BY grp, holder")
+def notes_available(spark, d):
+    return notes.available(_ledger(spark, d).filter("op IN ('add', 'replace') AND note_key IS NOT NULL"), ["grp", "holder"], "note_key")
+
+
+@query("notes_lookup", f"{_EVENTS} SELECT grp, holder, count(CASE WHEN note_key = 'alarm' THEN 1 END) > 0 AS has_alarm, CASE WHEN count(CASE WHEN note_key = 'alarm' THEN 1 END) > 0 THEN round(sum(CASE WHEN note_key = 'alarm' THEN num END), 4) END AS alarm FROM o WHERE op = 'add' GROUP BY grp, holder")
+def notes_lookup(spark, d):
+    f = notes.fold(_ledger(spark, d).filter("op = 'add'"), ["grp", "holder"], "note_key", "num")
+    has = f.filter("note_key = 'alarm'").select("grp", "holder", F.lit(True).alias("has_alarm"))
+    got = notes.lookup(f, ["grp", "holder"], "note_key", "alarm", "total").join(has, ["grp", "holder"], "left")
+    return got.select("grp", "holder", F.coalesce("has_alarm", F.lit(False)).alias("has_alarm"), F.round("alarm", 4).alias("alarm"))
+
+
+@query(
+    "notes_copy_holder",
+    "SELECT holder, count(*) AS n FROM (SELECT holder FROM note_ledger UNION ALL SELECT 'hub_copy' FROM note_ledger WHERE holder = 'hub_central') GROUP BY holder",
+)
+def notes_copy_holder(spark, d):
+    n = table(spark, d, "note_ledger").select("holder", "note_id")
+    return notes.copy_holder(n, "holder", "hub_central", "hub_copy").groupBy("holder").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "notes_csv",
+    f"""{_KEPT}, f AS (SELECT grp, holder, note_key, count(*) AS n FROM k WHERE note_key IS NOT NULL GROUP BY ALL), w AS (SELECT grp, holder, max(CASE WHEN note_key = 'fill' THEN n END) AS fill, max(CASE WHEN note_key = 'int' THEN n END) AS i FROM f GROUP BY grp, holder)
+    SELECT '# notes' AS line UNION ALL SELECT 'grp,holder,fill,int' UNION ALL SELECT grp || ',' || holder || ',' || coalesce(fill::VARCHAR, 'NA') || ',' || coalesce(i::VARCHAR, 'NA') FROM w""",
+)
+def notes_csv(spark, d):
+    f = notes.fold(_effective(spark, d).filter("note_key IS NOT NULL"), ["grp", "holder"], "note_key", "num")
+    wide = notes.report(f, ["grp", "holder"], "note_key", "n", ["fill", "int"])
+    return notes.csv_lines(wide, ["grp", "holder", "fill", "int"], preamble=["# notes"]).select("line")
+
+
+# ---------------------------------------------------------------- keyed store
+
+
+def _store(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.floor("c_acctbal").cast("bigint").alias("value"))
+
+
+_STORE = "store AS (SELECT c_custkey AS key, CAST(floor(c_acctbal) AS BIGINT) AS value FROM customer)"
+_WRITES = "writes AS (SELECT o_custkey + 700 AS key, max_by(CAST(floor(o_totalprice) AS BIGINT), o_orderkey) AS value FROM orders GROUP BY 1)"
+
+
+def _writes(spark, d):
+    o = table(spark, d, "orders").select((F.col("o_custkey") + 700).alias("key"), F.floor("o_totalprice").cast("bigint").alias("value"), "o_orderkey")
+    return kvstore.last_wins(o, "key", "o_orderkey")
+
+
+@query("kv_last_wins", f"WITH {_WRITES} SELECT * FROM writes")
+def kv_last_wins(spark, d):
+    return _writes(spark, d)
+
+
+@query("kv_upsert", f"WITH {_STORE}, {_WRITES} SELECT key, value FROM writes UNION ALL SELECT key, value FROM store WHERE key NOT IN (SELECT key FROM writes)")
+def kv_upsert(spark, d):
+    return kvstore.upsert(_store(spark, d), _writes(spark, d), "key")
+
+
+@query("kv_put_all", f"WITH {_STORE}, k AS (SELECT DISTINCT o_custkey + 700 AS key FROM orders) SELECT key, CAST(-1 AS BIGINT) AS value FROM k UNION ALL SELECT key, value FROM store WHERE key NOT IN (SELECT key FROM k)")
+def kv_put_all(spark, d):
+    return kvstore.put_all(_store(spark, d), _writes(spark, d), "key", "value", -1)
+
+
+@query("kv_mget", f"WITH {_STORE}, {_WRITES} SELECT w.key, s.value FROM writes w LEFT JOIN store s ON w.key = s.key")
+def kv_mget(spark, d):
+    return kvstore.get_all(_store(spark, d), _writes(spark, d), "key")
+
+
+@query("kv_mdel", f"WITH {_STORE}, {_WRITES} SELECT * FROM store WHERE key NOT IN (SELECT key FROM writes)")
+def kv_mdel(spark, d):
+    return kvstore.delete_all(_store(spark, d), _writes(spark, d), "key")
+
+
+@query("kv_contains", f"WITH {_STORE}, {_WRITES} SELECT key, key IN (SELECT key FROM store) AS present FROM writes")
+def kv_contains(spark, d):
+    return kvstore.contains(_store(spark, d), _writes(spark, d), "key")
+
+
+@query("kv_range", f"WITH {_STORE} SELECT * FROM store WHERE key BETWEEN 100 AND 900")
+def kv_range(spark, d):
+    return kvstore.key_range(_store(spark, d), "key", 100, 900)
+
+
+@query("kv_setdefault", f"WITH {_STORE}, {_WRITES} SELECT key, value FROM store UNION ALL SELECT key, value FROM writes WHERE key NOT IN (SELECT key FROM store)")
+def kv_setdefault(spark, d):
+    return kvstore.set_default(_store(spark, d), _writes(spark, d), "key")
+
+
+@query("kv_pop", f"WITH {_STORE}, {_WRITES} SELECT key, value, key IN (SELECT key FROM writes) AS taken FROM store")
+def kv_pop(spark, d):
+    taken, left = kvstore.pop_all(_store(spark, d), _writes(spark, d), "key")
+    return taken.withColumn("taken", F.lit(True)).unionByName(left.withColumn("taken", F.lit(False)))
+
+
+@query("kv_get_and_set", f"WITH {_STORE} SELECT key, value, value * 2 + 1 AS new_value FROM store")
+def kv_get_and_set(spark, d):
+    return kvstore.get_and_set(_store(spark, d), "value", lambda v: v * 2 + 1)
+
+
+@query("kv_len", "SELECT count(*) AS n FROM customer")
+def kv_len(spark, d):
+    return _store(spark, d).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("kv_mdebit", f"WITH {_STORE}, {_WRITES} SELECT s.key, s.value AS old_value, CASE WHEN s.value < 100 THEN s.value ELSE greatest(s.value - w.value, 100) END AS new_value, CASE WHEN s.value < 100 THEN w.value ELSE greatest(100 - (s.value - w.value), 0) END AS unmet FROM store s JOIN writes w ON s.key = w.key")
+def kv_mdebit(spark, d):
+    r = _writes(spark, d).select("key", F.col("value").alias("amount"), F.lit(100).cast("bigint").alias("min_remaining"))
+    return kvstore.debit_all(_store(spark, d), r, "key")
+
+
+@query("kv_mcredit", f"WITH {_STORE}, {_WRITES} SELECT s.key, s.value AS old_value, CASE WHEN s.value > 9000 THEN s.value ELSE least(s.value + w.value, 9000) END AS new_value, CASE WHEN s.value > 9000 THEN w.value ELSE greatest((s.value + w.value) - 9000, 0) END AS unmet FROM store s JOIN writes w ON s.key = w.key")
+def kv_mcredit(spark, d):
+    r = _writes(spark, d).select("key", F.col("value").alias("amount"), F.lit(9000).cast("bigint").alias("max_remaining"))
+    return kvstore.credit_all(_store(spark, d), r, "key")
+
+
+@query(
+    "kv_pool",
+    """WITH n AS (SELECT c_custkey AS key, c_nationkey AS nation, CAST(floor(c_acctbal) AS BIGINT) AS value, greatest(5000 - CAST(floor(c_acctbal) AS BIGINT), 0) AS need FROM customer),
+    p AS (SELECT *, coalesce(sum(need) OVER (PARTITION BY nation ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev, sum(need) OVER (PARTITION BY nation) AS total FROM n)
+    SELECT key, nation, CAST(value + greatest(least(need, 60000 - prev), 0) AS BIGINT) AS new_value, CAST(greatest(60000 - total, 0) AS BIGINT) AS leftover FROM p""",
+)
+def kv_pool(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("nation"), F.floor("c_acctbal").cast("bigint").alias("value"), F.lit(5000).cast("bigint").alias("most"))
+    return kvstore.credit_from_pool(c, "key", "value", "most", 60000, ["nation"]).select("key", "nation", "new_value", "leftover")
+
+
+@query("kv_debit_note_totals", "SELECT holder AS key, CAST(coalesce(sum(num), 0) AS DOUBLE) >= 0 AS ok FROM note_ledger WHERE op = 'add' GROUP BY holder")
+def kv_debit_note_totals(spark, d):
+    return table(spark, d, "note_ledger").filter("op = 'add'").groupBy(F.col("holder").alias("key")).agg((F.coalesce(F.sum("num"), F.lit(0.0)) >= 0).alias("ok"))
+
+
+# ---------------------------------------------------------------- casts
+
+_NUM = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+@query(
+    "cast_chain",
+    r"""SELECT row_id, CASE WHEN coalesce(Year, '') = '' THEN NULL WHEN regexp_matches(Year, '^\s*[+-]?\d+\s*$') THEN TRY_CAST(Year AS BIGINT) END AS year_int,
+    CASE WHEN coalesce(Year, '') = '' THEN true ELSE regexp_matches(Year, '^\s*[+-]?\d+\s*$') END AS ok FROM test_csv_input""",
+)
+def cast_chain(spark, d):
+    s = F.col("Year")
+    chain = ["EMPTY_IS_NONE", "INT"]
+    return table(spark, d, "test_csv_input").select("row_id", casts.cast_value(s, chain, strict=False).alias("year_int"), casts.cast_ok(s, chain).alias("ok"))
+
+
+@query(
+    "cast_names",
+    """SELECT o_orderkey, CASE WHEN k >= 1 THEN k END AS positive, CASE WHEN k >= 0 THEN k END AS nonnegative, CAST(k AS DOUBLE) AS f, CASE WHEN s = '0' THEN 0 ELSE 1 END AS b, s AS text, CASE WHEN s = '' THEN 0 ELSE k END AS zero_or_int
+    FROM (SELECT o_orderkey, o_orderkey % 7 - 3 AS k, CAST(o_orderkey % 7 - 3 AS VARCHAR) AS s FROM orders)""",
+)
+def cast_names(spark, d):
+    s = F.col("s")
+    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 7 - 3).cast("string").alias("s"))
+    c = lambda *chain: casts.cast_value(s, list(chain), strict=False)
+    return o.select("o_orderkey", c("POSITIVE_INT").alias("positive"), c("NONNEGATIVE_INT").alias("nonnegative"), c("FLOAT").alias("f"), c("BOOLEAN").alias("b"), c("STRING").alias("text"), c("EMPTY_IS_ZERO", "INT").alias("zero_or_int"))
+
+
+@query(
+    "cast_bool",
+    "SELECT row_id, CASE WHEN Category IS NULL THEN 0 WHEN lower(Category) IN ('t', 'true') THEN 1 WHEN lower(Category) IN ('f', 'false') THEN 0 WHEN Category = '' THEN 0 ELSE 1 END AS b FROM test_csv_input",
+)
+def cast_bool(spark, d):
+    return table(spark, d, "test_csv_input").select("row_id", casts.cast_value(F.col("Category"), ["BOOLEAN"]).alias("b"))
+
+
+@query("safe_float", "SELECT row_id, coalesce(BaseCost, PowerRate, -1.0) AS f, coalesce(PowerRate, -2.0) AS g FROM test_csv_input")
+def safe_float(spark, d):
+    t = table(spark, d, "test_csv_input")
+    return t.select("row_id", casts.safe_float([F.col("BaseCost"), F.col("PowerRate")], -1.0).alias("f"), casts.safe_float([F.col("PowerRate")], -2.0, "NA").alias("g"))
+
+
+@query("get_float", "SELECT row_id, coalesce(BaseCost, PowerRate) AS f FROM test_csv_input")
+def get_float(spark, d):
+    return table(spark, d, "test_csv_input").select("row_id", casts.get_float(F.col("BaseCost"), F.col("PowerRate")).alias("f"))
+
+
+@query("percent", "SELECT p_partkey, round(0.01 * p_size, 9) AS share FROM part")
+def percent(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.round(casts.percent(F.concat(F.col("p_size").cast("string"), F.lit("%"))), 9).alias("share"))
+
+
+@query("listify", "SELECT row_id, CASE WHEN Make IS NULL THEN 0 ELSE 1 END AS n FROM test_csv_input")
+def listify(spark, d):
+    return table(spark, d, "test_csv_input").select("row_id", F.size(casts.listify(F.col("Make"))).alias("n"))
+
+
+# ---------------------------------------------------------------- planar geometry
+
+_RING = "SELECT poly_id, sId, polygon AS r FROM ctractpoly WHERE polygon IS NOT NULL AND len(polygon) >= 3"
+_CLOSED = f"WITH a AS ({_RING}), c AS (SELECT poly_id, sId, CASE WHEN r[1].x = r[-1].x AND r[1].y = r[-1].y THEN r ELSE list_append(r, r[1]) END AS r FROM a), e AS (SELECT poly_id, sId, r[i] AS p, r[i + 1] AS q FROM c, LATERAL (SELECT unnest(range(1, len(r))) AS i) t)"
+
+
+def _rings(spark, d):
+    t = table(spark, d, "ctractpoly").filter("polygon IS NOT NULL AND size(polygon) >= 3")
+    return t.select("poly_id", "sId", polygon.closed(F.col("polygon")).alias("r"))
+
+
+@query(
+    "poly_area",
+    f"{_CLOSED} SELECT poly_id, round(abs(sum(p.x * q.y - q.x * p.y)) / 2, 6) AS area, count(*) AS n_edges FROM e GROUP BY poly_id",
+)
+def poly_area(spark, d):
+    return _rings(spark, d).select("poly_id", F.round(polygon.area(F.col("r")), 6).alias("area"), F.size(polygon.edges(F.col("r"))).cast("bigint").alias("n_edges"))
+
+
+@query("poly_signed_area", f"{_CLOSED} SELECT poly_id, sum(p.x * q.y - q.x * p.y) > 0 AS counterclockwise FROM e GROUP BY poly_id")
+def poly_signed_area(spark, d):
+    return _rings(spark, d).select("poly_id", (polygon.signed_area(F.col("r")) > 0).alias("counterclockwise"))
+
+
+@query(
+    "poly_centroid",
+    f"{_CLOSED} SELECT poly_id, round(sum((p.x + q.x) * (p.x * q.y - q.x * p.y)) / (3 * sum(p.x * q.y - q.x * p.y)), 3) AS x, round(sum((p.y + q.y) * (p.x * q.y - q.x * p.y)) / (3 * sum(p.x * q.y - q.x * p.y)), 3) AS y FROM e GROUP BY poly_id",
+)
+def poly_centroid(spark, d):
+    c = _rings(spark, d).select("poly_id", polygon.centroid_area(F.col("r")).alias("c"))
+    return rounded(c.select("poly_id", "c.x", "c.y"), 3)
+
+
+@query(
+    "poly_extent",
+    f"WITH a AS ({_RING}) SELECT poly_id, list_min(list_transform(r, lambda p: p.x)) AS min_x, list_min(list_transform(r, lambda p: p.y)) AS min_y, list_max(list_transform(r, lambda p: p.x)) AS max_x, list_max(list_transform(r, lambda p: p.y)) AS max_y FROM a",
+)
+def poly_extent(spark, d):
+    return _rings(spark, d).select("poly_id", polygon.extent(F.col("r")).alias("e")).select("poly_id", "e.*")
+
+
+@query(
+    "tract_extent",
+    f"WITH a AS ({_RING}) SELECT sId, count(*) AS n, min(list_min(list_transform(r, lambda p: p.x))) AS min_x, min(list_min(list_transform(r, lambda p: p.y))) AS min_y, max(list_max(list_transform(r, lambda p: p.x))) AS max_x, max(list_max(list_transform(r, lambda p: p.y))) AS max_y FROM a GROUP BY sId",
+)
+def tract_extent(spark, d):
+    e = _rings(spark, d).select("sId", polygon.extent(F.col("r")).alias("e"))
+    return e.groupBy("sId").agg(F.count(F.lit(1)).alias("n"), polygon.extent_of_group(F.col("e")).alias("e")).select("sId", "n", "e.*")
+
+
+@query("tract_roll_up")
+def tract_roll_up(spark, d):
+    """Centroid and extent of each tract from its polygons minus their holes."""
+    r = tracts.roll_up(tracts.polygons(table(spark, d, "ctractpoly")))
+    return rounded(r.select("sId", "n_polys", "extent.*", F.col("centroid.x").alias("x"), F.col("centroid.y").alias("y"), F.col("centroid.area").alias("area")))
+
+
+_WINDING = "sum(CASE WHEN least(p.y, q.y) <= {y} AND {y} < greatest(p.y, q.y) AND CASE WHEN q.y > p.y THEN (q.x - p.x) * ({y} - p.y) - ({x} - p.x) * (q.y - p.y) ELSE (p.x - q.x) * ({y} - q.y) - ({x} - q.x) * (p.y - q.y) END > 0 THEN CASE WHEN q.y > p.y THEN 1 ELSE -1 END ELSE 0 END)"
+
+
+@query(
+    "pip_centroid",
+    f"""{_CLOSED}, k AS (SELECT e.*, c.centroid.x AS x, c.centroid.y AS y FROM e JOIN ctractpoly c ON e.poly_id = c.poly_id WHERE c.centroid.x IS NOT NULL AND c.centroid.y IS NOT NULL)
+    SELECT poly_id, {_WINDING.format(x='x', y='y')} <> 0 AS inside FROM k GROUP BY poly_id""",
+)
+def pip_centroid(spark, d):
+    c = table(spark, d, "ctractpoly").select("poly_id", F.col("centroid.x").alias("x"), F.col("centroid.y").alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
+    return _rings(spark, d).join(c, "poly_id").select("poly_id", polygon.in_polygon(F.col("r"), F.col("x"), F.col("y")).alias("inside"))
+
+
+@query(
+    "pip_edges",
+    f"{_CLOSED} SELECT poly_id, count(*) AS n, CAST(sum(CASE WHEN q.y > p.y THEN 1 ELSE -1 END) AS BIGINT) AS turn, min(least(p.y, q.y)) AS low FROM e GROUP BY poly_id",
+)
+def pip_edges(spark, d):
+    """The oriented edge table of each ring."""
+    e = _rings(spark, d).select("poly_id", F.explode(polygon.oriented_edges(F.col("r"))).alias("e"))
+    return e.groupBy("poly_id").agg(F.count(F.lit(1)).alias("n"), F.sum("e.wn_inc").cast("bigint").alias("turn"), F.min("e.y0").alias("low"))
+
+
+_SQUARE = "(s_suppkey % 5)::DOUBLE"
+
+
+@query(
+    "rect_in_poly",
+    """WITH r AS (SELECT s_suppkey, (s_suppkey % 13 - 3)::DOUBLE AS x0, (s_suppkey % 11 - 3)::DOUBLE AS y0, (s_suppkey % 13 - 3 + s_suppkey % 3 + 0.5)::DOUBLE AS x1, (s_suppkey % 11 - 3 + s_suppkey % 4 + 0.25)::DOUBLE AS y1 FROM supplier)
+    SELECT s_suppkey, CASE WHEN (y0 >= 0 AND y0 < 10 AND (x0 < 0 AND 0 < x1 OR x0 < 10 AND 10 < x1)) OR (y1 >= 0 AND y1 < 10 AND (x0 < 0 AND 0 < x1 OR x0 < 10 AND 10 < x1))
+    OR (x0 >= 0 AND x0 < 10 AND (y0 < 0 AND 0 < y1 OR y0 < 10 AND 10 < y1)) OR (x1 >= 0 AND x1 < 10 AND (y0 < 0 AND 0 < y1 OR y0 < 10 AND 10 < y1)) THEN 'S'
+    WHEN x0 >= 0 AND x0 < 10 AND y0 >= 0 AND y0 < 10 AND x1 >= 0 AND x1 < 10 AND y1 >= 0 AND y1 < 10 THEN 'I' ELSE 'O' END AS place FROM r""",
+)
+def rect_in_poly(spark, d):
+    """Rectangles against a square of side 10."""
+    ring = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (10, 0), (10, 10), (0, 10), (0, 0))])
+    k = F.col("s_suppkey")
+    r = table(spark, d, "supplier").select(
+        "s_suppkey", (k % 13 - 3).cast("double").alias("x0"), (k % 11 - 3).cast("double").alias("y0"),
+        ((k % 13 - 3 + k % 3).cast("double") + 0.5).alias("x1"), ((k % 11 - 3 + k % 4).cast("double") + 0.25).alias("y1"),
+    )
+    return r.select("s_suppkey", polygon.rect_in_polygon(ring, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("place"))
+
+
+# ---------------------------------------------------------------- spatial joins
+
+
+def _boxes(spark, d):
+    p = table(spark, d, "ctractpoly").filter("polygon IS NOT NULL AND size(polygon) >= 3").select("poly_id", polygon.extent(F.col("polygon")).alias("e"))
+    return p.select("poly_id", F.col("e.min_x").alias("x_min"), F.col("e.max_x").alias("x_max"), F.col("e.min_y").alias("y_min"), F.col("e.max_y").alias("y_max"))
+
+
+_BOXES = "b AS (SELECT poly_id, list_min(list_transform(polygon, lambda p: p.x)) AS x_min, list_max(list_transform(polygon, lambda p: p.x)) AS x_max, list_min(list_transform(polygon, lambda p: p.y)) AS y_min, list_max(list_transform(polygon, lambda p: p.y)) AS y_max FROM ctractpoly WHERE polygon IS NOT NULL AND len(polygon) >= 3)"
+
+
+@query("box_stab", f"WITH {_BOXES} SELECT t.point_id, b.poly_id FROM tract_point t JOIN b ON t.lon BETWEEN x_min AND x_max AND t.lat BETWEEN y_min AND y_max")
+def box_stab(spark, d):
+    pts = table(spark, d, "tract_point").select("point_id", "lon", "lat")
+    return boxes.stab_join(pts, _boxes(spark, d), 0.1, "point_id", "poly_id", "lon", "lat")
+
+
+@query("box_overlap", f"WITH {_BOXES} SELECT q.poly_id AS a, b.poly_id AS b FROM b AS q JOIN b ON q.x_min <= b.x_max AND q.x_max >= b.x_min AND q.y_min <= b.y_max AND q.y_max >= b.y_min")
+def box_overlap(spark, d):
+    b = _boxes(spark, d)
+    return boxes.overlap_join(b.withColumnRenamed("poly_id", "a"), b.withColumnRenamed("poly_id", "b"), 0.1, "a", "b")
+
+
+_STATED = "q AS (SELECT DISTINCT sId, extent.min_lon AS x_min, extent.max_lon AS x_max, extent.min_lat AS y_min, extent.max_lat AS y_max FROM ctract WHERE extent IS NOT NULL)"
+
+
+@query(
+    "box_exists",
+    f"WITH {_BOXES}, {_STATED} SELECT sId, bool_or(EXISTS (SELECT 1 FROM b WHERE b.poly_id % 2 = 0 AND q.x_min <= b.x_max AND q.x_max >= b.x_min AND q.y_min <= b.y_max AND q.y_max >= b.y_min)) AS found FROM q GROUP BY sId",
+)
+def box_exists(spark, d):
+    """Stated tract extents against live boxes; boxes with an odd id are removed."""
+    q = table(spark, d, "ctract").filter("extent IS NOT NULL").select("sId", F.col("extent.min_lon").alias("x_min"), F.col("extent.max_lon").alias("x_max"), F.col("extent.min_lat").alias("y_min"), F.col("extent.max_lat").alias("y_max")).distinct()
+    b = _boxes(spark, d)
+    live = boxes.alive(boxes.remove(b.withColumn("removed", F.lit(False)), b.filter("poly_id % 2 <> 0"), "poly_id"))
+    return boxes.overlap_exists(q, live, 0.1, "sId", "poly_id")
+
+
+@query("box_find_node", f"WITH {_BOXES} SELECT b.* FROM b WHERE poly_id IN (SELECT s_suppkey FROM supplier)")
+def box_find_node(spark, d):
+    return boxes.find_node(_boxes(spark, d), table(spark, d, "supplier").select(F.col("s_suppkey").alias("poly_id")), "poly_id")
+
+
+@query("find_tract")
+def find_tract(spark, d):
+    """Tracts of each point; where it lies only in holes, those tracts."""
+    return tracts.find_tracts(table(spark, d, "tract_point"), tracts.polygons(table(spark, d, "ctractpoly")), 0.1, allow_in_holes=True)
+
+
+@query(
+    "find_tract_outer",
+    f"""{_CLOSED}, {_BOXES}, h AS (SELECT t.point_id, t.lon, t.lat, b.poly_id FROM tract_point t JOIN b ON t.lon BETWEEN x_min AND x_max AND t.lat BETWEEN y_min AND y_max WHERE t.lat BETWEEN -90 AND 90 AND t.lon BETWEEN -180 AND 180),
+    w AS (SELECT point_id, e.poly_id, e.sId, {_WINDING.format(x='h.lon', y='h.lat')} <> 0 AS inside FROM h JOIN e ON h.poly_id = e.poly_id GROUP BY ALL) SELECT DISTINCT point_id, sId FROM w WHERE inside""",
+)
+def find_tract_outer(spark, d):
+    return tracts.find_tracts(table(spark, d, "tract_point"), tracts.polygons(table(spark, d, "ctractpoly")), 0.1, ignore_holes=True)
+
+
+@query("tract_ids", "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN '01' || '002' || '9' || printf('%04.2f', s_suppkey / 100.0) WHEN 1 THEN '01' || '002' || s_suppkey::VARCHAR ELSE 'G' || s_suppkey::VARCHAR END AS tract_id FROM supplier")
+def tract_ids(spark, d):
+    k = F.col("s_suppkey").cast("string")
+    a = F.create_map(F.lit("ST"), F.lit("01"), F.lit("CO"), F.lit("002"), F.lit("TRACTBASE"), F.lit("9"), F.lit("TRACT_NAME"), F.format_string("%.2f", F.col("s_suppkey") / 100), F.lit("STATE"), F.lit("01"), F.lit("COUNTY"), F.lit("002"), F.lit("TRACT"), k, F.lit("GEOID"), F.concat(F.lit("G"), k))
+    s = table(spark, d, "supplier").select("s_suppkey", a.alias("a"))
+    by = [tracts.tract_id(v, F.col("a")) for v in (1990, 2000, 2015)]
+    return s.select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, by[0]).when(F.col("s_suppkey") % 3 == 1, by[1]).otherwise(by[2]).alias("tract_id"))
+
+
+@query("state_codes", "SELECT code::INTEGER AS code FROM (SELECT unnest(range(1, 57)) AS code UNION ALL SELECT 72) WHERE code NOT IN (3, 7, 14, 43, 52)")
+def state_codes(spark, d):
+    return spark.range(1).select(F.explode(tracts.state_codes()).alias("code"))
+
+
+# ---------------------------------------------------------------- mercator (M2-M8)
+
+
+@query(
+    "mercator_xy",
+    "SELECT point_id, round(ln(tan(pi() / 4 + radians(lat) / 2)), 9) AS y, round(degrees(2 * atan(exp(ln(tan(pi() / 4 + radians(lat) / 2)))) - pi() / 2), 4) AS back FROM tract_point WHERE abs(lat) < 85 AND lon IS NOT NULL",
+)
+def mercator_xy(spark, d):
+    y = mercator.deg_to_y(F.col("lat"))
+    t = table(spark, d, "tract_point").filter("abs(lat) < 85 AND lon IS NOT NULL")
+    return t.select("point_id", F.round(y, 9).alias("y"), F.round(mercator.y_to_deg(y), 4).alias("back"))
+
+
+_Y = "ln(tan(pi() / 4 + radians({}) / 2))"
+
+
+@query(
+    "which_pixel",
+    f"""WITH g AS (SELECT point_id, (lon + 170) / (40.0 / 800) AS x, ({_Y.format('lat')} - {_Y.format('45.0')}) / (({_Y.format('60.0')} - {_Y.format('45.0')}) / 600) AS y FROM tract_point WHERE abs(lon) <= 180 AND abs(lat) < 85)
+    SELECT point_id, CAST(trunc(CASE WHEN x < 0 THEN x - 1 ELSE x END) AS INTEGER) AS px, 600 - CAST(trunc(CASE WHEN y < 0 THEN y - 1 ELSE y END) AS INTEGER) - 1 AS py FROM g""",
+)
+def which_pixel(spark, d):
+    g = mercator.Grid.over((-170.0, 45.0, -130.0, 60.0), (800, 600))
+    t = table(spark, d, "tract_point").filter("abs(lon) <= 180 AND abs(lat) < 85")
+    return t.select("point_id", g.which_pixel(F.col("lon"), F.col("lat")).alias("p")).select("point_id", "p.*")
+
+
+@query(
+    "pixel_to_deg",
+    f"""WITH k AS (SELECT s_suppkey, s_suppkey % 800 AS px, s_suppkey % 600 AS py FROM supplier), a AS (SELECT *, round(-170.0 + px * (40.0 / 800), 6) AS lon, round(degrees(2 * atan(exp({_Y.format('45.0')} + (599 - py) * (({_Y.format('60.0')} - {_Y.format('45.0')}) / 600))) - pi() / 2), 6) AS lat FROM k)
+    SELECT s_suppkey, lon, lat, lat AS table_lat FROM a""",
+)
+def pixel_to_deg(spark, d):
+    g = mercator.Grid.over((-170.0, 45.0, -130.0, 60.0), (800, 600))
+    k = table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 800).alias("px"), (F.col("s_suppkey") % 600).alias("py"))
+    both = k.select("s_suppkey", g.pixel_to_deg(F.col("px"), F.col("py")).alias("a"), g.pixel_to_deg_table(F.col("px"), F.col("py")).alias("b"))
+    return rounded(both.select("s_suppkey", "a.lon", "a.lat", F.col("b.lat").alias("table_lat")))
+
+
+# ---------------------------------------------------------------- bits
+
+
+def _bits(spark, d):
+    o = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("k"), (F.col("o_orderkey") % 100).cast("int").alias("i"), (F.col("o_orderkey") % 3).alias("side")).distinct()
+    g = o.groupBy("k").agg(F.collect_set(F.when(F.col("side") == 0, F.col("i"))).alias("a"), F.collect_set(F.when(F.col("side") != 0, F.col("i"))).alias("b"))
+    return g.select("k", bitset.from_positions(F.col("a"), 100).alias("a"), bitset.from_positions(F.col("b"), 100).alias("b"))
+
+
+_SETS = "s AS (SELECT DISTINCT o_custkey % 50 AS k, o_orderkey % 100 AS i, o_orderkey % 3 = 0 AS side FROM orders), m AS (SELECT k, i, bool_or(side) AS a, bool_or(NOT side) AS b FROM s GROUP BY k, i)"
+
+
+@query("bitset_and_or_xor", f"WITH {_SETS} SELECT k, CAST(sum(CASE WHEN a AND b THEN 1 ELSE 0 END) AS BIGINT) AS n_and, count(*) AS n_or, CAST(sum(CASE WHEN a <> b THEN 1 ELSE 0 END) AS BIGINT) AS n_xor FROM m GROUP BY k")
+def bitset_and_or_xor(spark, d):
+    a, b = F.col("a"), F.col("b")
+    n = lambda o: bitset.count(bitset.bitwise(a, b, o)).cast("bigint")
+    return _bits(spark, d).select("k", n("and").alias("n_and"), n("or").alias("n_or"), n("xor").alias("n_xor"))
+
+
+@query("bitset_slice", f"WITH {_SETS}, g AS (SELECT DISTINCT k FROM m) SELECT g.k, string_agg(CASE WHEN coalesce(m.a, false) THEN '1' ELSE '0' END, '' ORDER BY r.i) AS bits FROM g CROSS JOIN (SELECT unnest(range(60, 70)) AS i) r LEFT JOIN m ON m.k = g.k AND m.i = r.i GROUP BY g.k")
+def bitset_slice(spark, d):
+    return _bits(spark, d).select("k", F.array_join(F.transform(bitset.test_slice(F.col("a"), 60, 70), lambda x: x.cast("string")), "").alias("bits"))
+
+
+@query("bitset_set_test", f"WITH {_SETS}, g AS (SELECT DISTINCT k FROM m) SELECT g.k, 1 AS set_bit, 0 AS cleared, CASE WHEN coalesce(bool_or(m.i = 65 AND m.a), false) THEN 1 ELSE 0 END AS other, '101' AS run FROM g LEFT JOIN m ON m.k = g.k GROUP BY g.k")
+def bitset_set_test(spark, d):
+    s = _bits(spark, d)
+    one, zero = (bitset.put(F.col("a"), F.lit(64), F.lit(v), 100) for v in (1, 0))
+    run = bitset.test_slice(bitset.put_bits(F.col("a"), 63, "0b101", 100), 63, 66)
+    return s.select("k", bitset.test(one, F.lit(64), 100).alias("set_bit"), bitset.test(zero, F.lit(64), 100).alias("cleared"), bitset.test(one, F.lit(65), 100).alias("other"), F.array_join(F.transform(run, lambda x: x.cast("string")), "").alias("run"))
+
+
+@query("bitset_insert", f"WITH {_SETS}, g AS (SELECT DISTINCT k FROM m), t AS (SELECT g.k, string_agg(CASE WHEN coalesce(m.a, false) THEN '1' ELSE '0' END, '' ORDER BY r.i) AS b FROM g CROSS JOIN (SELECT unnest(range(0, 100)) AS i) r LEFT JOIN m ON m.k = g.k AND m.i = r.i GROUP BY g.k) SELECT k, b[1:5] || '11' || b[6:] AS bits, 102 AS n FROM t")
+def bitset_insert(spark, d):
+    s = _bits(spark, d).select("k", bitset.insert(bitset.to_bits(F.col("a"), 100), 5, F.lit("11")).alias("bits"))
+    return s.select("k", "bits", F.length("bits").alias("n"))
+
+
+# ---------------------------------------------------------------- formats
+
+
+@query("csv_cells")
+def csv_cells(spark, d):
+    """Kinds of the loosely typed cells of every line that splits into 23."""
+    head = ",".join(f'"{c}"' for c in badrows.COLUMNS)
+    cells = csvtext.parse_cells(table(spark, d, "csv_line"), head, ",", carry=["line_id"], strict=False)
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`.kind").alias("kind")) for c in badrows.COLUMNS]))
+    return cells.select(each.alias("c")).groupBy("c.name", "c.kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "csv_infer",
+    """SELECT p_partkey, 'int' AS k_size, p_size::BIGINT AS size, 'float' AS k_price, p_retailprice AS price, 'str' AS k_brand, p_brand AS brand, 'pct' AS k_pct, round(0.01 * p_size, 9) AS pct, 'str' AS k_quoted, p_size::VARCHAR AS quoted FROM part""",
+)
+def csv_infer(spark, d):
+    """Lines written from a table and read again: quoted text stays text, even digits."""
+    p = table(spark, d, "part")
+    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    size = F.col("p_size").cast("string")
+    lines = p.select("p_partkey", F.concat_ws(",", size, F.concat(F.format_string("%.2f", "p_retailprice")), q(F.col("p_brand")), F.concat(size, F.lit("%")), q(size)).alias("line"))
+    c = csvtext.parse_cells(lines, '"size","price","brand","pct","quoted"', ",", carry=["p_partkey"])
+    return c.select(
+        "p_partkey", F.col("size.kind").alias("k_size"), F.col("size.i").alias("size"), F.lit("float").alias("k_price"), F.coalesce("price.f", F.col("price.i").cast("double")).alias("price"),
+        F.col("brand.kind").alias("k_brand"), F.col("brand.s").alias("brand"), F.col("pct.kind").alias("k_pct"), F.round("pct.f", 9).alias("pct"), F.col("quoted.kind").alias("k_quoted"), F.col("quoted.s").alias("quoted"),
+    )
+
+
+@query("csv_write", """SELECT 'c_custkey,c_name,c_mktsegment' AS line UNION ALL SELECT c_custkey::VARCHAR || ',' || coalesce(c_name, 'NA') || ',' || coalesce(c_mktsegment, 'NA') FROM customer""")
+def csv_write(spark, d):
+    return csvtext.render_rows(table(spark, d, "customer"), ["c_custkey", "c_name", "c_mktsegment"], sort="c_mktsegment").select("line")
+
+
+@query("csv_sort", """SELECT row_number() OVER (ORDER BY lower(s), line) AS line_no, line FROM (SELECT n_name AS s, '"' || n_name || '",' || n_regionkey AS line FROM nation) UNION ALL SELECT 0, '"n_name","n_regionkey"'""")
+def csv_sort(spark, d):
+    return csvtext.render_rows(table(spark, d, "nation"), ["n_name", "n_regionkey"], quote=True, sort="n_name")
+
+
+@query("kvp_parse", "SELECT event_id::VARCHAR AS doc_id, 'k' AS key, 'int' AS kind, regexp_extract(props, '\"k\": *([0-9]+)', 1) AS value FROM events WHERE regexp_matches(props, '\"k\": *[0-9]+')")
+def kvp_parse(spark, d):
+    """Event properties as key-value lines; later lines of a key win."""
+    k = F.regexp_extract("props", r'"k": *([0-9]+)', 1)
+    e = table(spark, d, "events").filter(F.col("props").rlike(r'"k": *[0-9]+'))
+    lines = e.select(F.col("event_id").cast("string").alias("doc_id"), F.posexplode(F.array(F.lit("# a comment"), F.lit("k = 'old' # replaced"), F.concat(F.lit("k ="), k))).alias("seq", "line"))
+    return kvp.parse_documents(lines)
+
+
+@query("kvp_round_trip", "SELECT p_partkey::VARCHAR AS doc_id, k.key, k.kind, k.value FROM part, LATERAL (SELECT unnest([{'key': 'brand', 'kind': 'str', 'value': '\"' || p_brand || '\"'}, {'key': 'size', 'kind': 'int', 'value': p_size::VARCHAR}, {'key': 'flag', 'kind': 'bool', 'value': 'true'}]) AS k)")
+def kvp_round_trip(spark, d):
+    """Written and read again."""
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), "p_brand", "p_size")
+    rows = p.select("doc_id", F.explode(F.array(
+        F.struct(F.lit("brand").alias("key"), F.lit("str").alias("kind"), F.concat(F.lit('"'), F.col("p_brand"), F.lit('"')).alias("value")),
+        F.struct(F.lit("size").alias("key"), F.lit("int").alias("kind"), F.col("p_size").cast("string").alias("value")),
+        F.struct(F.lit("flag").alias("key"), F.lit("bool").alias("kind"), F.lit("true").alias("value")),
+    )).alias("r")).select("doc_id", "r.*")
+    return kvp.parse_documents(kvp.write_lines(rows).withColumn("seq", F.lit(0)))
+
+
+@query("yaml_simplify")
+def yaml_simplify(spark, d):
+    return yamlfiles.simplify_json(table(spark, d, "yaml_rec"), "rec_id", "doc")
+
+
+@query("yaml_key_union")
+def yaml_key_union(spark, d):
+    """Top-level keys of all whole records with their counts."""
+    keys = F.explode(F.json_object_keys("doc"))
+    return table(spark, d, "yaml_rec").select(keys.alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("ogr_wkt", "SELECT s_suppkey AS id, 0::BIGINT AS feature_no, s_name AS name, 2 AS n_polys, 2 AS n_rings, s_suppkey::DOUBLE AS x0, 4 AS hole_points FROM supplier")
+def ogr_wkt(spark, d):
+    """Listings made of suppliers and parsed again."""
+    k = F.col("s_suppkey").cast("string")
+    text = F.concat(F.lit("INFO: Open\nLayer name: x OGRFeature count 1\nOGRFeature(x):0\n  NAME (String) = "), F.col("s_name"), F.lit("\n  MULTIPOLYGON ((("), k, F.lit(" 0,9 0,9 9,0 9),(1 1,2 1,2 2,1 1)),((20 20,21 20,21 21,20 20)))\n"))
+    f = ogr.parse_features(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), text.alias("text")), "text", ["id"], discard_inner=False)
+    p = F.col("polygons")
+    return f.select("id", F.col("feature_no").cast("bigint").alias("feature_no"), F.element_at("attrs", "NAME").alias("name"), F.size(p).alias("n_polys"), F.size(p[0]).alias("n_rings"), p[0][0][0]["x"].alias("x0"), F.size(p[0][1]).alias("hole_points"))
+
+
+@query("multival_pack", "SELECT p_brand, count(*) AS n, CAST(round(sum(p_size)) AS BIGINT) AS total FROM part GROUP BY p_brand")
+def multival_pack(spark, d):
+    """Packed as 32-bit floats with their names and unpacked."""
+    rows = table(spark, d, "part").groupBy("p_brand").agg(F.collect_list(F.array(F.col("p_partkey").cast("double"), F.col("p_size").cast("double"))).alias("r"))
+    u = rows.select("p_brand", packed.unpack_named(packed.pack_named(F.col("r"), ["p_partkey", "p_size"])).alias("u"))
+    r = u.select("p_brand", F.explode("u.rows").alias("r"))
+    return r.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("r")[1])).cast("bigint").alias("total"))
+
+
+# ---------------------------------------------------------------- hierarchy, records, text
+
+
+@query(
+    "hierarchy_closure",
+    """WITH RECURSIVE l AS (SELECT doc_id, parent_id FROM documents WHERE doc_id IS NOT NULL AND parent_id IS NOT NULL), n AS (SELECT doc_id AS node FROM l UNION SELECT parent_id FROM l),
+    r AS (SELECT node, node AS ancestor FROM n UNION SELECT r.node, l.parent_id FROM r JOIN l ON r.ancestor = l.doc_id) SELECT node, count(*) AS n_ancestors, min(ancestor) AS first FROM r GROUP BY node""",
+)
+def hierarchy_closure(spark, d):
+    """Posts and all posts above them."""
+    c = hierarchy.closure(table(spark, d, "documents"), "doc_id", "parent_id")
+    return c.groupBy("node").agg(F.count(F.lit(1)).alias("n_ancestors"), F.min("ancestor").alias("first"))
+
+
+@query("hierarchy_is_instance", "SELECT n_name AS node, r_name AS ancestor, n_regionkey = r_regionkey AS is_instance FROM nation, region")
+def hierarchy_is_instance(spark, d):
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    links = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("c"), F.col("r_name").alias("p"))
+    asked = n.select(F.col("n_name").alias("node"), F.explode(F.array(*[F.lit(x[0]) for x in r.select("r_name").limit(100).collect()])).alias("ancestor"))
+    return hierarchy.is_instance(asked, hierarchy.closure(links, "c", "p"))
+
+
+@query("enum_decode", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 WHEN 'P' THEN 2 END AS code, 'Order(status=' || o_orderstatus || ', key=' || o_orderkey || ', pri=''' || o_orderpriority || ''')' AS text FROM orders")
+def enum_decode(spark, d):
+    status = records.Enum("F", "O", "P")
+    o = table(spark, d, "orders").select("o_orderkey", records.record(status=status.number(F.col("o_orderstatus")), key=F.col("o_orderkey"), pri=F.col("o_orderpriority")).alias("r"))
+    return o.select("o_orderkey", F.col("r.status").alias("code"), records.record_text("Order", F.col("r"), {"status": status, "key": "bigint", "pri": "string"}).alias("text"))
+
+
+@query("default_dict", "SELECT c_custkey, coalesce(CASE c_mktsegment WHEN 'BUILDING' THEN 'b' WHEN 'MACHINERY' THEN 'm' END, lower(c_mktsegment)) AS code FROM customer")
+def default_dict(spark, d):
+    m = F.create_map(F.lit("BUILDING"), F.lit("b"), F.lit("MACHINERY"), F.lit("m"))
+    return table(spark, d, "customer").select("c_custkey", records.with_default(m, F.col("c_mktsegment"), F.lower).alias("code"))
+
+
+@query("key_union", "SELECT key, count(*) AS n FROM (SELECT unnest(['name', 'abbrev']) AS key UNION SELECT unnest(['abbrev', 'size'])) GROUP BY key")
+def key_union(spark, d):
+    return spark.range(1).select(F.explode(F.array_union(F.array(F.lit("name"), F.lit("abbrev")), F.array(F.lit("abbrev"), F.lit("size")))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
