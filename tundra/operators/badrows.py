@@ -4,7 +4,7 @@ Each line is one record. A partition is parsed by Python's strict csv reader ins
 one pass over the input); structural errors are caught before the typed field constructors run.
 
 Defined results
-    null or blank lines (also with a carriage return or byte order mark) and header lines give no row;
+    lines without an id are left out; null or blank lines (also with a carriage return or byte order mark) and header lines give no row;
     ``reason`` is null for a good row, else the first that holds of 'quoting', 'columns', 'value';
     typed columns of a rejected row are null; repeated lines give repeated rows; an empty table gives none;
     other columns of the input are ignored, so names may clash.
@@ -156,7 +156,7 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def parse_records(lines: DataFrame, id_col: str = "line_id", line_col: str = "line") -> DataFrame:
     """Every record of ``lines`` as typed columns plus ``reason`` (null: loaded)."""
-    return lines.select(F.col(id_col).cast("bigint").alias("line_id"), F.col(line_col).cast("string").alias("line")).mapInPandas(_parse_batches, SCHEMA)
+    return lines.select(F.col(id_col).cast("bigint").alias("line_id"), F.col(line_col).cast("string").alias("line")).filter("line_id IS NOT NULL").mapInPandas(_parse_batches, SCHEMA)
 
 
 def _reason_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,7 +167,7 @@ def _reason_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def rejected(lines: DataFrame, id_col: str = "line_id", line_col: str = "line") -> DataFrame:
     """Only the rejected lines with their reason; the same parser, without building the typed columns."""
-    return lines.select(F.col(id_col).cast("bigint").alias("line_id"), F.col(line_col).cast("string").alias("line")).mapInPandas(_reason_batches, "line_id bigint, reason string")
+    return lines.select(F.col(id_col).cast("bigint").alias("line_id"), F.col(line_col).cast("string").alias("line")).filter("line_id IS NOT NULL").mapInPandas(_reason_batches, "line_id bigint, reason string")
 
 
 def loaded(lines: DataFrame, **cols: str) -> DataFrame:

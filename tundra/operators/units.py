@@ -7,7 +7,7 @@ factors are built here, the rates are a fixed table whose size is checked by Cat
 otherwise). The only shuffle is one small pre-aggregated median for each kind of equipment.
 
 Defined results
-    no figure, no known kind of equipment or no unit told anywhere: ``value`` is null and the row is no case;
+    rows without an id are left out; no figure, no known kind of equipment or no unit told anywhere: ``value`` is null and the row is no case;
     a unit column wins over text; in text the figure is the number right before the unit;
     NaN figures count as missing; repeated rows give rows each; an empty table gives none.
 """
@@ -280,7 +280,7 @@ def read_figures(rows: DataFrame) -> DataFrame:
         F.col("row_id").cast("bigint").alias("row_id"), "Energy", F.col("PowerRate").cast("double"), "PowerRateUnits",
         F.col("BaseCost").cast("double"), "BaseCostCur", F.col("BaseCostYear").cast("int"), "Notes",
     )
-    got = src.mapInPandas(_read_batches, READ)
+    got = src.filter("row_id IS NOT NULL").mapInPandas(_read_batches, READ)
     return got.select([F.when(~F.isnan(c), F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in got.dtypes])
 
 
