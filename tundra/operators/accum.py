@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.runtime import checkpoint
+
 BUCKETS = 128
 #: integer ranks (k, d): the value at position k*n // d of the sorted values
 RANKS = {"q1": (1, 4), "median": (1, 2), "q3": (3, 4)}
@@ -53,6 +55,7 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str
     ks = [f"_k{i}" for i in range(max(1, len(keys)))]
     held = src.groupBy(*ks, "_x").agg(F.count(F.lit(1)).alias("_c"))
     sketch = held.groupBy(*ks).agg(F.sum("_c").alias("_n"), F.percentile_approx("_x", [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("_cuts"))
+    sketch = checkpoint(sketch)  # read more than once, and an approximate sketch need not come out the same twice
     same = lambda a, b, cols: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
     cut = held.alias("h").join(sketch.alias("s"), same("h", "s", ks)).select("h.*", F.size(F.filter("s._cuts", lambda c: c < F.col("h._x"))).alias("_b"))
     totals = cut.groupBy(*ks, "_b").agg(F.sum("_c").alias("_t"))
@@ -141,7 +144,7 @@ def entry(rows: str, index: int) -> Column:
 def column_lists(df: DataFrame, keys: list[str], names: list[str], order: str) -> DataFrame:
     """Rows of each group as one ordered list for each column. Groups become one value, so they must be small."""
     rows = F.array_sort(F.collect_list(F.struct(order, *names)))
-    return df.groupBy(*keys).agg(rows.alias("_r")).select(*keys, *[F.transform("_r", lambda r, n=n: r[n]).alias(n) for n in names])
+    return df.groupBy(*keys).agg(rows.alias("_r")).select(*keys, *[position_list("_r", n).alias(n) for n in names])
 
 
 def render(mean: Column, stdv: Column) -> Column:

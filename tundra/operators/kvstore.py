@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.runtime import checkpoint  # noqa: F401
+from ..plans.runtime import checkpoint
 
 
 def last_wins(writes: DataFrame, key: str, order: str) -> DataFrame:
@@ -140,7 +140,8 @@ def credit_from_pool(requests: DataFrame, order: str, value: str, most: str, poo
         raise ValueError("a pool can't be negative")
     g = group or []
     src = requests.withColumn("_need", F.greatest(F.col(most) - F.col(value), F.lit(0)))
-    cuts = src.groupBy(*g).agg(F.percentile_approx(order, [i / SLICES for i in range(1, SLICES)], 1000).alias("_cuts"), F.sum("_need").alias("_all"))
+    # read more than once, and an approximate sketch need not come out the same twice
+    cuts = checkpoint(src.groupBy(*g).agg(F.percentile_approx(order, [i / SLICES for i in range(1, SLICES)], 1000).alias("_cuts"), F.sum("_need").alias("_all")))
     on = lambda a, b, ks: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in ks] or F.lit(True)
     s = src.alias("a").join(cuts.alias("b"), on("a", "b", g)).select("a.*", "b._all", F.size(F.filter("b._cuts", lambda c: c < F.col(f"a.{order}"))).alias("_s"))
     totals = s.groupBy(*g, "_s").agg(F.sum("_need").alias("_t"))
