@@ -143,7 +143,7 @@ def entry(rows: str, index: int) -> Column:
 
 def column_lists(df: DataFrame, keys: list[str], names: list[str], order: str) -> DataFrame:
     """Rows of each group as one ordered list for each column. Groups become one value, so they must be small."""
-    rows = F.array_sort(F.collect_list(F.struct(order, *names)))
+    rows = F.array_sort(F.collect_list(F.struct(order, *[n for n in names if n != order])))
     return df.groupBy(*keys).agg(rows.alias("_r")).select(*keys, *[position_list("_r", n).alias(n) for n in names])
 
 
