@@ -9,7 +9,7 @@ Scoring runs over all rows in batches: the distinct words of a batch are scored
 matrix), a Viterbi pass over each text's word scores finds its language segments, for many texts at once. No shuffle.
 
 Defined results
-    null or empty texts, texts without letters and texts without a passage of ``MIN_WORDS`` words are no cases and have no
+    rows without an id are left out; null or empty texts, texts without letters and texts without a passage of ``MIN_WORDS`` words are no cases and have no
     segments of note; with no usable label anywhere there is no model and no row; repeated rows give rows each;
     confidence is the posterior of the segment's language under the model, tempered by its length.
 """
@@ -231,7 +231,7 @@ def segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """(doc_id, label, segment, lang, first_word, n_words, confidence): every language segment of every text."""
     if matrix is None:
         matrix = train(docs, id_col, text_col, label_col)
-    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), canonical_label(label_col).alias("label"))
+    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), canonical_label(label_col).alias("label")).filter("doc_id IS NOT NULL")
     schema = "doc_id bigint, label string, segment int, lang string, first_word int, n_words int, confidence double"
     if not matrix.shape[1]:
         return docs.sparkSession.createDataFrame([], schema)
@@ -259,7 +259,7 @@ def mislabelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if matrix is None:
         matrix = train(docs, id_col, text_col, label_col)
-    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), canonical_label(label_col).alias("label"))
+    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), canonical_label(label_col).alias("label")).filter("doc_id IS NOT NULL")
     if not matrix.shape[1]:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, lang string")
     model = docs.sparkSession.sparkContext.broadcast(matrix)  # BUCKETS x languages, fixed

@@ -186,10 +186,12 @@ def _expand(first: np.ndarray, width: np.ndarray) -> np.ndarray:
 
 
 def squeeze(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers with runs of 0 cut to CHANGES + 1, which no window spans, and each one's place in the text."""
-    other = words == 0
-    run = np.arange(len(words)) - np.maximum.accumulate(np.where(other, -1, np.arange(len(words)))) if len(words) else words
-    keep = np.flatnonzero(~other | (run <= CHANGES + 1))
+    """Word numbers with runs of 0 cut to CHANGES + 1 at each end, which no window spans, and each one's place in the text."""
+    at, n = np.arange(len(words)), len(words)
+    known = np.where(words != 0, at, -1)
+    since = at - np.maximum.accumulate(known) if n else at
+    until = np.minimum.accumulate(np.where(words != 0, at, n)[::-1])[::-1] - at if n else at
+    keep = np.flatnonzero((since <= CHANGES + 1) | (until <= CHANGES + 1))
     return words[keep], keep
 
 

@@ -9,7 +9,7 @@ and left-over texts are put best-fit, largest first, into the room that remains,
 hold a fair share of containers and small texts. Nothing larger than the size counts reaches the driver.
 
 Defined results
-    null and empty texts hold no tokens and are not placed; a text above the capacity has pieces 0, 1, ... of which all
+    rows without an id, null and empty texts hold no tokens and are not placed; a text above the capacity has pieces 0, 1, ... of which all
     but the last are full; repeated texts are placed each; an empty table gives no rows; capacities that are null
     or below 1 are ignored; ``start`` is the token offset in the container.
 """
@@ -59,7 +59,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": np.fromiter((len(enc.encode_ordinary(t)) for t in pdf["text"]), dtype=np.int64, count=len(pdf))})
 
-    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).filter("length(text) > 0")
+    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id IS NOT NULL AND length(text) > 0")
     return src.mapInPandas(run, "doc_id bigint, n_tokens bigint")
 
 
