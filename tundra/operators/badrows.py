@@ -37,8 +37,8 @@ _SPACED_PERCENT = re.compile(r"\s+%$")
 _YEAR = re.compile(r"[0-9]+")
 _DIRTY = re.compile("[\x00-\x1f\ufffd]")
 #: One record in full: fields that are wholly quoted (inner quotes doubled) or free of quotes.
-_SOUND = re.compile(r'(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*')
-_FIELD = re.compile(r'(?:^|,)("(?:[^"]|"")*"|[^",]*)')
+_SOUND = re.compile(r'(?:"(?:[^"]++|"")*+"|[^",]*+)(?:,(?:"(?:[^"]++|"")*+"|[^",]*+))*+')
+_FIELD = re.compile(r'(?:^|,)("(?:[^"]++|"")*+"|[^",]*+)')
 
 csv.field_size_limit(2**31 - 1)
 

@@ -124,11 +124,11 @@ def currency_aliases() -> list[tuple[str, str, float]]:
 
 
 _SPACES = re.compile(r"\s+")
-_SLASH = re.compile(r"\s*/\s*")
+_SLASH = re.compile(r" ?/ ?")
 
 
 def normal(text: str) -> str:
-    return _SPACES.sub(" ", _SLASH.sub("/", text.replace("\xa0", " ").replace("–", " – "))).strip().lower()
+    return _SLASH.sub("/", _SPACES.sub(" ", text.replace("–", " – "))).strip().lower()
 
 
 @lru_cache(maxsize=1)

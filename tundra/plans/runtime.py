@@ -49,5 +49,15 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table scan over at least as many partitions as there are task slots.
+
+    Only layout: a table of few large files feeds one slow Python task each, so its selected columns are dealt out
+    once; a table with partitions enough is left as it is. Only for scans, whose partitions are known without a job.
+    """
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(slots) if scan.rdd.getNumPartitions() < slots else scan
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
