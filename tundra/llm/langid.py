@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,14 +48,15 @@ MIN_WORDS = 10
 SWITCH, SWITCH_AT_BREAK = 14.0, 6.0
 
 _TAG = re.compile(r"<[^<>]{1,200}>|\[/?[a-zA-Z*]+(?:=[^\]\[]*)?\]")
-_LINK = re.compile(r"(?:https?://|www\.)\S+|\S+@\S+\.\S+")
+_LINK = re.compile(r"(?:https?://|www\.)\S+|[\w.+-]{1,64}@\S+")
 _SOFT = re.compile("[­​-‏⁠﻿]")
-#: a word of letters (marks inside), or a break: the end of a sentence or line
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’ʼ\-][^\W\d_]+)*|[.!?…:]+|\n")
+#: a word of letters (marks inside); a break is the end of a sentence or line
+_WORD = re.compile(r"[^\W\d_]+(?:['’ʼ\-][^\W\d_]+)*")
+_BREAK = re.compile(r"[.!?…:\n]+")
 #: a line that only names the author of the quote below it; a signature at the end below a rule
-_ATTRIBUTION = re.compile(r"(?m)^[>\s]*\S+(?: [^\s:]+){1,4}:[ \t]*\n(?=\s*>)")
-_SIGNATURE = re.compile(r"\n(?:_{4,}|--|\* \* \*|-{4,})[ \t]*\n(?:[^\n]{0,60}\n?){0,3}\Z")
-_CODE = re.compile(r"\b(?=[\w-]*\d)[\w-]+\b")
+_ATTRIBUTION = re.compile(r"(?m)^[> \t]*\S{1,60}(?: [^\s:]{1,30}){1,4}:[ \t]*\n(?=[ \t]*>)")
+_SIGNATURE = re.compile(r"\n(?:_{4,80}|--|\* \* \*|-{4,80})[ \t]*\n(?:[^\n]{0,60}\n?){0,3}\Z")
+_CODE = re.compile(r"\b(?=[\w-]{0,40}\d)[\w-]+\b")
 
 
 def canonical(label: str | None) -> str | None:
@@ -74,20 +76,19 @@ def canonical_label(col: str) -> F.Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in _BY_NAME.items() for x in kv]), word)
 
 
-def words_of(text: str) -> tuple[list[str], list[bool]]:
+def words_of(text: str) -> tuple[list[str], np.ndarray]:
     """Lower-case words of a text and, for each, whether a sentence or line ended before it."""
     t = html.unescape(_SOFT.sub("", text)).replace("\r\n", "\n")
     t = _SIGNATURE.sub("\n", _ATTRIBUTION.sub("\n", t))
-    t = _CODE.sub(" ", _LINK.sub(" ", _TAG.sub(" ", t)))
-    words, breaks, pending = [], [], True
-    for m in _TOKEN.finditer(t):
-        w = m.group()
-        if w[0].isalpha():
-            words.append(w.lower())
-            breaks.append(pending)
-            pending = False
-        else:
-            pending = True
+    t = _CODE.sub(" ", _LINK.sub(" ", _TAG.sub(" ", t))).lower()
+    words, starts = [], []
+    for part in _BREAK.split(t):
+        got = _WORD.findall(part)
+        if got:
+            starts.append(len(words))
+            words += got
+    breaks = np.zeros(len(words), dtype=bool)
+    breaks[starts] = True
     return words, breaks
 
 
@@ -138,18 +139,20 @@ def viterbi(scores: list[np.ndarray], breaks: list[np.ndarray]) -> list[np.ndarr
             s[: len(scores[i]), j], b[: len(breaks[i]), j] = scores[i], breaks[i]
         stay = np.zeros((n, size, k), dtype=bool)
         came = np.zeros((n, size), dtype=np.int8)
-        best = s[0]
+        cost = np.where(b, SWITCH_AT_BREAK, SWITCH)
+        best, each = s[0], np.arange(size)
         for t in range(1, n):
-            came[t] = best.argmax(axis=1)
-            jump = np.take_along_axis(best, came[t][:, None].astype(np.int64), 1) - np.where(b[t], SWITCH_AT_BREAK, SWITCH)[:, None]
-            stay[t] = best >= jump
-            best = np.where(stay[t], best, jump) + s[t]
+            top = best.argmax(axis=1)
+            came[t] = top
+            jump = (best[each, top] - cost[t])[:, None]
+            np.greater_equal(best, jump, out=stay[t])
+            best = np.maximum(best, jump) + s[t]
         # padding adds nothing, so the end state of a shorter text is the same after it
         state = best.argmax(axis=1)
         path = np.empty((n, size), dtype=np.int8)
         for t in range(n - 1, -1, -1):
             path[t] = state
-            state = np.where(stay[t][np.arange(size), state], state, came[t])
+            state = np.where(stay[t][each, state], state, came[t])
         for j, i in enumerate(group):
             out[i] = path[: len(scores[i]), j]
     return out
@@ -157,11 +160,11 @@ def viterbi(scores: list[np.ndarray], breaks: list[np.ndarray]) -> list[np.ndarr
 
 def segments_of(texts: list[str | None], scorer: Scorer) -> list[list[tuple[int, int, int, float]]]:
     """For each text its segments as (language, first word, words, confidence)."""
-    split = [words_of(t) if t else ([], []) for t in texts]
+    split = [words_of(t) if t else ([], np.zeros(0, dtype=bool)) for t in texts]
     rows = [scorer.rows(w) if w else np.empty(0, dtype=np.int64) for w, _ in split]
     scores = [scorer.scores[r] for r in rows]
     out = []
-    for path, s in zip(viterbi(scores, [np.array(b, dtype=bool) for _, b in split]), scores):
+    for path, s in zip(viterbi(scores, [b for _, b in split]), scores):
         if not len(path):
             out.append([])
             continue
@@ -189,7 +192,15 @@ def _counted(sample: DataFrame, matrix: np.ndarray | None) -> np.ndarray:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((len(CODES), BUCKETS), dtype=np.int64)
-        known: dict[str, list[int]] = {}
+        seen: list[Counter] = [Counter() for _ in CODES]
+
+        def add() -> None:
+            for k, words in enumerate(seen):
+                if words:
+                    ids = [grams(w) for w in words]
+                    np.add.at(total[k], np.concatenate([np.array(x) for x in ids]), np.repeat(np.fromiter(words.values(), dtype=np.int64), [len(x) for x in ids]))
+                    words.clear()
+
         scorer = None if model is None else Scorer(model.value)
         for pdf in batches:
             for at in range(0, len(pdf), 512):
@@ -200,11 +211,10 @@ def _counted(sample: DataFrame, matrix: np.ndarray | None) -> np.ndarray:
                     words, k = words_of(text)[0], CODES.index(code)
                     if segments is not None:
                         words = [w for lang, first, n, _ in segments if lang == k and n >= 5 for w in words[first : first + n]]
-                    for w in words:
-                        if w not in known:
-                            known[w] = grams(w)
-                        for g in known[w]:
-                            total[k, g] += 1
+                    seen[k].update(words)
+            if sum(map(len, seen)) > 200_000:
+                add()
+        add()
         lang, bucket = np.nonzero(total)
         yield pd.DataFrame({"lang": lang.astype("int32"), "bucket": bucket.astype("int32"), "n": total[lang, bucket]})
 

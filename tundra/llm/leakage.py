@@ -35,7 +35,6 @@ SAMPLE_RATE = 8
 SHARD_WORDS = 1_000_000
 
 _TAG = re.compile(r"<[^<>]{0,300}>|\[/?[a-zA-Z*]+(?:=[^\]\[]*)?\]")
-_ATTRIBUTION = re.compile(r"(?m)^[>\s]*\S+(?: [^\s:]+){1,4}:[ \t]*\n(?=\s*>)")
 _JOINED = re.compile("['’ʼ‘`´­​-‏‪-‮⁠-⁤﻿]|(?<=\\w)[-‐‑](?=\\w)")
 _WORD = re.compile(r"[^\W_]+")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.runtime import ship_package, table
+from ..plans.runtime import ship_package, spread, table
 from . import langid, leakage, names, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,24 +29,28 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _documents(spark, d):
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang"))
+
+
 @query("p8_found")
 def p8_found(spark, d):
-    return langid.mislabelled(table(spark, d, "documents"))
+    return langid.mislabelled(_documents(spark, d))
 
 
 @query("p8_segments")
 def p8_segments(spark, d):
-    return langid.segments(table(spark, d, "documents"))
+    return langid.segments(_documents(spark, d))
 
 
 @query("p7_found")
 def p7_found(spark, d):
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
+    return leakage.leaks(_documents(spark, d), table(spark, d, "eval_item"))
 
 
 @query("p7_spans")
 def p7_spans(spark, d):
-    return leakage.leak_spans(table(spark, d, "documents"), table(spark, d, "eval_item"))
+    return leakage.leak_spans(_documents(spark, d), table(spark, d, "eval_item"))
 
 
 @query("p3_found")
@@ -62,9 +66,9 @@ def p3_classes(spark, d):
 
 @query("p6_pack")
 def p6_pack(spark, d):
-    return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_capacity"))
+    return packing.pack(_documents(spark, d), table(spark, d, "pack_capacity"))
 
 
 @query("p6_usage")
 def p6_usage(spark, d):
-    return packing.usage(packing.pack(table(spark, d, "documents"), table(spark, d, "pack_capacity")), table(spark, d, "pack_capacity"))
+    return packing.usage(packing.pack(_documents(spark, d), table(spark, d, "pack_capacity")), table(spark, d, "pack_capacity"))
