@@ -71,6 +71,13 @@ CASTS: dict[str, Cast] = {
     "EMPTY_IS_NONE": Cast(lambda s: F.coalesce(s, F.lit("")) == "", lambda s: F.lit(None).cast("string"), "string"),
     "BOOLEAN": Cast(_yes, _boolean, "int"),
 }
+
+
+def register(name: str, ok: Callable[[Column], Column], value: Callable[[Column], Column], kind: str) -> None:
+    """A cast of one's own, by Column functions (a pandas UDF gives a Column too)."""
+    CASTS[name] = Cast(ok, value, kind)
+
+
 _WIDER = ["int", "bigint", "decimal(38,0)", "double", "string"]
 
 

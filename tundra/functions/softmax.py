@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .binding import let
+
 
 def softmax_array(x: Column, theta: float = 1.0) -> Column:
     """Softmax of an array of numbers, in the JVM. Null or empty arrays stay as they are."""
     y = F.transform(x, lambda v: v.cast("double") * F.lit(float(theta)))
-    e = F.transform(y, lambda v: F.exp(v - F.array_max(y)))
-    return F.when(F.size(x) > 0, F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))).otherwise(e)
+    top = F.struct(y.alias("y"), F.array_max(y).alias("m"))
+    e = let(top, lambda s: F.transform(s["y"], lambda v: F.exp(v - s["m"])))
+    p = let(e, lambda a: let(F.struct(a.alias("e"), F.aggregate(a, F.lit(0.0), lambda t, v: t + v).alias("t")), lambda s: F.transform(s["e"], lambda v: v / s["t"])))
+    return F.when(F.size(x) > 0, p).otherwise(x.cast("array<double>"))
 
 
 def softmax_rows(df: DataFrame, keys: list[str], value: str, theta: float = 1.0, out: str = "p") -> DataFrame:

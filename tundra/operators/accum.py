@@ -16,9 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.binding import let
 from ..plans.runtime import checkpoint
 
-BUCKETS = 128
+#: buckets of a group, found in two steps of STEP each
+STEP = 8
+BUCKETS = STEP * STEP
 #: integer ranks (k, d): the value at position k*n // d of the sorted values
 RANKS = {"q1": (1, 4), "median": (1, 2), "q3": (3, 4)}
 
@@ -46,6 +49,13 @@ def sample_stdv(x: Column) -> Column:
 VIEWS = {"ave": F.avg, "mean": F.avg, "stdv": sample_stdv, "min": F.min, "max": F.max, "count": F.count, "sum": F.sum}
 
 
+def _bucket(cuts: Column, x: Column) -> Column:
+    """How many of the sorted cuts are below x."""
+    below = lambda a: F.size(F.filter(a, lambda c: c < x))
+    coarse = below(F.array(*[F.element_at(cuts, STEP * i) for i in range(1, STEP)])) * STEP
+    return let(coarse, lambda b: b + below(F.slice(cuts, b + 1, STEP - 1)))
+
+
 def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str, tuple[int, int]] | None = None) -> DataFrame:
     """One row a group with the values at integer ranks; see the module for the method."""
     ranks = ranks or RANKS
@@ -57,7 +67,7 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str
     sketch = held.groupBy(*ks).agg(F.sum("_c").alias("_n"), F.percentile_approx("_x", [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("_cuts"))
     sketch = checkpoint(sketch)  # read more than once, and an approximate sketch need not come out the same twice
     same = lambda a, b, cols: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
-    cut = held.alias("h").join(sketch.alias("s"), same("h", "s", ks)).select("h.*", F.size(F.filter("s._cuts", lambda c: c < F.col("h._x"))).alias("_b"))
+    cut = held.alias("h").join(sketch.alias("s"), same("h", "s", ks)).select("h.*", _bucket(F.col("s._cuts"), F.col("h._x")).alias("_b"))
     totals = cut.groupBy(*ks, "_b").agg(F.sum("_c").alias("_t"))
     w = Window.partitionBy(*ks).orderBy("_b")  # at most BUCKETS rows a group
     totals = totals.withColumn("_hi", F.sum("_t").over(w)).withColumn("_lo", F.col("_hi") - F.col("_t"))

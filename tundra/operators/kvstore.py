@@ -90,6 +90,14 @@ def open_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def check_store(store: DataFrame, key: str) -> DataFrame:
+    """The store, if its key can be one: whole numbers, text or bytes, and no nested or approximate type."""
+    kind = dict(store.dtypes)[key]
+    if kind not in ("tinyint", "smallint", "int", "bigint", "string", "binary"):
+        raise TypeError(f"a key can't be {kind}")
+    return store
+
+
 def store_factory(spark: SparkSession, root: str):
     """A maker of named stores under one folder."""
     return lambda name: f"{root.rstrip('/')}/{name}"

@@ -15,6 +15,7 @@ Defined results
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,8 +57,9 @@ def fold(events: DataFrame, holder: list[str], key: str, num: str, text: str | N
     return events.groupBy(*holder, key).agg(*aggs)
 
 
-def report(folded: DataFrame, holder: list[str], key: str, value: str, fields: list[str] | None = None, required: list[str] | None = None, override: list[str] | None = None) -> DataFrame:
+def report(folded: DataFrame, holder: list[str], key: str, value: str, fields: list[str] | None = None, required: list[str] | None = None, override: list[str] | None = None, rewrite: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Wide rows, one a holder. Without ``fields`` the columns are the sorted keys, code and name first.
+    ``rewrite`` gets the wide table last.
 
     Only holders with any ``override`` key, or with all ``required`` ones, stay; override counts only beside required.
     """
@@ -66,12 +68,12 @@ def report(folded: DataFrame, holder: list[str], key: str, value: str, fields: l
         fields = [*(k for k in ("code", "name") if k in keys), *sorted(k for k in keys if k not in ("code", "name"))]
     kept = folded
     if required:
-        has = F.array_contains  # noqa: F841
         need = F.count_distinct(F.when(F.col(key).isin(required), F.col(key))) == len(set(required))
         over = F.max(F.when(F.col(key).isin(override), 1)) == 1 if override else F.lit(False)
         ok = folded.groupBy(*holder).agg((need | F.coalesce(over, F.lit(False))).alias("_ok")).filter("_ok").drop("_ok")
         kept = folded.join(ok, holder, "left_semi")
-    return kept.groupBy(*holder).agg(*[F.max(F.when(F.col(key) == f, F.col(value))).alias(f) for f in fields])
+    wide = kept.groupBy(*holder).agg(*[F.max(F.when(F.col(key) == f, F.col(value))).alias(f) for f in fields])
+    return wide.transform(rewrite) if rewrite else wide
 
 
 def keep_keys(folded: DataFrame, key: str, regex: str) -> DataFrame:

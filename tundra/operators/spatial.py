@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from ..plans.runtime import shuffle_partitions
 
 #: Bounds of the plan, not of the result: objects sampled to shape the tree, leaves at most, depth, rows aimed at in a task.
-SAMPLE_ROWS = 40_000
-MAX_LEAVES = 4096
+SAMPLE_ROWS = 200_000
+MAX_LEAVES = 65_536
 MAX_DEPTH = 24
 TASK_ROWS = 40_000
 EARTH_KM = 6371.0088
@@ -183,7 +183,8 @@ def points_in_regions(points: DataFrame, regions: DataFrame, point_key: str = "p
     """(key_a, key_b): each point with the regions that have a polygon which holds it and none of whose holes does."""
     spark = points.sparkSession
     p = _valid_points(points, point_key, "lon", "lat")
-    tree = _tree(p, "cx", "cy")
+    corners = regions.select(F.expr("try_element_at(polygon, 1)").alias("c")).select(F.col("c.x").alias("cx"), F.col("c.y").alias("cy")).filter("cx BETWEEN -180 AND 180 AND cy BETWEEN -90 AND 90")
+    tree = _tree(p.select("cx", "cy").unionByName(corners), "cx", "cy")  # dense regions split leaves too
     tree_b = spark.sparkContext.broadcast(tree)  # at most MAX_LEAVES leaves
 
     def deal_points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

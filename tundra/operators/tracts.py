@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import polygon as G
+from ..functions.binding import let
 from . import boxes
 
 # State codes in use (1 to 56 without the reserved ones, and 72).
@@ -44,7 +45,7 @@ def polygons(shapes: DataFrame, sid: str = "sId", ring: str = "polygon", holes:
     """
     src = shapes.select(F.col(sid).alias("sId"), G.closed(F.col(ring)).alias("ring"), F.transform(F.coalesce(F.filter(F.col(holes), lambda h: h.isNotNull() & (F.size(h) > 2)), F.array()), G.closed).alias("holes")).filter(F.size("ring") >= 4)
     outer = G.centroid_area(F.col("ring"))
-    minus = lambda h: F.struct(G.centroid_area(h)["x"].alias("x"), G.centroid_area(h)["y"].alias("y"), (-G.centroid_area(h)["area"]).alias("area"))
+    minus = lambda h: let(G.centroid_area(h), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"), (-c["area"]).alias("area")))
     merged = G.multi_centroid_array(F.concat(F.array(outer), F.filter(F.transform("holes", minus), lambda c: c["x"].isNotNull())))
     both = src.withColumn("_o", outer).withColumn("_m", merged).withColumn("_c", F.when(F.col("_m.area") == 0, F.col("_o")).otherwise(F.col("_m")))
     return both.select("sId", G.extent(F.col("ring")).alias("extent"), "ring", "holes", F.col("_c.x").alias("x"), F.col("_c.y").alias("y"), F.col("_c.area").alias("area"))

@@ -3,8 +3,7 @@
 A multi-pattern automaton finds unit and currency aliases in the unit columns and in free text, the longest match
 wins, and the field context (power use of a kind of equipment, or cost) decides between readings. What it finds are
 small keys; the conversion factors and the cost rates are tables that are broadcast and joined (both bounded: the
-factors are built here, the rates are a fixed table whose size is checked by Catalyst's broadcast limit or sorted
-otherwise). The only shuffle is one small pre-aggregated median for each kind of equipment.
+factors are built here, of the rates one row is taken for each known currency and year of two centuries). The only shuffle is one small pre-aggregated median for each kind of equipment.
 
 Defined results
     rows without an id are left out; no figure, no known kind of equipment or no unit told anywhere: ``value`` is null and the row is no case;
@@ -302,6 +301,9 @@ def normalize(rows: DataFrame, rates: DataFrame) -> DataFrame:
     factors = F.broadcast(spark.createDataFrame(unit_aliases(), "alias string, dimension string, factor double"))  # a few thousand rows, built above
     currencies = F.broadcast(spark.createDataFrame(currency_aliases(), "c_key string, code string, c_factor double"))
 
+    # at most one row for each known currency and year of two centuries, so it may be broadcast
+    known = rates.filter(F.col("cur_code").isin(*CURRENCY) & F.col("cost_year").between(1900, 2100)).select(F.col("cur_code").alias("code"), F.col("cost_year").cast("int").alias("cost_year"), F.col("eur_2014").alias("rate")).dropDuplicates(["code", "cost_year"])
+
     # what all such equipment uses: median of the figures stated in the common unit itself
     usual = (
         rows.select("Energy", F.col("PowerRate").cast("double").alias("x"), "PowerRateUnits").withColumn("common", _lit_map(COMMON_POWER, F.coalesce("Energy", F.lit(""))))
@@ -334,7 +336,7 @@ def normalize(rows: DataFrame, rates: DataFrame) -> DataFrame:
         .withColumn("c_key", F.when(F.col("c_figure").isNotNull(), F.coalesce("c_alias", "c_text_alias")).otherwise(F.col("c_text_alias")))
         .withColumn("cost_year", F.when(F.col("c_figure").isNotNull(), F.coalesce("c_year", "c_text_year")).otherwise(F.col("c_text_year")))
         .join(currencies, "c_key", "left")
-        .join(F.broadcast(rates.select(F.col("cur_code").alias("code"), "cost_year", F.col("eur_2014").alias("rate")).dropDuplicates(["code", "cost_year"])), ["code", "cost_year"], "left")
+        .join(F.broadcast(known), ["code", "cost_year"], "left")
         .withColumn("common_unit", F.when(F.col("rate").isNotNull(), F.concat_ws(" ", "code", F.col("cost_year").cast("string"))))
         .withColumn("exact", F.col("c_unit").eqNullSafe(F.col("code")) & F.col("c_year_raw").eqNullSafe(F.col("cost_year")) & F.col("c_figure").isNotNull())
         .select(

@@ -59,7 +59,24 @@ def p1_normalized(spark, d):
     return units.normalize(_equipment(spark, d), table(spark, d, "cost_rate"))
 
 
-@query("p2_found")
+_FIELD = r'(?:"(?:[^"]|"")*"|[^",]*)'
+_PLAIN_NUMBER = r"^\s*([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*%?)?\s*$"
+
+
+def _bad_lines_sql() -> str:
+    at = {c: i + 1 for i, c in enumerate(badrows.COLUMNS)}
+    value = lambda c: f"CASE WHEN f[{at[c]}][1] = '\"' THEN replace(f[{at[c]}][2:-2], '\"\"', '\"') ELSE f[{at[c]}] END"
+    numbers = " OR ".join(f"NOT regexp_matches({value(c)}, '{_PLAIN_NUMBER}')" for c in badrows.NUMERIC if c not in badrows.YEARS)
+    years = " OR ".join(f"NOT regexp_matches({value(c)}, '^\\s*[0-9]*\\s*$')" for c in badrows.YEARS)
+    texts = " OR ".join(f"regexp_matches({value(c)}, '[\\x00-\\x1f\\x{{FFFD}}]')" for c in badrows.CLEAN_TEXT)
+    names = ",".join(badrows.COLUMNS)
+    return f"""WITH l AS (SELECT line_id, regexp_replace(line, '\\r$', '') AS t FROM csv_line WHERE line IS NOT NULL), s AS (SELECT line_id, t, regexp_full_match(t, '{_FIELD}(?:,{_FIELD})*') AS sound FROM l WHERE trim(t, chr(9) || ' ' || chr(65279)) <> ''),
+    p AS (SELECT line_id, sound, ltrim(t, chr(65279)) AS t, list_transform(regexp_extract_all(',' || t, ',({_FIELD})', 1), lambda x: x) AS f FROM s)
+    SELECT line_id, reason FROM (SELECT line_id, t, CASE WHEN NOT sound THEN 'quoting' WHEN len(f) <> 23 THEN 'columns' WHEN trim({value('Name')}) = '' OR {texts} OR {numbers} OR {years} THEN 'value' END AS reason FROM p)
+    WHERE reason IS NOT NULL AND replace(lower(t), '"', '') <> lower('{names}')"""
+
+
+@query("p2_found", _bad_lines_sql())
 def p2_found(spark, d):
     return badrows.rejected(spread(table(spark, d, "csv_line").select("line_id", "line")))
 
@@ -69,7 +86,19 @@ def p2_loaded(spark, d):
     return badrows.loaded(spread(table(spark, d, "csv_line").select("line_id", "line")))
 
 
-@query("p4_found")
+_HAVERSINE = "2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2))))"
+_SIDE = "CASE WHEN q.y > p.y THEN (q.x - p.x) * (lat - p.y) - (lon - p.x) * (q.y - p.y) ELSE (p.x - q.x) * (lat - q.y) - (lon - q.x) * (p.y - q.y) END"
+_TURNS = f"sum(CASE WHEN least(p.y, q.y) <= lat AND lat < greatest(p.y, q.y) AND {_SIDE} > 0 THEN CASE WHEN q.y > p.y THEN 1 ELSE -1 END ELSE 0 END) <> 0"
+_P4 = f"""WITH t AS (SELECT point_id, lon, lat FROM tract_point WHERE abs(lon) <= 180 AND abs(lat) <= 90), r AS (SELECT poly_id, sId, 0 AS h, polygon AS r FROM ctractpoly WHERE len(polygon) >= 3 UNION ALL
+SELECT poly_id, sId, i AS h, innerRings[i] AS r FROM ctractpoly, LATERAL (SELECT unnest(range(1, coalesce(len(innerRings), 0) + 1)) AS i) u WHERE len(innerRings[i]) >= 3),
+e AS (SELECT poly_id, sId, h, r[i] AS p, r[CASE WHEN i = len(r) THEN 1 ELSE i + 1 END] AS q FROM r, LATERAL (SELECT unnest(range(1, len(r) + 1)) AS i) u),
+b AS (SELECT poly_id, min(p.x) AS x0, max(p.x) AS x1, min(p.y) AS y0, max(p.y) AS y1 FROM e WHERE h = 0 GROUP BY poly_id), c AS (SELECT point_id, lon, lat, poly_id FROM t JOIN b ON lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1),
+w AS (SELECT point_id, c.poly_id, sId, h, {_TURNS} AS inside FROM c JOIN e ON c.poly_id = e.poly_id GROUP BY ALL), k AS (SELECT DISTINCT point_id, sId FROM (SELECT point_id, poly_id, sId, bool_or(h = 0 AND inside) AS o, bool_or(h > 0 AND inside) AS i FROM w GROUP BY ALL) WHERE o AND NOT i),
+n AS (SELECT DISTINCT sId, centroid.x AS x, centroid.y AS y FROM ctract WHERE centroid.x IS NOT NULL AND centroid.y IS NOT NULL)
+SELECT 'in' AS kind, point_id::VARCHAR AS key_a, sId AS key_b FROM k UNION ALL SELECT DISTINCT 'near', a.sId, b.sId FROM n a JOIN n b ON a.sId < b.sId AND abs(a.y - b.y) < 0.02 WHERE {_HAVERSINE} <= 2.0"""
+
+
+@query("p4_found", _P4)
 def p4_found(spark, d):
     inside = spatial.points_in_regions(table(spark, d, "tract_point"), table(spark, d, "ctractpoly"))
     centroids = table(spark, d, "ctract").select("sId", F.col("centroid.x").alias("x"), F.col("centroid.y").alias("y"))
@@ -303,9 +332,9 @@ def notes_sum(spark, d):
     return rounded(notes.fold(_ledger(spark, d).filter("op = 'add'"), ["grp", "holder"], "note_key", "num"), 4)
 
 
-@query("notes_gate", f"{_GATED} SELECT grp, op, count(*) AS n, round(sum(num), 2) AS total FROM e GROUP BY grp, op")
+@query("notes_gate", f"{_GATED} SELECT grp, op, count(*) AS n, round(sum(num), 4) AS total FROM e GROUP BY grp, op")
 def notes_gate(spark, d):
-    return notes.gate(_ledger(spark, d)).groupBy("grp", "op").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("num"), 2).alias("total"))
+    return notes.gate(_ledger(spark, d)).groupBy("grp", "op").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("num"), 4).alias("total"))
 
 
 @query("notes_replace", f"{_KEPT} SELECT grp, holder, note_key, count(*) AS n, round(sum(num), 4) AS total FROM k GROUP BY grp, holder, note_key")
@@ -816,7 +845,7 @@ def csv_sort(spark, d):
 def kvp_parse(spark, d):
     """Event properties as key-value lines; later lines of a key win."""
     k = F.regexp_extract("props", r'"k": *([0-9]+)', 1)
-    e = table(spark, d, "events").filter(F.col("props").rlike(r'"k": *[0-9]+'))
+    e = spread(table(spark, d, "events").select("event_id", "props")).filter(F.col("props").rlike(r'"k": *[0-9]+'))
     lines = e.select(F.col("event_id").cast("string").alias("doc_id"), F.posexplode(F.array(F.lit("# a comment"), F.lit("k = 'old' # replaced"), F.concat(F.lit("k ="), k))).alias("seq", "line"))
     return kvp.parse_documents(lines)
 

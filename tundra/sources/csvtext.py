@@ -13,6 +13,7 @@ from __future__ import annotations
 import csv
 import io
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -186,9 +187,13 @@ def render_rows(df: DataFrame, fields: list[str], delim: str = ",", quote: bool
     return spark.createDataFrame(list(enumerate(head)), "line_no bigint, line string").unionByName(body)
 
 
-def write_csv(df: DataFrame, path: str, fields: list[str] | None = None, delim: str = ",", quote: bool = False, sort: str | None = None, empty: str = "NA", encoding: str = "UTF-8") -> None:
-    """Text files in order, the header first."""
-    render_rows(df, fields or df.columns, delim, quote, sort, empty).sort("line_no").select("line").write.mode("overwrite").option("encoding", encoding).text(path)
+def write_csv(df: DataFrame, path: str, fields: list[str] | None = None, delim: str = ",", quote: bool = False, sort: str | None = None, empty: str = "NA", encoding: str = "UTF-8", sink: Callable[[DataFrame, str], None] | None = None) -> None:
+    """Text files in order, the header first; ``sink`` writes the ordered lines in another way."""
+    lines = render_rows(df, fields or df.columns, delim, quote, sort, empty).sort("line_no").select("line")
+    if sink:
+        sink(lines, path)
+    else:
+        lines.write.mode("overwrite").option("encoding", encoding).text(path)
 
 
 def parse_text(text: str, delim: str = ",") -> list[list[str]]:

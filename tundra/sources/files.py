@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import locale
 from collections.abc import Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,11 @@ def output_encoding(base: str | None = None) -> str:
     return {"cp65001": "utf-8", "utf8": "utf-8", "ansi-x3.4-1968": "utf-8", "us-ascii": "utf-8", "ascii": "utf-8"}.get(name, name)
 
 
+def run_suffix() -> str:
+    """A folder name suffix of the present time."""
+    return datetime.now().strftime("%Y%m%d_%H%M%S_%f")
+
+
 def decode(data: bytes, encoding: str | None = None) -> str:
     """Bytes as text: a given encoding, else UTF-8 (without its mark), UTF-16 by its mark, else Windows-1252; bad bytes are replaced."""
     if encoding:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from .files import read_lines
 
 RINGS = "array<array<array<struct<x:double,y:double>>>>"
@@ -29,8 +30,8 @@ def attributes(feature: Column) -> Column:
     name = lambda s: F.trim(F.regexp_replace(F.trim(F.split_part(s, F.lit("="), F.lit(1))), r"^([^(]*)\([^(]*$", "$1"))
     pairs = F.transform(lines, lambda s: F.struct(name(s).alias("key"), F.trim(F.split_part(s, F.lit("="), F.lit(2))).alias("value")))
     # of a repeated name the last line counts
-    names = F.transform(pairs, lambda p: p["key"])
-    last = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), p["key"]))
+    both = F.struct(pairs.alias("pairs"), F.transform(pairs, lambda p: p["key"]).alias("names"))
+    last = let(both, lambda s: F.filter(s["pairs"], lambda p, i: ~F.array_contains(F.slice(s["names"], i + 2, F.size(s["names"])), p["key"])))
     return F.map_from_entries(last)
 
 
