@@ -137,3 +137,23 @@ def test_casts(spark):
     with pytest.raises(Exception, match="cannot cast"):
         df.filter("s = 'abc'").select(casts.safe_float([s], 0.0, "zz")).collect()
     assert df.filter("s = 'abc'").select(casts.safe_float([s], 4.0).alias("v")).head().v == 4.0
+
+
+def test_data_sources(spark, tmp_path):
+    from tundra.sources import register
+
+    register.register(spark)
+    for d in ("kvp", "yaml", "ogr", "csv"):
+        (tmp_path / d).mkdir()
+    (tmp_path / "kvp" / "a.kvp").write_text("a = 1\n# c\nb,\n")
+    (tmp_path / "yaml" / "a.yaml").write_text("size: {value: 3}\n")
+    (tmp_path / "yaml" / "b.txt").write_text("x")
+    (tmp_path / "ogr" / "s.gz.txt").write_bytes(gzip.compress(b"top\nOGRFeature(a):1\n  N (String) = x\n  POLYGON ((0 0,1 0,1 1))\n"))
+    (tmp_path / "csv" / "a.csv").write_text('"n";"s"\n1;"x"\n\n')
+    (tmp_path / "csv" / "b.csv").write_text('"n";"s"\n2;"y"\n')
+    load = lambda f, d, **o: spark.read.format(f).options(**o).load(str(tmp_path / d))
+    assert rows(load("kvp", "kvp"), "key", "value", "error") == sorted([("a", "1", None), (None, None, "Failed to parse <b,>")], key=repr)
+    assert rows(load("yaml_records", "yaml", simplified="true"), "record") == [('{"size": 3}',)]
+    o = load("ogr_listing", "ogr").select(ogr.attributes(F.col("feature"))["N"].alias("n"), F.size(ogr.rings(F.element_at(ogr.geometry_lines(F.col("feature")), 1))).alias("p"))
+    assert rows(o) == [("x", 1)]
+    assert rows(load("loose_csv", "csv")) == [("1", "x"), ("2", "y")] and load("loose_csv", "csv").columns == ["n", "s"]
