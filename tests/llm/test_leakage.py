@@ -87,3 +87,10 @@ def test_spans(spark):
     got = sorted(tuple(x) for x in L.leak_spans(docs, items).collect())
     assert len(got) == 4 and got[0][2] <= 40 and got[0][3] >= 70 and got[2][2] <= 110 and got[2][3] == 130
     assert L.leaks(docs, items).count() == 1
+
+
+def test_items_in_blocks(spark, monkeypatch):
+    texts = [" ".join(PASSAGE[:20]), " ".join(QUESTION[:20]), "none"]
+    want = found(spark, texts)
+    monkeypatch.setattr(L, "ITEM_CHARS", 150)
+    assert found(spark, texts) == want == {(0, 1), (0, 2), (1, 1)}

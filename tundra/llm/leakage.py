@@ -33,6 +33,8 @@ SEED = WINDOW // (CHANGES + 1)
 SAMPLE_RATE = 8
 #: words aimed at in a shard; a longer text is one shard
 SHARD_WORDS = 1_000_000
+#: characters of test items searched for at once (what is sent to every worker); more items go in blocks
+ITEM_CHARS = 20_000_000
 
 _TAG = re.compile(r"<[^<>]{0,300}>|\[/?[a-zA-Z*]+(?:=[^\]\[]*)?\]")
 _JOINED = re.compile("['’ʼ‘`´­​-‏‪-‮⁠-⁤﻿]|(?<=\\w)[-‐‑](?=\\w)")
@@ -251,7 +253,18 @@ def _spans(starts: np.ndarray, parts: np.ndarray, bound: np.ndarray) -> Iterator
 
 def leak_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, first_word, end_word): merged spans of each text that hold passages of an item."""
-    rows = [(r[0], r[1]) for r in items.select("item_id", "text").collect()]  # the test set, which is what is searched for
+    asked = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("item_id IS NOT NULL")
+    size = asked.agg(F.sum(F.length("text"))).head()[0] or 0
+    blocks = -(-size // ITEM_CHARS) or 1
+    parts = [_spans_of_block(docs, asked.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else asked, id_col, text_col) for k in range(blocks)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _spans_of_block(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = [(r[0], r[1]) for r in items.collect()]  # one block of the test set
     model = docs.sparkSession.sparkContext.broadcast(Items(rows))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
