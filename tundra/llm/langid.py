@@ -210,7 +210,7 @@ def _counted(sample: DataFrame, matrix: np.ndarray | None) -> np.ndarray:
                 for text, code, segments in zip(texts, labels, runs):
                     words, k = words_of(text)[0], CODES.index(code)
                     if segments is not None:
-                        words = [w for lang, first, n, _ in segments if lang == k and n >= 5 for w in words[first : first + n]]
+                        words = [w for lang, first, n, _ in segments if lang == k and n >= MIN_WORDS for w in words[first : first + n]]
                     seen[k].update(words)
             if sum(map(len, seen)) > 200_000:
                 add()
