@@ -311,42 +311,41 @@ def normalize(rows: DataFrame, rates: DataFrame) -> DataFrame:
         .groupBy("common").agg(F.percentile_approx("x", 0.5, 1000).alias("usual"))
     )  # fmt: skip  # at most one row for each common unit
 
-    power = (
-        read.filter("common IS NOT NULL")
-        .withColumn("figure", F.coalesce("p_figure", "p_text_figure"))
-        .filter("figure IS NOT NULL")
-        .withColumn("exact", F.col("p_unit").eqNullSafe(F.col("common")) & F.col("p_figure").isNotNull())
-        .withColumn("alias", F.when(F.col("p_figure").isNotNull(), F.coalesce("p_alias", "p_text_alias")).otherwise(F.col("p_text_alias")))
+    # one pass: both figures of a row are looked up side by side, then split into rows
+    p, c = F.col("p_figure").isNotNull(), F.col("c_figure").isNotNull()
+    row = (
+        read.withColumns({
+            "figure_p": F.when(F.col("common").isNotNull(), F.coalesce("p_figure", "p_text_figure")),
+            "figure_c": F.coalesce("c_figure", "c_text_amount"),
+            "alias": F.when(p, F.coalesce("p_alias", "p_text_alias")).otherwise(F.col("p_text_alias")),
+            "c_key": F.when(c, F.coalesce("c_alias", "c_text_alias")).otherwise(F.col("c_text_alias")),
+            "cost_year": F.when(c, F.coalesce("c_year", "c_text_year")).otherwise(F.col("c_text_year")),
+        })
+        .filter("figure_p IS NOT NULL OR figure_c IS NOT NULL")
         .join(factors.withColumnRenamed("dimension", "dim"), ["alias", "dim"], "left")
         .join(F.broadcast(usual), "common", "left")
-        .withColumn("scaled", F.col("exact") & (F.col("figure") > F.col("usual") * SCALE_STEP))
-        .select(
-            "row_id", F.lit("PowerRate").alias("field_name"), "figure",
-            F.when(F.col("scaled"), "scale").when(F.col("p_alias").isNotNull() & F.col("p_figure").isNotNull(), "column").when(F.col("alias").isNotNull(), "text").alias("told_by"),
-            F.when(F.col("alias").isNotNull(), F.col("common")).alias("common_unit"),
-            F.when(F.col("scaled"), F.col("figure") / 1000).otherwise(F.col("figure") * F.col("factor")).alias("value"),
-            F.lit(None).cast("double").alias("eur_2014"),
-            (F.col("alias").isNotNull() & (~F.col("exact") | F.coalesce("scaled", F.lit(False)))).alias("is_case"),
-        )
-    )
-
-    cost = (
-        read.withColumn("figure", F.coalesce("c_figure", "c_text_amount"))
-        .filter("figure IS NOT NULL")
-        .withColumn("c_key", F.when(F.col("c_figure").isNotNull(), F.coalesce("c_alias", "c_text_alias")).otherwise(F.col("c_text_alias")))
-        .withColumn("cost_year", F.when(F.col("c_figure").isNotNull(), F.coalesce("c_year", "c_text_year")).otherwise(F.col("c_text_year")))
         .join(currencies, "c_key", "left")
         .join(F.broadcast(known), ["code", "cost_year"], "left")
-        .withColumn("common_unit", F.when(F.col("rate").isNotNull(), F.concat_ws(" ", "code", F.col("cost_year").cast("string"))))
-        .withColumn("exact", F.col("c_unit").eqNullSafe(F.col("code")) & F.col("c_year_raw").eqNullSafe(F.col("cost_year")) & F.col("c_figure").isNotNull())
-        .select(
-            "row_id", F.lit("BaseCost").alias("field_name"), "figure",
-            F.when(F.col("c_alias").isNotNull() & F.col("c_figure").isNotNull(), "column").when(F.col("c_key").isNotNull(), "text").alias("told_by"),
-            "common_unit", (F.col("figure") * F.col("c_factor")).alias("value"), (F.col("figure") * F.col("c_factor") * F.col("rate")).alias("eur_2014"),
-            (F.col("common_unit").isNotNull() & ~F.col("exact")).alias("is_case"),
-        )
+        .withColumn("cost_unit", F.when(F.col("rate").isNotNull(), F.concat_ws(" ", "code", F.col("cost_year").cast("string"))))
+        .withColumn("exact_p", F.col("p_unit").eqNullSafe(F.col("common")) & p)
+        .withColumn("exact_c", F.col("c_unit").eqNullSafe(F.col("code")) & F.col("c_year_raw").eqNullSafe(F.col("cost_year")) & c)
+        .withColumn("scaled", F.coalesce(F.col("exact_p") & (F.col("figure_p") > F.col("usual") * SCALE_STEP), F.lit(False)))
+    )
+    told = F.col("alias").isNotNull()
+    power = F.struct(
+        F.lit("PowerRate").alias("field_name"), F.col("figure_p").alias("figure"),
+        F.when(F.col("scaled"), "scale").when(F.col("p_alias").isNotNull() & p, "column").when(told, "text").alias("told_by"),
+        F.when(told, F.col("common")).alias("common_unit"),
+        F.when(F.col("scaled"), F.col("figure_p") / 1000).otherwise(F.col("figure_p") * F.col("factor")).alias("value"),
+        F.lit(None).cast("double").alias("eur_2014"), (told & (~F.col("exact_p") | F.col("scaled"))).alias("is_case"),
+    )
+    amount = F.col("figure_c") * F.col("c_factor")
+    cost = F.struct(
+        F.lit("BaseCost").alias("field_name"), F.col("figure_c").alias("figure"),
+        F.when(F.col("c_alias").isNotNull() & c, "column").when(F.col("c_key").isNotNull(), "text").alias("told_by"), F.col("cost_unit").alias("common_unit"),
+        amount.alias("value"), (amount * F.col("rate")).alias("eur_2014"), (F.col("cost_unit").isNotNull() & ~F.col("exact_c")).alias("is_case"),
     )
-    return power.unionByName(cost)
+    return row.select("row_id", F.explode(F.array(power, cost)).alias("f")).select("row_id", "f.*").filter("figure IS NOT NULL")
 
 
 def misrecorded(rows: DataFrame, rates: DataFrame) -> DataFrame:
