@@ -50,13 +50,12 @@ SWITCH, SWITCH_AT_BREAK = 14.0, 6.0
 _TAG = re.compile(r"<[^<>]{1,200}>|\[/?[a-zA-Z*]+(?:=[^\]\[]*)?\]")
 _LINK = re.compile(r"(?:https?://|www\.)\S+|[\w.+-]{1,64}@\S+")
 _SOFT = re.compile("[­​-‏⁠﻿]")
-#: a word of letters (marks inside); a break is the end of a sentence or line
-_WORD = re.compile(r"[^\W\d_]+(?:['’ʼ\-][^\W\d_]+)*")
+#: a word of letters (marks inside), no part of a code with digits; a break is the end of a sentence or line
+_WORD = re.compile(r"(?<!\w)[^\W\d_]++(?:['’ʼ\-][^\W\d_]++)*+(?!-?\d)")
 _BREAK = re.compile(r"[.!?…:\n]+")
 #: a line that only names the author of the quote below it; a signature at the end below a rule
 _ATTRIBUTION = re.compile(r"(?m)^[> \t]*\S{1,60}(?: [^\s:]{1,30}){1,4}:[ \t]*\n(?=[ \t]*>)")
 _SIGNATURE = re.compile(r"\n(?:_{4,80}|--|\* \* \*|-{4,80})[ \t]*\n(?:[^\n]{0,60}\n?){0,3}\Z")
-_CODE = re.compile(r"\b(?=[\w-]{0,40}\d)[\w-]+\b")
 
 
 def canonical(label: str | None) -> str | None:
@@ -78,9 +77,18 @@ def canonical_label(col: str) -> F.Column:
 
 def words_of(text: str) -> tuple[list[str], np.ndarray]:
     """Lower-case words of a text and, for each, whether a sentence or line ended before it."""
-    t = html.unescape(_SOFT.sub("", text)).replace("\r\n", "\n")
-    t = _SIGNATURE.sub("\n", _ATTRIBUTION.sub("\n", t))
-    t = _CODE.sub(" ", _LINK.sub(" ", _TAG.sub(" ", t))).lower()
+    t = text if text.isascii() else _SOFT.sub("", text)
+    if "&" in t:
+        t = html.unescape(t)
+    if "\n" in t:
+        t = t.replace("\r\n", "\n")
+        t = _ATTRIBUTION.sub("\n", t) if ">" in t else t
+        t = _SIGNATURE.sub("\n", t)
+    if "<" in t or "[" in t:
+        t = _TAG.sub(" ", t)
+    if "www." in t or "http" in t or "@" in t:
+        t = _LINK.sub(" ", t)
+    t = t.lower()
     words, starts = [], []
     for part in _BREAK.split(t):
         got = _WORD.findall(part)
@@ -101,14 +109,14 @@ class Scorer:
     """Log probabilities of words under each language; words seen before are looked up."""
 
     def __init__(self, matrix: np.ndarray) -> None:
-        self.matrix, self.row, self.scores = matrix, {}, np.empty((0, matrix.shape[1]))
+        self.matrix, self.row, self.scores = matrix, {}, np.empty((0, matrix.shape[1]), dtype=np.float32)
 
     def rows(self, words: list[str]) -> np.ndarray:
         """Row number of each word's scores."""
         new = [w for w in dict.fromkeys(words) if w not in self.row]
         if new:
             if len(self.row) + len(new) > 500_000:
-                self.row, self.scores = {}, np.empty((0, self.matrix.shape[1]))
+                self.row, self.scores = {}, np.empty((0, self.matrix.shape[1]), dtype=np.float32)
                 new = list(dict.fromkeys(words))
             ids = [grams(w) for w in new]
             size = np.array([len(x) for x in ids])
@@ -117,8 +125,8 @@ class Scorer:
             # the n-grams of a word overlap, so their evidence is damped to about one of them a letter
             got = got / len(NGRAMS)
             self.row.update(zip(new, range(len(self.row), len(self.row) + len(new))))
-            self.scores = np.vstack([self.scores, got - got.max(axis=1, keepdims=True)])
-        return np.fromiter((self.row[w] for w in words), dtype=np.int64, count=len(words))
+            self.scores = np.vstack([self.scores, (got - got.max(axis=1, keepdims=True)).astype(np.float32)])
+        return np.fromiter(map(self.row.__getitem__, words), dtype=np.int64, count=len(words))
 
 
 def viterbi(scores: list[np.ndarray], breaks: list[np.ndarray]) -> list[np.ndarray]:
@@ -134,12 +142,12 @@ def viterbi(scores: list[np.ndarray], breaks: list[np.ndarray]) -> list[np.ndarr
         group = order[at:stop]
         at = stop
         n, k, size = max(len(scores[i]) for i in group), scores[group[0]].shape[1], len(group)
-        s, b = np.zeros((n, size, k)), np.zeros((n, size), dtype=bool)
+        s, b = np.zeros((n, size, k), dtype=np.float32), np.zeros((n, size), dtype=bool)
         for j, i in enumerate(group):
             s[: len(scores[i]), j], b[: len(breaks[i]), j] = scores[i], breaks[i]
         stay = np.zeros((n, size, k), dtype=bool)
         came = np.zeros((n, size), dtype=np.int8)
-        cost = np.where(b, SWITCH_AT_BREAK, SWITCH)
+        cost = np.where(b, np.float32(SWITCH_AT_BREAK), np.float32(SWITCH))
         best, each = s[0], np.arange(size)
         for t in range(1, n):
             top = best.argmax(axis=1)
@@ -203,8 +211,8 @@ def _counted(sample: DataFrame, matrix: np.ndarray | None) -> np.ndarray:
 
         scorer = None if model is None else Scorer(model.value)
         for pdf in batches:
-            for at in range(0, len(pdf), 512):
-                part = pdf.iloc[at : at + 512]
+            for at in range(0, len(pdf), 8192):
+                part = pdf.iloc[at : at + 8192]
                 texts, labels = part["text"].tolist(), part["code"].tolist()
                 runs = segments_of(texts, scorer) if scorer else [None] * len(texts)
                 for text, code, segments in zip(texts, labels, runs):
@@ -250,8 +258,8 @@ def segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model.value)
         for pdf in batches:
-            for at in range(0, len(pdf), 2048):
-                part = pdf.iloc[at : at + 2048]
+            for at in range(0, len(pdf), 8192):
+                part = pdf.iloc[at : at + 8192]
                 got = [
                     (i, label, k, CODES[lang], first, n, conf)
                     for i, label, runs in zip(part["doc_id"], part["label"], segments_of(part["text"].tolist(), scorer))
@@ -277,8 +285,8 @@ def mislabelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model.value)
         for pdf in batches:
-            for at in range(0, len(pdf), 2048):
-                part = pdf.iloc[at : at + 2048]
+            for at in range(0, len(pdf), 8192):
+                part = pdf.iloc[at : at + 8192]
                 out = []
                 for i, label, runs in zip(part["doc_id"], part["label"], segments_of(part["text"].tolist(), scorer)):
                     held = {lang for lang, _, n, _ in runs if n >= MIN_WORDS}
