@@ -36,17 +36,22 @@ SHARD_WORDS = 1_000_000
 #: characters of test items searched for at once (what is sent to every worker); more items go in blocks
 ITEM_CHARS = 20_000_000
 
+#: how tags that end a line begin
+_BREAKING = {"br", "p>", "/p", "bl", "di", "/d", "li", "/l", "hr", "h1", "h2", "h3"}
 _TAG = re.compile(r"<[^<>]{0,300}>|\[/?[a-zA-Z*]+(?:=[^\]\[]*)?\]")
 _JOINED = re.compile("['’ʼ‘`´­​-‏‪-‮⁠-⁤﻿]|(?<=\\w)[-‐‑](?=\\w)")
+_MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 _WORD = re.compile(r"[^\W_]+")
 
 
 def words_of(text: str) -> list[str]:
     """The words of a text whatever its case, punctuation, markup, quote marks, special characters and line breaks."""
-    t = _TAG.sub(lambda m: " " if m.group()[1:3].lower() in ("br", "p>", "/p", "bl", "di", "/d", "li", "/l", "hr", "h1", "h2", "h3") else "", html.unescape(text))
+    t = html.unescape(text) if "&" in text else text
+    if "<" in t or "[" in t:
+        t = _TAG.sub(lambda m: " " if m.group()[1:3].lower() in _BREAKING else "", t)
     if not t.isascii():
         t = unicodedata.normalize("NFKC", t)
-        t = "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c))
+        t = _MARKS.sub("", unicodedata.normalize("NFD", t))
     return _WORD.findall(_JOINED.sub("", t).lower())
 
 
