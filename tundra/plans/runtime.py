@@ -35,17 +35,18 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder all executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (local tests) a
-    temporary one is made.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the session's ``spark.checkpoint.dir``; only where that is unset (local tests) a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tundra_ckpt_"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager)
 
 

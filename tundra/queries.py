@@ -14,6 +14,7 @@ from .functions import bitset, casts, mercator, polygon, records, softmax
 from .operators import accum, badrows, boxes, hierarchy, histogram, kvstore, nested, notes, spatial, timed, tracts, units
 from .plans.runtime import ship_package, spread, table
 from .sources import csvtext, kvp, ogr, packed, yamlfiles
+from .streaming import ledger as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -542,7 +543,7 @@ def get_float(spark, d):
     return table(spark, d, "test_csv_input").select("row_id", casts.get_float(F.col("BaseCost"), F.col("PowerRate")).alias("f"))
 
 
-@query("percent", "SELECT p_partkey, round(0.01 * p_size, 9) AS share FROM part")
+@query("percent", "SELECT p_partkey, round(0.01::DOUBLE * p_size, 9) AS share FROM part")
 def percent(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(casts.percent(F.concat(F.col("p_size").cast("string"), F.lit("%"))), 9).alias("share"))
 
@@ -602,11 +603,21 @@ def tract_extent(spark, d):
     return e.groupBy("sId").agg(F.count(F.lit(1)).alias("n"), polygon.extent_of_group(F.col("e")).alias("e")).select("sId", "n", "e.*")
 
 
-@query("tract_roll_up")
+_ROLL = """WITH r AS (SELECT row_number() OVER () AS k, sId, polygon, innerRings FROM ctractpoly WHERE polygon IS NOT NULL AND len(polygon) >= 3), g AS (SELECT k, sId, 0 AS h, polygon AS r FROM r UNION ALL
+SELECT k, sId, i, innerRings[i] FROM r, LATERAL (SELECT unnest(range(1, coalesce(len(innerRings), 0) + 1)) AS i) u WHERE len(innerRings[i]) > 2),
+e AS (SELECT k, sId, h, r[i] AS p, r[CASE WHEN i = len(r) THEN 1 ELSE i + 1 END] AS q FROM g, LATERAL (SELECT unnest(range(1, len(r) + 1)) AS i) u),
+c AS (SELECT k, sId, h, sum(p.x * q.y - q.x * p.y) / 2 AS a, sum((p.x + q.x) * (p.x * q.y - q.x * p.y)) / 6 AS mx, sum((p.y + q.y) * (p.x * q.y - q.x * p.y)) / 6 AS my, min(p.x) AS x0, min(p.y) AS y0, max(p.x) AS x1, max(p.y) AS y1 FROM e GROUP BY ALL),
+s AS (SELECT k, sId, h, abs(a) * CASE WHEN h > 0 THEN -1 ELSE 1 END AS w, mx / a AS x, my / a AS y, x0, y0, x1, y1 FROM c WHERE a <> 0),
+p AS (SELECT k, sId, CASE WHEN sum(w) = 0 THEN max(CASE WHEN h = 0 THEN w END) ELSE sum(w) END AS w, CASE WHEN sum(w) = 0 THEN max(CASE WHEN h = 0 THEN x END) ELSE sum(w * x) / sum(w) END AS x, CASE WHEN sum(w) = 0 THEN max(CASE WHEN h = 0 THEN y END) ELSE sum(w * y) / sum(w) END AS y, min(CASE WHEN h = 0 THEN x0 END) AS x0, min(CASE WHEN h = 0 THEN y0 END) AS y0, max(CASE WHEN h = 0 THEN x1 END) AS x1, max(CASE WHEN h = 0 THEN y1 END) AS y1 FROM s GROUP BY k, sId)
+SELECT sId, count(*) AS n_polys, min(x0) AS min_x, min(y0) AS min_y, max(x1) AS max_x, max(y1) AS max_y, round(sum(w * x) / sum(w), 3) AS x, round(sum(w * y) / sum(w), 3) AS y, round(sum(w), 6) AS area FROM p GROUP BY sId"""
+
+
+@query("tract_roll_up", _ROLL)
 def tract_roll_up(spark, d):
     """Centroid and extent of each tract from its polygons minus their holes."""
     r = tracts.roll_up(tracts.polygons(table(spark, d, "ctractpoly")))
-    return rounded(r.select("sId", "n_polys", "extent.*", F.col("centroid.x").alias("x"), F.col("centroid.y").alias("y"), F.col("centroid.area").alias("area")))
+    c = F.col("centroid")
+    return r.select("sId", "n_polys", "extent.*", (F.round(c["x"], 3) + 0.0).alias("x"), (F.round(c["y"], 3) + 0.0).alias("y"), F.round(c["area"], 6).alias("area"))
 
 
 _WINDING = "sum(CASE WHEN least(p.y, q.y) <= {y} AND {y} < greatest(p.y, q.y) AND CASE WHEN q.y > p.y THEN (q.x - p.x) * ({y} - p.y) - ({x} - p.x) * (q.y - p.y) ELSE (p.x - q.x) * ({y} - q.y) - ({x} - q.x) * (p.y - q.y) END > 0 THEN CASE WHEN q.y > p.y THEN 1 ELSE -1 END ELSE 0 END)"
@@ -696,7 +707,14 @@ def box_find_node(spark, d):
     return boxes.find_node(_boxes(spark, d), table(spark, d, "supplier").select(F.col("s_suppkey").alias("poly_id")), "poly_id")
 
 
-@query("find_tract")
+_TRACTS = _P4[: _P4.index(", k AS (SELECT DISTINCT point_id")]
+
+
+@query(
+    "find_tract",
+    f"""{_TRACTS}, o AS (SELECT point_id, poly_id, sId, NOT coalesce(bool_or(h > 0 AND inside), false) AS ok FROM w GROUP BY ALL HAVING bool_or(h = 0 AND inside)), a AS (SELECT point_id, bool_or(ok) AS found FROM o GROUP BY point_id)
+    SELECT DISTINCT o.point_id, sId FROM o JOIN a ON o.point_id = a.point_id WHERE ok OR NOT found""",
+)
 def find_tract(spark, d):
     """Tracts of each point; where it lies only in holes, those tracts."""
     return tracts.find_tracts(table(spark, d, "tract_point"), tracts.polygons(table(spark, d, "ctractpoly")), 0.1, allow_in_holes=True)
@@ -816,7 +834,7 @@ def csv_cells(spark, d):
 
 @query(
     "csv_infer",
-    """SELECT p_partkey, 'int' AS k_size, p_size::BIGINT AS size, 'float' AS k_price, p_retailprice AS price, 'str' AS k_brand, p_brand AS brand, 'pct' AS k_pct, round(0.01 * p_size, 9) AS pct, 'str' AS k_quoted, p_size::VARCHAR AS quoted FROM part""",
+    """SELECT p_partkey, 'int' AS k_size, p_size::BIGINT AS size, 'float' AS k_price, p_retailprice AS price, 'str' AS k_brand, p_brand AS brand, 'pct' AS k_pct, round(0.01::DOUBLE * p_size, 9) AS pct, 'str' AS k_quoted, p_size::VARCHAR AS quoted FROM part""",
 )
 def csv_infer(spark, d):
     """Lines written from a table and read again: quoted text stays text, even digits."""
@@ -867,7 +885,7 @@ def yaml_simplify(spark, d):
     return yamlfiles.simplify_json(table(spark, d, "yaml_rec"), "rec_id", "doc")
 
 
-@query("yaml_key_union")
+@query("yaml_key_union", "SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(doc)) AS key FROM yaml_rec WHERE json_valid(doc)) GROUP BY key")
 def yaml_key_union(spark, d):
     """Top-level keys of all whole records with their counts."""
     keys = F.explode(F.json_object_keys("doc"))
@@ -931,3 +949,20 @@ def default_dict(spark, d):
 @query("key_union", "SELECT key, count(*) AS n FROM (SELECT unnest(['name', 'abbrev']) AS key UNION SELECT unnest(['abbrev', 'size'])) GROUP BY key")
 def key_union(spark, d):
     return spark.range(1).select(F.explode(F.array_union(F.array(F.lit("name"), F.lit("abbrev")), F.array(F.lit("abbrev"), F.lit("size")))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- streams
+
+
+@query(
+    "stream_statistics",
+    "SELECT event_type, count(value) AS count, round(sum(value), 4) AS sum, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS stdv, min(value) AS min, max(value) AS max FROM events GROUP BY event_type",
+)
+def stream_statistics(spark, d):
+    """The accumulators of a stream that is read to its present end."""
+    return rounded(streams.run_available(streams.running_statistics(streams.table_stream(spark, d, "events"), ["event_type"], "value"), ["event_type"]))
+
+
+@query("stream_histogram", _BINS.format(q="5::DOUBLE"))
+def stream_histogram(spark, d):
+    return streams.run_available(streams.running_histogram(streams.table_stream(spark, d, "events"), ["event_type"], "value", 5.0), ["event_type", "bin"])
