@@ -47,6 +47,9 @@ MIN_WORDS = 10
 #: log penalty for changing the language between two words; between sentences it is easier
 SWITCH, SWITCH_AT_BREAK = 14.0, 6.0
 
+#: words decoded side by side, and characters of texts scored at once (bounds of memory; a longer text goes alone)
+CELLS, PART_CHARS = 400_000, 8_000_000
+
 _TAG = re.compile(r"<[^<>]{1,200}>|\[/?[a-zA-Z*]+(?:=[^\]\[]*)?\]")
 _LINK = re.compile(r"(?:https?://|www\.)\S+|[\w.+-]{1,64}@\S+")
 _SOFT = re.compile("[­​-‏⁠﻿]")
@@ -137,7 +140,7 @@ def viterbi(scores: list[np.ndarray], breaks: list[np.ndarray]) -> list[np.ndarr
     while at < len(order):
         longest = len(scores[order[at]])
         stop = at
-        while stop < len(order) and stop - at < 2048 and len(scores[order[stop]]) <= longest * 1.3 + 8:
+        while stop < len(order) and (stop - at + 1) * len(scores[order[stop]]) <= max(CELLS, longest) and len(scores[order[stop]]) <= longest * 1.3 + 8:
             stop += 1
         group = order[at:stop]
         at = stop
@@ -185,6 +188,16 @@ def segments_of(texts: list[str | None], scorer: Scorer) -> list[list[tuple[int,
     return out
 
 
+def _parts(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """A batch in parts of bounded text length."""
+    size = pdf["text"].str.len().fillna(0).astype("int64").cumsum().to_numpy()
+    at = 0
+    while at < len(pdf):
+        stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PART_CHARS, side="right")))
+        yield pdf.iloc[at:stop]
+        at = stop
+
+
 def _log_matrix(counts: np.ndarray) -> np.ndarray:
     """Smoothed log probabilities of the buckets, languages in columns."""
     total = counts.sum(axis=1, keepdims=True)
@@ -211,8 +224,7 @@ def _counted(sample: DataFrame, matrix: np.ndarray | None) -> np.ndarray:
 
         scorer = None if model is None else Scorer(model.value)
         for pdf in batches:
-            for at in range(0, len(pdf), 8192):
-                part = pdf.iloc[at : at + 8192]
+            for part in _parts(pdf):
                 texts, labels = part["text"].tolist(), part["code"].tolist()
                 runs = segments_of(texts, scorer) if scorer else [None] * len(texts)
                 for text, code, segments in zip(texts, labels, runs):
@@ -258,8 +270,7 @@ def segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model.value)
         for pdf in batches:
-            for at in range(0, len(pdf), 8192):
-                part = pdf.iloc[at : at + 8192]
+            for part in _parts(pdf):
                 got = [
                     (i, label, k, CODES[lang], first, n, conf)
                     for i, label, runs in zip(part["doc_id"], part["label"], segments_of(part["text"].tolist(), scorer))
@@ -285,8 +296,7 @@ def mislabelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model.value)
         for pdf in batches:
-            for at in range(0, len(pdf), 8192):
-                part = pdf.iloc[at : at + 8192]
+            for part in _parts(pdf):
                 out = []
                 for i, label, runs in zip(part["doc_id"], part["label"], segments_of(part["text"].tolist(), scorer)):
                     held = {lang for lang, _, n, _ in runs if n >= MIN_WORDS}

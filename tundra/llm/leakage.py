@@ -274,30 +274,29 @@ def _spans_of_block(docs: DataFrame, items: DataFrame, id_col: str, text_col: st
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         it = model.value
-        number, zeros = it.vocabulary.get, [0] * WINDOW
+        number, zeros = it.vocabulary.get, np.zeros(WINDOW, dtype=np.int32)
 
-        def shard(ids: list, row: list[int], bound: list[int], shifts: list[np.ndarray]) -> pd.DataFrame:
-            row += zeros
-            starts, parts = find_in_shard(np.array(row, dtype=np.int32), it)
+        def shard(ids: list, row: list[np.ndarray], bound: list[int], shifts: list[np.ndarray]) -> pd.DataFrame:
+            starts, parts = find_in_shard(np.concatenate([*row, zeros]), it)
             starts, parts = within_texts(starts, parts, np.array(bound), np.array([len(x) for x in shifts]))
             out = [(ids[d], item, int(shifts[d][s - bound[d]]), int(shifts[d][e - 1 - bound[d]]) + 1) for d, p, s, e in _spans(starts, parts, np.array(bound)) for item in it.owners[p]]
             return pd.DataFrame(out, columns=["doc_id", "item_id", "first_word", "end_word"]).astype({"doc_id": "int64", "item_id": "int64", "first_word": "int32", "end_word": "int32"})
 
-        ids, row, bound, shifts = [], list(zeros), [], []
+        ids, row, bound, shifts, n = [], [zeros], [], [], WINDOW
         for pdf in batches:
             for i, text in zip(pdf["doc_id"], pdf["text"]):
                 if text:
-                    words = [number(w, 0) for w in words_of(text)]
-                    kept, offsets = squeeze(np.array(words, dtype=np.int32))
+                    words = words_of(text)
+                    kept, offsets = squeeze(np.fromiter((number(w, 0) for w in words), dtype=np.int32, count=len(words)))
                     if len(kept) >= WINDOW:
                         ids.append(i)
-                        bound.append(len(row))
+                        bound.append(n)
                         shifts.append(offsets)
-                        row += kept.tolist()
-                        row += zeros
-                        if len(row) >= SHARD_WORDS:
+                        row += [kept, zeros]
+                        n += len(kept) + WINDOW
+                        if n >= SHARD_WORDS:
                             yield shard(ids, row, bound, shifts)
-                            ids, row, bound, shifts = [], list(zeros), [], []
+                            ids, row, bound, shifts, n = [], [zeros], [], [], WINDOW
         if ids:
             yield shard(ids, row, bound, shifts)
 
