@@ -45,3 +45,15 @@ def test_written_records_split_back(fields):
     out = io.StringIO()
     csv.writer(out, quoting=csv.QUOTE_ALL, lineterminator="").writerow(fields)
     assert B.split_record(out.getvalue()) == fields
+
+
+@pytest.mark.parametrize("slice_", [3, 100_000])
+def test_assemble(spark, monkeypatch, slice_):
+    monkeypatch.setattr(B, "SLICE", slice_)
+    text = ['a,"b', 'c ""d""', '",e', "plain", '"x","y"', "", '"open', *["tail"] * 30]
+    df = spark.createDataFrame([("f", i, t) for i, t in enumerate(text)] + [("g", i, t) for i, t in enumerate(['"1', '2"', None])], "file string, n int, line string").repartition(3)
+    got = rows(B.assemble(df, "file", "n", "line", longest=10))
+    assert got[:4] == [("f", 0, 'a,"b\nc ""d""\n",e'), ("f", 10, "tail"), ("f", 11, "tail"), ("f", 12, "tail")]
+    by = {(f, n): t for f, n, t in got}
+    assert by["f", 3] == "plain" and by["f", 4] == '"x","y"' and by["f", 6] == '"open' and by["f", 36] == "tail" and by["g", 0] == '"1\n2"' and by["g", 2] == ""
+    assert B.assemble(df.limit(0), "file", "n", "line").count() == 0

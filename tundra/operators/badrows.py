@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # The columns of the equipment list, in order.
 COLUMNS = [
@@ -173,3 +174,31 @@ def rejected(lines: DataFrame, id_col: str = "line_id", line_col: str = "line")
 def loaded(lines: DataFrame, **cols: str) -> DataFrame:
     """The good rows, typed."""
     return parse_records(lines, **cols).filter("reason IS NULL").drop("reason")
+
+
+#: lines of a file whose running quote count is kept in one window
+SLICE = 100_000
+
+
+def assemble(lines: DataFrame, file_col: str, order_col: str, line_col: str, longest: int = 1000) -> DataFrame:
+    """(file, first line's order, record): lines joined to records where quotes stay open over line ends.
+
+    For inputs whose records may span lines; ``parse_records`` takes its result as lines. A line begins a record if the
+    quotes before it are even in number. Running counts go through slices with prefix totals, so a file may be
+    any size. An unclosed quote would swallow the rest of a file: lines of records of more than ``longest`` lines come
+    out one by one instead, and the parser then gives each its reason.
+    """
+    quotes = lambda c: F.length(c) - F.length(F.replace(c, F.lit('"'), F.lit("")))
+    src = lines.select(F.col(file_col).alias("file"), F.col(order_col).cast("bigint").alias("o"), F.coalesce(F.col(line_col), F.lit("")).alias("line"))
+    src = src.withColumn("q", quotes(F.col("line"))).withColumn("s", F.floor(F.col("o") / SLICE))
+    over_slices = Window.partitionBy("file").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    before = src.groupBy("file", "s").agg(F.sum("q").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(over_slices), F.lit(0))).drop("n")
+    inside = Window.partitionBy("file", "s").orderBy("o")
+    open_before = F.col("before") + F.coalesce(F.sum("q").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    marked = src.join(before, ["file", "s"]).withColumn("start", F.when(open_before % 2 == 0, F.col("o")))
+    carried = marked.groupBy("file", "s").agg(F.max("start").alias("last")).withColumn("carry", F.last("last", True).over(over_slices)).drop("last")
+    keyed = marked.withColumn("key", F.last("start", True).over(inside.rowsBetween(Window.unboundedPreceding, 0))).join(carried, ["file", "s"]).withColumn("key", F.coalesce("key", "carry"))
+    size = keyed.groupBy("file", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > longest).select("file", "key", F.lit(True).alias("long"))
+    keyed = keyed.join(size, ["file", "key"], "left").withColumn("key", F.when(F.col("long"), F.col("o")).otherwise(F.col("key")))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("o", "line"))), lambda x: x["line"])
+    return keyed.groupBy("file", "key").agg(F.array_join(parts, "\n").alias("record")).select(F.col("file").alias(file_col), F.col("key").alias(order_col), F.col("record").alias(line_col))
