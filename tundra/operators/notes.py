@@ -8,7 +8,7 @@ The gate needs each event's last toggle. Toggles are few beside notes but not pr
 slices of seq: the state at each slice's start is a running value over slices, and the window only runs inside a slice.
 
 Defined results
-    groups start enabled; a note sent again (same group, holder, seq) counts once; values of null add nothing; text joins
+    events without a group or seq are left out, without a key folded as a key of their own; groups start enabled; a note sent again (same group, holder, seq) counts once; values of null add nothing; text joins
     after numbers are separate results of a key; an empty ledger gives no rows.
 """
 
