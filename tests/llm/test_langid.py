@@ -68,6 +68,17 @@ def test_held_out_accuracy(spark, model):
     assert np.mean([len(g) == 1 and G.CODES[g[0][0]] == t for g, t in zip(got, truth)]) > 0.98
 
 
+def test_cache_of_few_words(model):
+    """Emptying the word cache between the texts of a part changes no result."""
+    _, _, m = model
+    r = random.Random(3)
+    texts = [*(" ".join(sentence(r, lang, 12) for lang in r.sample(list(TEXT), 2)) for _ in range(40)), "", None]
+    want = G.segments_of(texts, G.Scorer(m))
+    assert sum(map(len, want)) > 60
+    for words in (1, 5, 30, 60):
+        assert G.segments_of(texts, G.Scorer(m, words)) == want
+
+
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "some text that has no label at all", None, "", "", 1)], SCHEMA)
     assert G.mislabelled(df).count() == 0 and G.mislabelled(df.limit(0)).count() == 0 and G.segments(df).count() == 0

@@ -49,6 +49,8 @@ SWITCH, SWITCH_AT_BREAK = 14.0, 6.0
 
 #: words decoded side by side, and characters of texts scored at once (bounds of memory; a longer text goes alone)
 CELLS, PART_CHARS = 400_000, 8_000_000
+#: distinct words whose scores a task keeps; beyond them it starts anew (a bound of memory, results are the same)
+CACHE_WORDS = 500_000
 
 _TAG = re.compile(r"<[^<>]{1,200}>|\[/?[a-zA-Z*]+(?:=[^\]\[]*)?\]")
 _LINK = re.compile(r"(?:https?://|www\.)\S+|[\w.+-]{1,64}@\S+")
@@ -111,14 +113,15 @@ def grams(word: str) -> list[int]:
 class Scorer:
     """Log probabilities of words under each language; words seen before are looked up."""
 
-    def __init__(self, matrix: np.ndarray) -> None:
-        self.matrix, self.row, self.scores = matrix, {}, np.empty((0, matrix.shape[1]), dtype=np.float32)
+    def __init__(self, matrix: np.ndarray, cache_words: int = CACHE_WORDS) -> None:
+        self.matrix, self.cache_words = matrix, cache_words
+        self.row, self.scores = {}, np.empty((0, matrix.shape[1]), dtype=np.float32)
 
-    def rows(self, words: list[str]) -> np.ndarray:
-        """Row number of each word's scores."""
+    def of(self, words: list[str]) -> np.ndarray:
+        """Each word's scores. They are copies, as the table may be emptied at the next call."""
         new = [w for w in dict.fromkeys(words) if w not in self.row]
         if new:
-            if len(self.row) + len(new) > 500_000:
+            if len(self.row) + len(new) > self.cache_words:
                 self.row, self.scores = {}, np.empty((0, self.matrix.shape[1]), dtype=np.float32)
                 new = list(dict.fromkeys(words))
             ids = [grams(w) for w in new]
@@ -129,7 +132,7 @@ class Scorer:
             got = got / len(NGRAMS)
             self.row.update(zip(new, range(len(self.row), len(self.row) + len(new))))
             self.scores = np.vstack([self.scores, (got - got.max(axis=1, keepdims=True)).astype(np.float32)])
-        return np.fromiter(map(self.row.__getitem__, words), dtype=np.int64, count=len(words))
+        return self.scores[np.fromiter(map(self.row.__getitem__, words), dtype=np.int64, count=len(words))]
 
 
 def viterbi(scores: list[np.ndarray], breaks: list[np.ndarray]) -> list[np.ndarray]:
@@ -172,8 +175,7 @@ def viterbi(scores: list[np.ndarray], breaks: list[np.ndarray]) -> list[np.ndarr
 def segments_of(texts: list[str | None], scorer: Scorer) -> list[list[tuple[int, int, int, float]]]:
     """For each text its segments as (language, first word, words, confidence)."""
     split = [words_of(t) if t else ([], np.zeros(0, dtype=bool)) for t in texts]
-    rows = [scorer.rows(w) if w else np.empty(0, dtype=np.int64) for w, _ in split]
-    scores = [scorer.scores[r] for r in rows]
+    scores = [scorer.of(w) for w, _ in split]
     out = []
     for path, s in zip(viterbi(scores, [b for _, b in split]), scores):
         if not len(path):
