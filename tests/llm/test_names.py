@@ -55,6 +55,49 @@ def test_crowded_blocks(spark, monkeypatch):
     assert len({r["class"] for r in classes(spark, rows).collect()}) == 1
 
 
+def word(r, n):
+    return "".join(r.choice("abcdefgh") for _ in range(n)).capitalize()
+
+
+def test_crowded_key_of_strangers(spark, monkeypatch):
+    """Many makers share only a first part: who matches, and whom a vague spelling may join, needs all of them."""
+    r, last = random.Random(5), ["Kovac", "Lindgren", "Moritz", "Nyberg", "Olsen", "Petrov"]
+    rows = [(f"Anna {word(r, 9)}", None) for _ in range(200)] + [(f"Anna {x}", None) for k in last for x in (k, f"{k[0]}.")] + [("anna", None)]
+    rows += [(None, f"{word(r, 9)} PP 63680") for _ in range(200)] + [(None, "PP 63680 Gervodat"), (None, "Gerv. PP 63680")]
+    monkeypatch.setattr(N, "BLOCK_ROWS", 5)
+    got = {(x.field_name, x.name): x["class"] for x in classes(spark, rows).collect()}
+    assert all(got["Make", f"Anna {k[0]}."] == got["Make", f"Anna {k}"] for k in last)
+    assert [n for (_, n), c in got.items() if c == got["Make", "anna"]] == ["anna"]
+    assert got["DisplayName", "PP 63680 Gervodat"] == got["DisplayName", "Gerv. PP 63680"]
+    monkeypatch.setattr(N, "BLOCK_ROWS", 10**9)
+    assert {(x.field_name, x.name): x["class"] for x in classes(spark, rows).collect()} == got
+
+
+def test_index_finds_every_match():
+    r = random.Random(6)
+    short = lambda a, b: "".join(r.choice("abc") for _ in range(r.randrange(a, b)))
+    some = lambda p, a=3, b=10: {short(a, b) for _ in range(r.choice((0, 1, 1, 2)))} if r.random() < p else set()
+    seen = 0
+    for kind in range(3000):
+        if kind % 3:
+            record = lambda: [*(f"F:{x}" for x in some(0.8, 1)), *(y for x in some(0.7, 1) for y in (f"S:{x}", f"I:{x[0]}")), *(f"I:{x}" for x in some(0.2, 1, 2)), *(f"T:{x}" for x in some(0.5, 1, 2)), *(f"A:{x}" for x in some(0.3, 3, 4))]
+        else:
+            record = lambda: [*(f"C:{x}" for x in some(0.9, 1, 2)), *(f"W:{x}" for x in some(0.8, 1, 12))]
+        records = [record() for _ in range(12)]
+        for a in records:
+            for b in records:
+                p, q = N.by_tag(a), N.by_tag(b)
+                if N.matches(p, q):
+                    seen += 1
+                    assert N.match_keys(p)[1] & N.match_keys(q)[0], (a, b)
+        plain, indexed = N._Block(10**9), N._Block(2)
+        for i, x in enumerate(records):
+            plain.add(str(i), x)
+            indexed.add(str(i), x)
+        assert sorted(plain.links()) == sorted(indexed.links())
+    assert seen > 10_000
+
+
 def test_empty_and_long(spark):
     assert classes(spark, [("a", "b")]).limit(0).count() == 0 and N.resolve(spark.createDataFrame([], SCHEMA)).count() == 0
     assert classes(spark, [("word " * 20_000, "word " * 20_000 + " AB 12345")]).count() == 2

@@ -4,9 +4,9 @@ Every distinct spelling starts as a record of its own with a profile: the first
 kinds of business and catalogue codes that it shows. Profiles give specific blocking keys; within a block records
 that match are merged, which unions their spellings and initials; the richer profiles enter blocking again,
 until a round merges nothing. Rows are made distinct before anything else, so a spelling that fills a third of
-all rows counts once. A block is read as a stream in one task and only its clusters are held; blocks beyond
-``BLOCK_ROWS`` records are dealt over several tasks, whose merged records meet in the next round. Each round's state is
-a reliable checkpoint. Links are (spelling, class); pairs are only made for the classes' members.
+all rows counts once. A block is read as a stream in one task, whole, and only its clusters are held; beyond
+``BLOCK_ROWS`` clusters they are looked up by what a match must share instead of one after the other, with the same
+results. Each round's state is a reliable checkpoint. Links are (spelling, class); pairs are only made for the classes' members.
 
 Defined results
     a spelling that fits several classes which don't fit each other joins none of them in that block;
@@ -19,6 +19,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import partial
+from heapq import merge
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 
 from ..plans.runtime import checkpoint
 
-BLOCK_ROWS = 2000
+#: clusters of a block from which they are looked up in an index (a matter of time only)
+BLOCK_ROWS = 200
 MAX_ROUNDS = 50
 
 # Kinds of business in makers' names with their abbreviations, and legal forms.
@@ -165,45 +168,140 @@ def _initials(acronym: str, p: dict[str, set[str]]) -> bool:
     return any(f[: KEPT - 1] == acronym[: KEPT - 1] for f in p["F"]) and acronym[KEPT - 1] in p["T"]
 
 
-class _Block:
-    """The clusters of one block so far; an incoming record joins, and may join together, those it matches."""
+def _near(text: str, n: int) -> set[str]:
+    """The first ``n`` letters, whole and with one left out: words that differ by one slip have one of these in common."""
+    t = text[:n]
+    return {t, *(t[:i] + t[i + 1 :] for i in range(len(t)))}
+
+
+def _word_keys(kind: str, word: str, starts: set[str]) -> tuple[set[tuple], set[tuple]]:
+    """(shown, sought) of a word with short forms: short words meet all of a like start, long ones meet long ones only by a slip."""
+    short, long = {(kind, "short", x) for x in starts}, {(kind, "long", x) for x in starts}
+    if len(word) <= SHORT:
+        return short, short | long
+    slips = {(kind, "slip", x) for x in _near(word, SHORT)}
+    return long | slips, short | slips
+
+
+def match_keys(p: dict[str, set[str]]) -> tuple[set[tuple], set[tuple]]:
+    """(shown, sought): if two profiles match, the one shows a key that the other seeks, either way round."""
+    shown: set[tuple] = set()
+    sought: set[tuple] = set()
+
+    def word(kind: str, text: str, starts: set[str]) -> None:
+        a, b = _word_keys(kind, text, starts)
+        shown.update(a)
+        sought.update(b)
+
+    if p["C"]:
+        for c in p["C"]:
+            shown.add((f"c {c}", "any"))
+            sought.add((f"c {c}", "any" if not p["W"] else "bare"))
+            if not p["W"]:
+                shown.add((f"c {c}", "bare"))
+            for w in p["W"]:
+                word(f"c {c}", w, _near(w, KEPT))
+        return shown, sought
+    if p["W"]:
+        return (same := {("w", w) for w in p["W"]}), same
+    vague = not (p["S"] or p["I"])
+    for f in p["F"]:
+        first = f"f {f}"
+        shown.add((first, "any"))
+        sought.add((first, "any" if vague else "vague"))
+        if vague:
+            shown.add((first, "vague"))
+        slips = {(first, "slip", x) for s in p["S"] for x in _near(s, SHORT)}
+        shown |= slips
+        sought |= slips
+        for i in p["I"]:
+            shown.add((first, "initial", i))
+            sought.add((first, "initial" if not p["S"] else "only initial", i))
+            if not p["S"]:
+                shown.add((first, "only initial", i))
+    for s in p["S"]:
+        for f in p["F"]:
+            word(f"s {s}", f, {f[:KEPT]})
+        acronyms = {(f"s {s}", "acronym", a) for a in p["A"]}
+        spelt = {(f"s {s}", "spelt", f[: KEPT - 1] + t) for f in p["F"] for t in p["T"]}
+        shown |= acronyms | spelt
+        sought |= acronyms | {(k, "spelt", a) for k, _, a in acronyms} | {(k, "acronym", x) for k, _, x in spelt}
+    return shown, sought
+
 
-    def __init__(self) -> None:
-        self.clusters: list[tuple[set[str], dict[str, set[str]]]] = []
+class _Block:
+    """The clusters of one block so far, the last changed last; an incoming record joins, and may join together, those it matches."""
+
+    def __init__(self, indexed_from: int) -> None:
+        self.indexed_from, self.count = indexed_from, 0
+        self.clusters: dict[int, tuple[set[str], dict[str, set[str]]]] = {}
+        #: numbers of the clusters that show a key, ascending, by the key's hash; made when the clusters become many
+        self.index: dict[int, dict[int, None]] | None = None
+
+    def _enter(self, i: int) -> None:
+        for k in set(map(hash, match_keys(self.clusters[i][1])[0])):
+            self.index.setdefault(k, {})[i] = None
+
+    def _leave(self, i: int) -> None:
+        for k in set(map(hash, match_keys(self.clusters[i][1])[0])):
+            del self.index[k][i]
+            if not self.index[k]:
+                del self.index[k]
+
+    def _hits(self, p: dict[str, set[str]]) -> list[int]:
+        """The clusters that a profile matches; none if they don't match each other."""
+        near = self.clusters if self.index is None else merge(*(self.index[k] for k in set(map(hash, match_keys(p)[1])) if k in self.index))
+        hit: list[int] = []
+        last = -1
+        for i in near:
+            if i == last:
+                continue
+            last = i
+            if matches(p, self.clusters[i][1]):
+                if hit and not matches(self.clusters[hit[-1]][1], self.clusters[i][1]):
+                    # what it shows fits several that do not fit each other: it must not bridge them
+                    return []
+                hit.append(i)
+        return hit
 
     def add(self, cid: str, features: list[str]) -> None:
         p = by_tag(features)
-        hit = [i for i, (_, q) in enumerate(self.clusters) if matches(p, q)]
-        if len(hit) > 1 and any(not matches(self.clusters[i][1], self.clusters[j][1]) for i, j in zip(hit, hit[1:])):
-            # what it shows fits several that do not fit each other: it must not bridge them
-            hit = []
         ids = {cid}
-        for i in reversed(hit):
+        for i in self._hits(p):
+            if self.index is not None:
+                self._leave(i)
             members, q = self.clusters.pop(i)
             ids |= members
             p = {t: p[t] | q[t] for t in p}
-        self.clusters.append((ids, p))
+        self.clusters[self.count] = ids, p
+        if self.index is not None:
+            self._enter(self.count)
+        elif len(self.clusters) > self.indexed_from:
+            self.index = {}
+            for i in self.clusters:
+                self._enter(i)
+        self.count += 1
 
     def links(self) -> Iterator[tuple[str, str]]:
-        for members, _ in self.clusters:
+        for members, _ in self.clusters.values():
             leader = min(members)
             yield from ((m, leader) for m in members if m != leader)
 
 
-def _match_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _match_blocks(batches: Iterator[pd.DataFrame], indexed_from: int) -> Iterator[pd.DataFrame]:
     """Links of records sorted by block; one block is open at a time."""
-    now, block, count = None, _Block(), 0
+    now, block, count = None, _Block(indexed_from), 0
     first: tuple | None = None
     for pdf in batches:
         out: list[tuple[str, str]] = []
-        for key, salt, cid, features in zip(pdf["key"], pdf["salt"], pdf["cid"], pdf["features"]):
-            if (key, salt) != now:
+        for key, cid, features in zip(pdf["key"], pdf["cid"], pdf["features"]):
+            if key != now:
                 if count > 1:
                     out += block.links()
-                now, first, count = (key, salt), (cid, features), 1
+                now, first, count = key, (cid, features), 1
                 continue
             if count == 1:
-                block = _Block()
+                block = _Block(indexed_from)
                 block.add(first[0], list(first[1]))
             block.add(cid, list(features))
             count += 1
@@ -226,18 +324,14 @@ def resolve(rows: DataFrame, maker_col: str = "Make", model_col: str = "DisplayN
     names = rows.select(both.alias("n")).select("n.*").filter("name IS NOT NULL").distinct()
     extract = F.pandas_udf(_features, "array<string>")
     keys = F.pandas_udf(_keys, "array<string>")
+    match = partial(_match_blocks, indexed_from=BLOCK_ROWS)
     # the record's id holds the field, so that fields never mix
     base = checkpoint(names.withColumn("id", F.concat(F.col("field_name"), F.lit("\x1f"), F.col("name"))).withColumn("features", extract("field_name", "name")).select("id", "features"))
     members, profiles = base.select("id", F.col("id").alias("cid")), base.select(F.col("id").alias("cid"), "features")
     for _ in range(MAX_ROUNDS):
         keyed = profiles.withColumn("key", F.explode(keys("features"))).withColumn("key", F.concat(F.substring("cid", 1, 1), F.col("key")))
-        crowded = keyed.groupBy("key").count().filter(f"count > {BLOCK_ROWS}")
-        blocks = (
-            keyed.join(crowded, "key", "left")
-            .withColumn("salt", F.when(F.col("count").isNull(), 0).otherwise(F.pmod(F.xxhash64("cid"), F.ceil(F.col("count") / BLOCK_ROWS))).cast("int"))
-            .select("key", "salt", "cid", "features").repartition("key", "salt").sortWithinPartitions("key", "salt", "cid")
-        )
-        parent = checkpoint(blocks.mapInPandas(_match_blocks, "cid string, leader string").groupBy("cid").agg(F.min("leader").alias("leader")))
+        blocks = keyed.select("key", "cid", "features").repartition("key").sortWithinPartitions("key", "cid")
+        parent = checkpoint(blocks.mapInPandas(match, "cid string, leader string").groupBy("cid").agg(F.min("leader").alias("leader")))
         if parent.isEmpty():
             break
         # leaders that moved themselves are followed one step; what is still apart meets in the next round
