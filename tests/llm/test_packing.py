@@ -50,6 +50,13 @@ def test_small_and_empty(spark):
     assert P.pack(spark.createDataFrame([(1, "a"), (1, "a"), (None, "b")], "doc_id bigint, text string"), spark.createDataFrame([(1, 9)], "cap_id bigint, max_tokens int")).count() == 2
 
 
+def test_many_capacities(spark):
+    docs = spark.createDataFrame([(1, "a " * 3), (2, "a")], "doc_id bigint, text string")
+    caps = spark.createDataFrame([(i, 2 + i % 3) for i in range(1100)], "cap_id bigint, max_tokens int")
+    got = P.pack(docs, caps).groupBy("cap_id").sum("n_tokens").collect()
+    assert sorted(r[0] for r in got) == list(range(1100)) and len({r[1] for r in got}) == 1
+
+
 @pytest.mark.parametrize("size,count,cap,best", [([6, 4], [10, 10], 10, 10), ([5, 5], [4, 4], 10, 4), ([7, 5, 3], [4, 6, 4], 10, 7), ([9], [5], 10, 5)])
 def test_configurations(size, count, cap, best):
     patterns, times = P.configurations(np.array(size, float), np.array(count, float), cap)

@@ -6,7 +6,7 @@ pre-aggregated group-by) go to the driver; large sizes are cut into ``GROUPS`` g
 rounded up to each group's largest; the few-size problem is optimised over configurations by column generation;
 actual texts are substituted into the configurations' slots by rank, which is arithmetic on a distributed rank; small
 and left-over texts are put best-fit, largest first, into the room that remains, in chunks of bounded size that each
-hold a fair share of containers and small texts. Nothing larger than the size counts reaches the driver.
+hold a fair share of containers and small texts. Nothing larger than the capacities and the size counts reaches the driver.
 
 Defined results
     rows without an id, null and empty texts hold no tokens and are not placed; a text above the capacity has pieces 0, 1, ... of which all
@@ -178,7 +178,7 @@ def pack(docs: DataFrame, capacities: DataFrame, id_col: str = "doc_id", text_co
     """(cap_id, container_id, position, doc_id, piece, n_tokens, start): every text in a container of every capacity."""
     spark = docs.sparkSession
     schema = "cap_id bigint, container_id bigint, position int, doc_id bigint, piece bigint, n_tokens bigint, start bigint"
-    caps = {int(r[0]): int(r[1]) for r in capacities.select("cap_id", "max_tokens").filter("cap_id IS NOT NULL AND max_tokens >= 1").limit(1000).collect()}
+    caps = {int(r[0]): int(r[1]) for r in capacities.select("cap_id", "max_tokens").filter("cap_id IS NOT NULL AND max_tokens >= 1").collect()}
     if not caps:
         return spark.createDataFrame([], schema)
     # counted once, read twice: a reliable checkpoint of two numbers a text
