@@ -9,7 +9,8 @@ Scoring runs over all rows in batches: the distinct words of a batch are scored
 matrix), a Viterbi pass over each text's word scores finds its language segments, for many texts at once. No shuffle.
 
 Defined results
-    rows without an id are left out; null or empty texts, texts without letters and texts without a passage of ``MIN_WORDS`` words are no cases and have no
+    markup, links, lines that only name a quote's author and signatures (up to three short lines below a rule, of fewer than
+    ``MIN_WORDS`` words) are not read; rows without an id are left out; null or empty texts, texts without letters and texts without a passage of ``MIN_WORDS`` words are no cases and have no
     segments of note; with no usable label anywhere there is no model and no row; repeated rows give rows each;
     confidence is the posterior of the segment's language under the model, tempered by its length.
 """
@@ -80,6 +81,11 @@ def canonical_label(col: str) -> F.Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in _BY_NAME.items() for x in kv]), word)
 
 
+def _closing(found: re.Match) -> str:
+    """What stays of a signature: all of it where its words make a passage."""
+    return "\n" if len(_WORD.findall(_LINK.sub(" ", _TAG.sub(" ", found[0])))) < MIN_WORDS else found[0]
+
+
 def words_of(text: str) -> tuple[list[str], np.ndarray]:
     """Lower-case words of a text and, for each, whether a sentence or line ended before it."""
     t = text if text.isascii() else _SOFT.sub("", text)
@@ -88,7 +94,7 @@ def words_of(text: str) -> tuple[list[str], np.ndarray]:
     if "\n" in t:
         t = t.replace("\r\n", "\n")
         t = _ATTRIBUTION.sub("\n", t) if ">" in t else t
-        t = _SIGNATURE.sub("\n", t)
+        t = _SIGNATURE.sub(_closing, t)
     if "<" in t or "[" in t:
         t = _TAG.sub(" ", t)
     if "www." in t or "http" in t or "@" in t:
