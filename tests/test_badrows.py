@@ -57,3 +57,13 @@ def test_assemble(spark, monkeypatch, slice_):
     by = {(f, n): t for f, n, t in got}
     assert by["f", 3] == "plain" and by["f", 4] == '"x","y"' and by["f", 6] == '"open' and by["f", 36] == "tail" and by["g", 0] == '"1\n2"' and by["g", 2] == ""
     assert B.assemble(df.limit(0), "file", "n", "line").count() == 0
+
+
+def test_assemble_long_records(spark):
+    """A sound record stays whole beyond ``longest``; stray quotes that happen to close keep nothing together."""
+    sound = ['1,"a', *["tail"] * 20, 'b",c']
+    stray = ['x"y', *["1,2"] * 20, 'x"y']
+    df = spark.createDataFrame([("f", i, t) for i, t in enumerate([*sound, "plain"])] + [("g", i, t) for i, t in enumerate([*stray, "plain"])], "file string, n int, line string").repartition(3)
+    got = rows(B.assemble(df, "file", "n", "line", longest=10))
+    assert got[:2] == [("f", 0, "\n".join(sound)), ("f", 22, "plain")]
+    assert sorted(got[2:], key=lambda r: r[1]) == [("g", i, t) for i, t in enumerate([*stray, "plain"])]

@@ -176,6 +176,10 @@ def loaded(lines: DataFrame, **cols: str) -> DataFrame:
     return parse_records(lines, **cols).filter("reason IS NULL").drop("reason")
 
 
+def _sound(records: pd.Series) -> pd.Series:
+    return records.map(lambda t: _SOUND.fullmatch(t) is not None).astype(bool)
+
+
 #: lines of a file whose running quote count is kept in one window
 SLICE = 100_000
 
@@ -185,8 +189,9 @@ def assemble(lines: DataFrame, file_col: str, order_col: str, line_col: str, lon
 
     For inputs whose records may span lines; ``parse_records`` takes its result as lines. A line begins a record if the
     quotes before it are even in number. Running counts go through slices with prefix totals, so a file may be
-    any size. An unclosed quote would swallow the rest of a file: lines of records of more than ``longest`` lines come
-    out one by one instead, and the parser then gives each its reason.
+    any size. An unclosed quote would swallow the rest of a file: where more than ``longest`` lines hang together and
+    are no sound record, they come out one by one instead, and the parser then gives each its reason. A sound record
+    stays whole, however many lines it has. Lines whose quotes never close are not gathered to see this.
     """
     quotes = lambda c: F.length(c) - F.length(F.replace(c, F.lit('"'), F.lit("")))
     src = lines.select(F.col(file_col).alias("file"), F.col(order_col).cast("bigint").alias("o"), F.coalesce(F.col(line_col), F.lit("")).alias("line"))
@@ -198,7 +203,13 @@ def assemble(lines: DataFrame, file_col: str, order_col: str, line_col: str, lon
     marked = src.join(before, ["file", "s"]).withColumn("start", F.when(open_before % 2 == 0, F.col("o")))
     carried = marked.groupBy("file", "s").agg(F.max("start").alias("last")).withColumn("carry", F.last("last", True).over(over_slices)).drop("last")
     keyed = marked.withColumn("key", F.last("start", True).over(inside.rowsBetween(Window.unboundedPreceding, 0))).join(carried, ["file", "s"]).withColumn("key", F.coalesce("key", "carry"))
-    size = keyed.groupBy("file", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > longest).select("file", "key", F.lit(True).alias("long"))
-    keyed = keyed.join(size, ["file", "key"], "left").withColumn("key", F.when(F.col("long"), F.col("o")).otherwise(F.col("key")))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("o", "line"))), lambda x: x["line"])
-    return keyed.groupBy("file", "key").agg(F.array_join(parts, "\n").alias("record")).select(F.col("file").alias(file_col), F.col("key").alias(order_col), F.col("record").alias(line_col))
+    size = keyed.groupBy("file", "key").agg(F.count(F.lit(1)).alias("n"), (F.sum("q") % 2 == 1).alias("open")).filter(F.col("n") > longest).select("file", "key", "open", F.lit(True).alias("long"))
+    keyed = keyed.join(size, ["file", "key"], "left").withColumn("key", F.when(F.col("open"), F.col("o")).otherwise(F.col("key")))
+    keyed = keyed.withColumn("long", F.coalesce(F.col("long") & ~F.col("open"), F.lit(False)))
+    ordered = F.array_sort(F.collect_list(F.struct("o", "line")))
+    whole = keyed.groupBy("file", "key").agg(ordered.alias("lines"), F.max("long").alias("long"))
+    whole = whole.withColumn("record", F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))
+    sound = F.pandas_udf(_sound, "boolean")
+    short, long = whole.filter("NOT long").select("file", "key", "record"), whole.filter("long").withColumn("sound", sound("record"))
+    apart = long.filter("NOT sound").select("file", F.explode("lines").alias("x")).select("file", F.col("x.o").alias("key"), F.col("x.line").alias("record"))
+    return short.unionByName(long.filter("sound").select("file", "key", "record")).unionByName(apart).select(F.col("file").alias(file_col), F.col("key").alias(order_col), F.col("record").alias(line_col))
