@@ -121,3 +121,13 @@ def test_softmax(spark):
     assert got[1] == pytest.approx([0.2689414214, 0.7310585786]) and got[2] == [] and got[3] is None
     p = rows(softmax.softmax_rows(frame(spark, [1, 2, 1000]), ["k"], "v", 1.0), "p")
     assert sum(x for (x,) in p) == pytest.approx(1.0)
+
+
+def test_high_water_of_arrays_and_accumulators(spark):
+    df = spark.createDataFrame([(1, [1.5, None, 7.0]), (2, [-3.0, -2.0]), (3, [None]), (4, []), (5, None)], "id int, v array<double>")
+    high = {r[0]: r[1] for r in df.select("id", A.high_water_float(F.col("v"), "array")).collect()}
+    assert high == {1: 7.0, 2: -2.0, 3: 0.0, 4: 0.0, 5: 0.0}
+    assert [r[0] for r in df.select(A.high_water_float(F.transform("v", lambda x: x.cast("string")), "array")).collect()] == [7.0, -2.0, 0.0, 0.0, 0.0]
+    held = df.select("id", F.explode_outer("v").alias("x")).groupBy("id").agg(A.stat_val(F.col("x")).alias("s"))
+    assert {r[0]: r[1] for r in held.select("id", A.high_water_float(F.col("s"), "accumulator")).collect()} == high
+    assert [r[0] for r in spark.createDataFrame([("NA",), ("2.5",), (None,)], "t string").select(A.high_water_float(F.col("t"))).collect()] == [0.0, 2.5, 0.0]

@@ -162,8 +162,17 @@ def render(mean: Column, stdv: Column) -> Column:
     return F.format_string("%.6f+-%.6f", mean, stdv)
 
 
-def high_water_float(v: Column, text: Column | None = None) -> Column:
-    """Null or 'NA' is 0, an array its largest value, else the number."""
+def high_water_float(v: Column, kind: str = "scalar") -> Column:
+    """Null or 'NA' is 0, an array or accumulator (``kind`` 'array', 'accumulator') its largest value, else the number.
+
+    What has no largest value (no elements, only nulls) is 0 too.
+    """
+    if kind == "array":
+        return F.coalesce(F.array_max(F.transform(v, lambda x: x.try_cast("double"))), F.lit(0.0))
+    if kind == "accumulator":
+        return F.coalesce(v["max"].cast("double"), F.lit(0.0))
+    if kind != "scalar":
+        raise ValueError(f"no such kind: {kind}")
     return F.coalesce(F.when(F.lower(v.cast("string")) == "na", F.lit(0.0)).otherwise(v.try_cast("double")), F.lit(0.0))
 
 
