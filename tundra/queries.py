@@ -493,9 +493,24 @@ def kv_pool(spark, d):
 
 @query("kv_debit_note_totals", "SELECT holder AS key, CAST(coalesce(sum(num), 0) AS DOUBLE) >= 0 AS ok FROM note_ledger WHERE op = 'add' GROUP BY holder")
 def kv_debit_note_totals(spark, d):
+    """Only whether each holder's notes, repeats included, add up to no less than 0; ``kv_debit_notes`` debits by the totals."""
     return table(spark, d, "note_ledger").filter("op = 'add'").groupBy(F.col("holder").alias("key")).agg((F.coalesce(F.sum("num"), F.lit(0.0)) >= 0).alias("ok"))
 
 
+@query(
+    "kv_debit_notes",
+    f"""{_EVENTS}, t AS (SELECT holder AS key, coalesce(sum(num), 0) AS amount FROM o WHERE op = 'add' AND holder IS NOT NULL GROUP BY holder),
+    s AS (SELECT Name AS key, max_by(BaseCost, row_id) AS value FROM test_csv_input WHERE Name IS NOT NULL AND BaseCost IS NOT NULL GROUP BY Name)
+    SELECT s.key, round(value, 4) AS old_value, round(CASE WHEN value < 0 THEN value ELSE greatest(value - amount, 0) END, 4) AS new_value,
+    round(CASE WHEN value < 0 THEN amount ELSE greatest(amount - value, 0) END, 4) AS unmet FROM s JOIN t ON s.key = t.key""",
+)
+def kv_debit_notes(spark, d):
+    """Each name's last base cost, debited by the total of its notes, each note counted once."""
+    cost = table(spark, d, "test_csv_input").select(F.col("Name").alias("key"), F.col("BaseCost").alias("value"), "row_id").filter("value IS NOT NULL")
+    spent = _ledger(spark, d).filter("op = 'add' AND holder IS NOT NULL").groupBy(F.col("holder").alias("key")).agg(F.coalesce(F.sum("num"), F.lit(0.0)).alias("amount"))
+    return rounded(kvstore.debit_all(kvstore.last_wins(cost, "key", "row_id"), spent.withColumn("min_remaining", F.lit(0.0)), "key"), 4)
+
+
 # ---------------------------------------------------------------- casts
 
 _NUM = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
