@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..plans.runtime import ship_package, spread, table
 from . import langid, leakage, names, packing
@@ -60,8 +59,7 @@ def p3_found(spark, d):
 
 @query("p3_classes")
 def p3_classes(spark, d):
-    c = names.resolve(table(spark, d, "test_csv_input"))
-    return c.join(c.groupBy("field_name", "class").agg(F.count(F.lit(1)).alias("n_spellings")), ["field_name", "class"])
+    return names.class_sizes(names.resolve(table(spark, d, "test_csv_input")))
 
 
 @query("p6_pack")
