@@ -82,6 +82,50 @@ def test_files(spark, tmp_path):
     assert files.output_encoding("UTF8") == "utf-8" and files.output_encoding("cp65001") == "utf-8"
 
 
+def test_detect():
+    assert files.detect("\ufeffx".encode())[1] == files.detect(b"plain")[1] == 1.0 and files.detect("x y z w".encode("utf-16-le"))[0] == "utf-16-le"
+    name, sure = files.detect("Dépôt Central, façade".encode())
+    assert name == "utf-8" and sure >= files.SURE
+    name, sure = files.detect("Dépôt – œuvre".encode("cp1252"))
+    assert name == "cp1252" and sure >= files.SURE and files.decode("Dépôt – œuvre".encode("cp1252")) == "Dépôt – œuvre"
+    assert files.detect(b"\x01\x81\x8d\x8f\x90")[1] < files.SURE and files.decode(b"a\xff", "utf-8") == "a\ufffd"
+
+
+def test_split_lines(spark, tmp_path):
+    """A folder of plain, Latin and packed files as one table; splits of a file keep every line once."""
+    (tmp_path / "a.csv").write_bytes("name,n\ncafé,1\n".encode())
+    (tmp_path / "b.csv").write_bytes("name,n\ncaf\u00e9 – œ,2\n".encode("cp1252"))
+    (tmp_path / "c.csv").write_bytes(gzip.compress(b"name,n\nx,3\n"))
+    (tmp_path / "d.csv").write_text("name,n\n" + "".join(f"row{i},{i}\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = csvtext.read_csv(spark, str(tmp_path))
+        assert got.dtypes == [("name", "string"), ("n", "bigint")] and got.count() == 5003
+        assert sorted(map(tuple, got.filter("name NOT LIKE 'row%'").collect())) == [("café", 1), ("café – œ", 2), ("x", 3)]
+        assert csvtext.read_header(spark, str(tmp_path)) == ["name", "n"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("line,delim,want", [
+    ('a, "b,c" ,d', ",", ["a", '"b,c"', "d"]), ("a,b,", ",", ["a", "b", ""]), ("", ",", [""]), ('"it""s, ok",x', ",", ['"it""s', 'ok"', "x"]), ("'a;b';c", ";", ["'a;b'", "c"]), ('"a,b"x,c', ",", ['"a', 'b"x', "c"]),
+    ('a"b\tc', "\t", []), ('"a\tb"\tc', "\t", ['"a\tb"', "c"]), (" x  y\tz ", None, ["x", "y", "z"]), ('"open,a', ",", ['"open', "a"]),
+])
+def test_split_line(line, delim, want):
+    assert csvtext.split_line(line, delim) == want
+
+
+def test_simplify_of_deep_and_odd_records():
+    deep = 5
+    for _ in range(20_000):
+        deep = {"a": deep}
+    got = yamlfiles.simplify(deep)
+    for _ in range(20_000):
+        got = got["a"]
+    assert got == 5
+    assert yamlfiles.simplify({"a": [{"category": "x"}, {"category": "y", "count": {"value": [1]}}], "b": [[{"category": "q", "count": 1}]], "c": {}, "e": []}) == {"ay": [1], "b": [[{"category": "q", "count": 1}]], "c": {}}
+
+
 def test_yaml(spark, tmp_path):
     rec = {"name": "A", "name_prov": "src", "size": {"value": 3, "prov": "p"}, "inv": [{"category": "X", "count": 2}, 5]}
     assert yamlfiles.simplify(rec) == {"name": "A", "size": 3, "invX": 2, "inv": [5]}
@@ -101,7 +145,7 @@ def test_yaml(spark, tmp_path):
 def test_ogr(spark, tmp_path):
     text = "INFO\nLayer OGRFeature x\nOGRFeature(a):1\n  NAME (String) = one\n  ODD (a) (b) = x\n  BAD = a = b\n  POLYGON ((0 0,4 0,4 4,0 0),(1 1,2 1,1 2,1 1))\n\nOGRFeature(a):2\n  NAME (String) = two\n  MULTIPOLYGON (((0 0,1 0,1 1)),((5 5,6 5,6 6)))\n"
     (tmp_path / "s.txt").write_bytes(gzip.compress(text.encode()))
-    got = ogr.read_shapes(spark, str(tmp_path), discard_inner=False).orderBy("feature_no").collect()
+    got = ogr.read_shapes(spark, str(tmp_path), discard_inner=False).orderBy("place").collect()
     assert got[0].attrs == {"NAME": "one", "ODD (a) (b)": "x"} and [len(r) for r in got[0].polygons[0]] == [4, 4] and len(got[1].polygons) == 2
     assert tuple(got[1].polygons[1][0][2]) == (6.0, 6.0)
     assert [len(r.polygons[0]) for r in ogr.read_shapes(spark, str(tmp_path)).collect()] == [1, 1]

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _SHIPPED: set[str] = set()
 
@@ -36,14 +42,27 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: the session's ``spark.checkpoint.dir``; only where that is unset (local tests) a temporary one."""
+    """The folder all executors share: the session's ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder will do only if executors run in the driver's process; on a cluster it is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tundra_ckpt_"))
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if folder is None:
+            folder = tempfile.mkdtemp(prefix="tundra_ckpt_")
+            atexit.register(shutil.rmtree, folder, True)
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
@@ -62,3 +81,16 @@ def spread(scan: DataFrame) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def number_rows(df: DataFrame, name: str, start: int = 0) -> DataFrame:
+    """Adds ``name``: the rows' numbers in their present order, over all partitions.
+
+    Rows are numbered inside their partitions, which are cut off by a checkpoint so that they stay the same; the partitions'
+    counts (one row each) are summed up and joined back.
+    """
+    cut = checkpoint(df.withColumn("_at", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = cut.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row a partition
+    return cut.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + place + start).drop("_at", "_part", "_before")

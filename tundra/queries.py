@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .functions import bitset, casts, mercator, polygon, records, softmax
 from .operators import accum, badrows, boxes, hierarchy, histogram, kvstore, nested, notes, spatial, timed, tracts, units
-from .plans.runtime import ship_package, spread, table
-from .sources import csvtext, kvp, ogr, packed, yamlfiles
+from .plans.runtime import shared_path, ship_package, spread, table
+from .sources import csvtext, kvp, ogr, packed, register, yamlfiles
 from .streaming import ledger as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -838,13 +838,64 @@ def bitset_insert(spark, d):
 # ---------------------------------------------------------------- formats
 
 
-@query("csv_cells")
+_CELL_KIND = r"""CASE WHEN c LIKE '"%"' AND length(c) > 1 THEN 'str' WHEN c LIKE '%\%' ESCAPE '\' THEN CASE WHEN regexp_matches(c[:-2], '^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(?i:nan|inf|infinity)\s*$') THEN 'pct' ELSE 'str' END
+WHEN regexp_matches(c, '^[+-]?\d+$') THEN CASE WHEN TRY_CAST(c AS BIGINT) IS NULL THEN 'str' ELSE 'int' END WHEN regexp_matches(c, '^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(?i:nan|inf|infinity)$') THEN 'float' ELSE 'str' END"""
+_LOOSE_CELLS = r"""l AS (SELECT regexp_replace(line, '[\r\n]+$', '') || ',' AS t FROM csv_line WHERE trim(regexp_replace(line, '[\r\n]', '', 'g')) <> ''),
+p AS (SELECT regexp_extract_all(t, '\s*(?:"[^"]*"|''[^'']*'')\s*,|[^,]*,') AS p FROM l), u AS (SELECT unnest(p)[:-2] AS c, generate_subscripts(p, 1) AS i FROM p WHERE len(p) = 23), v AS (SELECT i, regexp_replace(c, '^\s+|\s+$', '', 'g') AS c FROM u)"""
+
+
+@query("csv_cells", f"WITH {_LOOSE_CELLS} SELECT [{', '.join(repr(c) for c in badrows.COLUMNS)}][i] AS name, {_CELL_KIND} AS kind, count(*) AS n FROM v GROUP BY ALL")
 def csv_cells(spark, d):
     """Kinds of the loosely typed cells of every line that splits into 23."""
     head = ",".join(f'"{c}"' for c in badrows.COLUMNS)
-    cells = csvtext.parse_cells(spread(table(spark, d, "csv_line").select("line_id", "line")), head, ",", carry=["line_id"], strict=False)
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`.kind").alias("kind")) for c in badrows.COLUMNS]))
-    return cells.select(each.alias("c")).groupBy("c.name", "c.kind").agg(F.count(F.lit(1)).alias("n"))
+    cells = csvtext.long_cells(spread(table(spark, d, "csv_line").select("line")), head, ",", strict=False)
+    return cells.groupBy("name", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("csv_file", "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def csv_file(spark, d):
+    """A table written as text files and read back with the columns' types found again."""
+    fields, path = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], shared_path(spark, "csv_file")
+    csvtext.write_csv(table(spark, d, "customer"), path, fields, delim=";", quote=True, sort="c_name")
+    return csvtext.read_csv(spark, path)
+
+
+@query("kvp_file", "SELECT 'k' || n_nationkey AS key, 'str' AS kind, '\"' || n_name || '\"' AS value, NULL::VARCHAR AS error FROM nation")
+def kvp_file(spark, d):
+    """Key-value lines written as text files and read by the data source."""
+    register.register(spark)
+    path = shared_path(spark, "kvp_file")
+    n = table(spark, d, "nation").select(F.lit("d").alias("doc_id"), F.concat(F.lit("k"), F.col("n_nationkey").cast("string")).alias("key"), F.lit("str").alias("kind"), F.to_json(F.array("n_name")).alias("value"))
+    kvp.write_lines(n.withColumn("value", F.expr("substring(value, 2, length(value) - 2)"))).select("line").write.text(path)
+    return spark.read.format("kvp").load(path).select("key", "kind", "value", "error")
+
+
+@query("yaml_file", "SELECT n_name AS name, n_nationkey::BIGINT AS nationkey, 2 AS n_keys FROM nation")
+def yaml_file(spark, d):
+    """Records saved as one file each and read by the data source, with provenance simplified away."""
+    register.register(spark)
+    path = shared_path(spark, "yaml_file").removeprefix("file:")
+    n = table(spark, d, "nation").select("n_nationkey", F.to_json(F.struct(F.struct(F.col("n_nationkey").alias("value"), F.lit("t").alias("prov")).alias("nationkey"), F.col("n_name").alias("name"))).alias("record"))
+    yamlfiles.save_folder(n, path, "n_nationkey")
+    got = spark.read.format("yaml_records").option("simplified", "true").load(path).filter("error IS NULL")
+    return got.select(F.get_json_object("record", "$.name").alias("name"), F.get_json_object("record", "$.nationkey").cast("bigint").alias("nationkey"), F.size("keys").alias("n_keys"))
+
+
+@query(
+    "ogr_file",
+    """WITH r AS (SELECT poly_id, sId, polygon FROM ctractpoly WHERE len(polygon) >= 3) SELECT poly_id, sId, len(polygon)::INTEGER AS n_points, round(list_min(list_transform(polygon, lambda p: p.x)), 6) AS min_x, round(list_sum(list_transform(polygon, lambda p: p.y)), 4) AS sum_y FROM r""",
+)
+def ogr_file(spark, d):
+    """Tract polygons written as shape listings and read back."""
+    path = shared_path(spark, "ogr_file")
+    t = table(spark, d, "ctractpoly").filter("size(polygon) >= 3 AND NOT exists(polygon, p -> p.x IS NULL OR p.y IS NULL)")
+    ring = F.array_join(F.transform("polygon", lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))), ",")
+    k = F.col("poly_id").cast("string")
+    text = F.concat(F.lit("OGRFeature(tract):"), k, F.lit("\n  ID (Integer) = "), k, F.lit("\n  GEOID (String) = "), F.coalesce("sId", F.lit("")), F.lit("\n  POLYGON (("), ring, F.lit("))\n"))
+    t.select(text).write.text(path)
+    a, p = F.col("attrs"), F.col("polygons")[0][0]
+    got = ogr.read_shapes(spark, path).select(a["ID"].cast("bigint").alias("poly_id"), F.nullif(a["GEOID"], F.lit("")).alias("sId"), F.size(p).alias("n_points"), F.array_min(F.transform(p, lambda q: q["x"])).alias("min_x"), F.aggregate(p, F.lit(0.0), lambda s, q: s + q["y"]).alias("sum_y"))
+    return got.select("poly_id", "sId", "n_points", F.round("min_x", 6).alias("min_x"), F.round("sum_y", 4).alias("sum_y"))
 
 
 @query(
@@ -897,7 +948,20 @@ def kvp_round_trip(spark, d):
 
 @query("yaml_simplify")
 def yaml_simplify(spark, d):
-    return yamlfiles.simplify_json(table(spark, d, "yaml_rec"), "rec_id", "doc")
+    return yamlfiles.simplify_json(spread(table(spark, d, "yaml_rec").select("rec_id", "doc")), "rec_id", "doc")
+
+
+@query(
+    "yaml_scalars",
+    """WITH d AS (SELECT rec_id, doc::JSON AS j FROM yaml_rec WHERE json_valid(doc) AND json_type(doc) = 'OBJECT'), c AS (SELECT rec_id, list_contains(json_keys(j), 'value') AS cut, CASE WHEN list_contains(json_keys(j), 'value') THEN j -> '$.value' ELSE j END AS j FROM d),
+    k AS (SELECT rec_id, cut, j, unnest(json_keys(j)) AS key FROM c WHERE json_type(j) = 'OBJECT'), v AS (SELECT rec_id, cut, key, j -> ('$."' || key || '"') AS v FROM k WHERE cut OR (key <> 'prov' AND NOT contains(key, '_prov'))),
+    o AS (SELECT rec_id, key, CASE WHEN NOT cut AND json_type(v) = 'OBJECT' AND list_contains(json_keys(v), 'value') THEN v -> '$.value' ELSE v END AS v FROM v) SELECT rec_id, count(*) AS n, string_agg(key, ',' ORDER BY key) AS keys, sum(length(v ->> '$'))::BIGINT AS letters FROM o WHERE json_type(v) = 'VARCHAR' GROUP BY rec_id""",
+)
+def yaml_scalars(spark, d):
+    """The top-level texts of every record once it is simplified."""
+    s = yamlfiles.simplify_json(spread(table(spark, d, "yaml_rec").select("rec_id", "doc")), "rec_id", "doc").select("rec_id", F.parse_json("simplified").alias("v")).filter("schema_of_variant(v) LIKE 'OBJECT%'")
+    each = s.select("rec_id", F.explode(F.map_entries(s["v"].cast("map<string,variant>"))).alias("e")).select("rec_id", "e.key", "e.value").filter("schema_of_variant(value) = 'STRING'")
+    return each.groupBy("rec_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("key")), ",").alias("keys"), F.sum(F.length(F.col("value").cast("string"))).alias("letters"))
 
 
 @query("yaml_key_union", "SELECT key, count(*) AS n FROM (SELECT unnest(json_keys(doc)) AS key FROM yaml_rec WHERE json_valid(doc)) GROUP BY key")

@@ -11,84 +11,125 @@ and no value; of repeated keys in a document the last line wins; null lines are
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
-_WHOLE = re.compile(r"[+-]?[0-9]+(?![0-9.eE])")
-_REAL = re.compile(r"[+-]?[0-9]*\.[0-9]*(?:[eE][+-]?[0-9]*)?")
-_EQUALS = re.compile(r"\s*=\s*")
-_END = re.compile(r"\s*(?:#.*)?$", re.S)
+_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_")
+_DIGITS = frozenset("0123456789")
+_NAMED = _LETTERS | _DIGITS
+_BETWEEN = frozenset(",;:")
+#: constants by their lower-case name
+_CONSTANTS = {"none": None, "true": True, "false": False}
 
 
 class Unreadable(ValueError):
     """A line that is no key and value; the message names it."""
 
 
+class _Reader:
+    """A place in a line; each method reads one thing and moves on."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.at, self.end = text, 0, len(text)
+
+    def peek(self) -> str:
+        return self.text[self.at] if self.at < self.end else ""
+
+    def run(self, allowed: frozenset[str]) -> str:
+        """The characters from here on that are allowed."""
+        start = self.at
+        while self.at < self.end and self.text[self.at] in allowed:
+            self.at += 1
+        return self.text[start : self.at]
+
+    def blanks(self) -> bool:
+        start = self.at
+        while self.at < self.end and self.text[self.at].isspace():
+            self.at += 1
+        return self.at > start
+
+    def fail(self) -> Unreadable:
+        return Unreadable(f"Failed to read <{self.text}> at {self.at}")
+
+    def quoted(self) -> str:
+        """Text up to the same quote mark."""
+        close = self.text.find(self.text[self.at], self.at + 1)
+        if close < 0:
+            raise self.fail()
+        got, self.at = self.text[self.at + 1 : close], close + 1
+        return got
+
+    def number(self) -> int | float:
+        """Sign and digits; with a point a real number, which may have an exponent."""
+        start = self.at
+        if self.peek() in ("+", "-"):
+            self.at += 1
+        digits = self.run(_DIGITS)
+        if self.peek() != ".":
+            if not digits or self.peek() in ("e", "E"):
+                raise self.fail()
+            return int(self.text[start : self.at])
+        self.at += 1
+        self.run(_DIGITS)
+        if self.peek() in ("e", "E"):
+            self.at += 1
+            if self.peek() in ("+", "-"):
+                self.at += 1
+            self.run(_DIGITS)
+        try:
+            return float(self.text[start : self.at])
+        except ValueError:
+            raise self.fail() from None
+
+
 def tokens(text: str) -> Iterator[tuple[str, object]]:
     """(kind, value): name, sep, eq, str, int, float, end. Raises Unreadable where no token starts."""
-    at = 0
-    while at < len(text):
-        c = text[at]
-        if (c == "#" or c.isspace()) and (m := _END.match(text, at)) and (c != "=" and m.end() > at):
-            yield "end", m.group()
-            at = m.end()
-        elif m := _NAME.match(text, at):
-            yield "name", m.group()
-            at = m.end()
-        elif c in ",;:":
-            yield "sep", c
-            at += 1
-        elif m := _EQUALS.match(text, at):
+    r = _Reader(text)
+    while r.at < r.end:
+        start, gap = r.at, r.blanks()
+        c = r.peek()
+        if c in ("", "#"):
+            yield "end", text[start:]
+            return
+        if c == "=":
+            r.at += 1
+            r.blanks()
             yield "eq", "="
-            at = m.end()
-        elif c in "'\"" and (close := text.find(c, at + 1)) > 0:
-            if close > at + 1:
-                yield "str", text[at + 1 : close]
-            at = close + 1
-        elif m := _WHOLE.match(text, at):
-            yield "int", int(m.group())
-            at = m.end()
-        elif m := _REAL.match(text, at):
-            try:
-                yield "float", float(m.group())
-            except ValueError:
-                raise Unreadable(f"Failed to read <{text}> at {at}") from None
-            at = m.end()
+        elif gap:
+            r.at = start
+            raise r.fail()
+        elif c in _LETTERS:
+            yield "name", r.run(_NAMED)
+        elif c in _BETWEEN:
+            r.at += 1
+            yield "sep", c
+        elif c in "'\"":
+            if got := r.quoted():
+                yield "str", got
         else:
-            raise Unreadable(f"Failed to read <{text}> at {at}")
-
-
-_CONSTANTS = {"none": None, "true": True, "false": False}
+            n = r.number()
+            yield "int" if isinstance(n, int) else "float", n
 
 
 def parse_line(text: str) -> tuple[str, object] | None:
     """(key, value) of one line, None for a line without one, or Unreadable."""
     text = text.rstrip("\r\n")
-    got = list(tokens(text))
-    kinds = [k for k, _ in got]
-    if "end" in kinds:  # nothing after it counts
-        got = got[: kinds.index("end")]
-    if not got:
+    said = [t for t in tokens(text) if t[0] != "end"]
+    if not said:
         return None
-    bad = Unreadable(f"Failed to parse <{text}>")
-    if got[0][0] != "name" or (len(got) > 1 and got[1][0] != "eq"):
-        raise bad
-    key, rest = got[0][1], got[2:]
-    if not rest:
+    (first, key), mark, values = said[0], said[1:2], said[2:]
+    lists = [kind == "sep" for kind, _ in values]
+    if first != "name" or (mark and mark[0][0] != "eq") or any(kind == "eq" for kind, _ in values) or lists[:1] == [True] or lists[1:2] == [False]:
+        raise Unreadable(f"Failed to parse <{text}>")
+    if not values:
         return key, True
-    if rest[0][0] in ("sep", "eq") or any(k == "eq" for k, _ in rest):
-        raise bad
-    if len(rest) == 1:
-        kind, v = rest[0]
-        return key, _CONSTANTS.get(v.lower(), v) if kind == "name" else v
-    if rest[1][0] != "sep":
-        raise bad
-    return key, [v for k, v in rest if k != "sep"]
+    if len(values) > 1:
+        return key, [v for kind, v in values if kind != "sep"]
+    kind, v = values[0]
+    return key, _CONSTANTS.get(v.lower(), v) if kind == "name" else v
 
 
 _ROW = "doc_id string, seq bigint, key string, kind string, value string, error string"

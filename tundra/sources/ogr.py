@@ -9,11 +9,15 @@ geometry is an error in strict mode, else left out; rings stay separate (holes a
 
 from __future__ import annotations
 
+import gzip
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.binding import let
-from .files import read_lines
+from . import files
 
 RINGS = "array<array<array<struct<x:double,y:double>>>>"
 
@@ -50,7 +54,11 @@ def rings(wkt: Column) -> Column:
 
 def parse_features(listings: DataFrame, text: str = "text", carry: list[str] | None = None, discard_inner: bool = True, strict: bool = True) -> DataFrame:
     """(carry..., feature_no, attrs, polygons)."""
-    f = split_features(listings, text, carry).withColumn("_g", geometry_lines(F.col("feature")))
+    return _shaped(split_features(listings, text, carry), [*(carry or []), "feature_no"], discard_inner, strict)
+
+
+def _shaped(features: DataFrame, carry: list[str], discard_inner: bool, strict: bool) -> DataFrame:
+    f = features.withColumn("_g", geometry_lines(F.col("feature")))
     if strict:
         f = f.withColumn("_g", F.when(F.size("_g") == 1, F.col("_g")).otherwise(F.raise_error(F.lit("a feature needs exactly one geometry")).cast("array<string>")))
     else:
@@ -58,11 +66,34 @@ def parse_features(listings: DataFrame, text: str = "text", carry: list[str] | N
     polys = rings(F.element_at("_g", 1))
     if discard_inner:
         polys = F.transform(polys, lambda p: F.slice(p, 1, 1))
-    return f.select(*(carry or []), "feature_no", attributes(F.col("feature")).alias("attrs"), polys.alias("polygons"))
+    return f.select(*carry, attributes(F.col("feature")).alias("attrs"), polys.alias("polygons"))
+
+
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """(path, block, place, feature): the text of every feature; plain files are read in splits, one record a feature."""
+    found = files._heads(spark, path, None)
+    packed = [p for p, head in found if head[:2] == files.GZIP]
+    plain = [p for p, head in found if head[:2] != files.GZIP]
+    parts = []
+    if plain:
+        raw = spark.read.option("lineSep", "\nOGRFeature").text(plain)
+        got = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.regexp_replace("value", "^OGRFeature", "").alias("feature"), (F.col("_metadata.file_block_start") == 0).alias("top"))
+        # what comes before the first feature of a file doesn't begin like one
+        parts.append(got.filter(F.col("feature").startswith("(")).drop("top"))
+    if packed:
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for name, data in zip(pdf["path"], pdf["content"]):
+                    pieces = ("\n" + files.decode(gzip.decompress(bytes(data)))).split("\nOGRFeature")[1:]
+                    yield pd.DataFrame({"path": name, "block": 0, "place": range(len(pieces)), "feature": pieces})
+
+        parts.append(spark.read.format("binaryFile").load(packed).select("path", "content").mapInPandas(run, "path string, block bigint, place bigint, feature string"))
+    if not parts:
+        return spark.createDataFrame([], "path string, block bigint, place bigint, feature string")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def read_shapes(spark: SparkSession, path: str, discard_inner: bool = True) -> DataFrame:
-    """All features of listing files, gzipped or plain by content; one file is one state's listing."""
-    lines = read_lines(spark, path)
-    text = lines.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("text"))
-    return parse_features(text, "text", ["path"], discard_inner)
+    """(path, block, place, attrs, polygons) of all features of listing files, gzipped or plain by content."""
+    return _shaped(read_features(spark, path), ["path", "block", "place"], discard_inner, True)

@@ -67,7 +67,7 @@ class _YamlReader(_Reader):
             if not isinstance(rec, dict):
                 raise ValueError("not a mapping")
         except Exception as e:  # noqa: BLE001 - any unreadable file is reported
-            yield path, None, None, str(e)[:500]
+            yield path, None, None, str(e)
             return
         if self.options.get("simplified", "false").lower() == "true":
             yield path, [str(k) for k in rec], json.dumps(yamlfiles.simplify(rec), ensure_ascii=False, default=str), None
@@ -89,7 +89,7 @@ class _CsvReader(_Reader):
     def rows(self, path: str, text: str) -> Iterator[tuple]:
         for line in text.splitlines()[1:]:
             if line.strip():
-                cells = csvtext._py_cells(line, self.delim)
+                cells = csvtext.split_line(line, self.delim)
                 if len(cells) != self.width:
                     raise ValueError(f"{self.width} cells expected in {path}, not {len(cells)}")
                 yield tuple(c[1:-1] if len(c) > 1 and c[0] == c[-1] == '"' else c for c in cells)
@@ -150,8 +150,8 @@ class LooseCsvSource(DataSource):
             raise ValueError(f"no file at {self.options['path']}")
         lines = _text(files[0], self.options.get("encoding")).splitlines()
         for d in csvtext.DELIMITERS:
-            n = len(csvtext._py_cells(lines[0], d)) if d is None or d in lines[0] else 0
-            if n >= (3 if d is None else 2) and all(len(csvtext._py_cells(x, d)) == n for x in lines[1:50] if x.strip()):
+            n = len(csvtext.split_line(lines[0], d)) if d is None or d in lines[0] else 0
+            if n >= (3 if d is None else 2) and all(len(csvtext.split_line(x, d)) == n for x in lines[1:] if x.strip()):
                 return csvtext.header_keys(lines[0], d)[0], d
         raise ValueError("no delimiter fits this text")
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.nested import is_provenance
+from ..plans.runtime import number_rows
 from .files import decode
 
 FIRST_KEYS = ("name", "abbrev", "category")
@@ -31,30 +32,38 @@ def load_text(text: str) -> object:
 
 
 def simplify(entry: object) -> object:
-    """Provenance dropped, {value: v} collapsed to v as it is, lists of {category, count or value} flattened into key+category."""
-    if isinstance(entry, list):
-        return [simplify(x) for x in entry]
-    if not isinstance(entry, dict):
-        return entry
-    out: dict = {}
-    for k, v in entry.items():
-        if is_provenance(k):
-            continue
-        if k == "value":
-            return v
-        s = simplify(v)
-        if not isinstance(s, list):
-            out[k] = s
-            continue
-        rest = []
-        for item in s:
-            if not (isinstance(item, dict) and "category" in item):
-                rest.append(item)
-            elif (amount := next((item[n] for n in ("count", "value") if n in item), item)) is not item:
-                out[f"{k}{item['category']}"] = amount
-        if rest:
-            out[k] = rest
-    return out
+    """Provenance dropped, {value: v} collapsed to v as it is, lists of {category, count or value} flattened into key+category.
+
+    Downwards every object is cut to what stays of it; then, from the innermost out, each spreads its lists. No recursion.
+    """
+    top = [entry]
+    objects: list[dict] = []
+    todo: list[tuple] = [(top, 0)]
+    while todo:
+        holder, at = todo.pop()
+        v = holder[at]
+        if isinstance(v, dict) and "value" in v:
+            holder[at] = v["value"]
+        elif isinstance(v, dict):
+            holder[at] = kept = {k: x for k, x in v.items() if not is_provenance(k)}
+            objects.append(kept)
+            todo += [(kept, k) for k in kept]
+        elif isinstance(v, list):
+            holder[at] = kept = list(v)
+            todo += [(kept, i) for i in range(len(kept))]
+    for o in reversed(objects):
+        flat = dict(pair for k, v in o.items() for pair in (_spread(k, v) if isinstance(v, list) else [(k, v)]))
+        o.clear()
+        o.update(flat)
+    return top[0]
+
+
+def _spread(key: str, members: list) -> list[tuple[str, object]]:
+    """A list as fields: one for each member with a category and an amount, and one for the members without a category."""
+    counted = [m for m in members if isinstance(m, dict) and "category" in m]
+    fields = [(f"{key}{m['category']}", m["count" if "count" in m else "value"]) for m in counted if "count" in m or "value" in m]
+    rest = [m for m in members if not (isinstance(m, dict) and "category" in m)]
+    return fields + ([(key, rest)] if rest else [])
 
 
 def read_folder(spark: SparkSession, folder: str, simplified: bool = False) -> DataFrame:
@@ -70,7 +79,7 @@ def read_folder(spark: SparkSession, folder: str, simplified: bool = False) -> D
                         raise ValueError("not a mapping")
                     out.append((path, [str(k) for k in rec], json.dumps(simplify(rec) if simplified else rec, ensure_ascii=False, default=str), None))
                 except Exception as e:  # noqa: BLE001 - any unreadable file is reported
-                    out.append((path, None, None, str(e)[:500]))
+                    out.append((path, None, None, str(e)))
             yield pd.DataFrame(out, columns=["path", "keys", "record", "error"])
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.yaml").load(folder).select("path", "content").mapInPandas(run, "path string, keys array<string>, record string, error string")
@@ -103,9 +112,7 @@ def file_names(records: DataFrame, order: str, record: str = "record") -> DataFr
     abbrev = F.get_json_object(record, "$.abbrev")
     bare = F.coalesce(abbrev, F.lit("")) == ""
     named = records.withColumn("file_name", F.when(~bare, F.concat(abbrev, F.lit(".yaml"))))
-    none = named.filter(bare).select(order).orderBy(order)
-    spark = records.sparkSession
-    numbered = spark.createDataFrame(none.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1])), f"{order} {dict(records.dtypes)[order]}, _n bigint")  # ordered numbering over partitions
+    numbered = number_rows(named.filter(bare).select(order).orderBy(order), "_n")
     return named.join(numbered, order, "left").withColumn("file_name", F.coalesce("file_name", F.concat(F.lit("none"), F.col("_n").cast("string"), F.lit(".yaml")))).drop("_n")
 
 
