@@ -47,23 +47,44 @@ def test_written_records_split_back(fields):
     assert B.split_record(out.getvalue()) == fields
 
 
+@pytest.mark.parametrize("text,outside,inside", [
+    ("", "closed", "open"), ('a,"b"', "closed", "fault"), ('a,"b', "open", "fault"), ('b",c', "fault", "closed"), ('"a""b"', "closed", "fault"), ('a"b', "fault", "fault"), ('"a"b', "fault", "fault"), ('x","y', "fault", "open"), ('","', "closed", "open"), ('""', "closed", "open"),
+])
+def test_follow(text, outside, inside):
+    assert (B.follow(text), B.follow(text, True)) == (outside, inside)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text('",a\n', max_size=12))
+def test_follow_agrees_with_the_grammar(text):
+    import re
+
+    sound = re.fullmatch(r'(?:"(?:[^"]|"")*"|[^",]*)(?:,(?:"(?:[^"]|"")*"|[^",]*))*', text) is not None
+    assert (B.follow(text) == B.CLOSED) == sound
+    if sound:
+        want = re.findall(r'(?:^|,)("(?:[^"]|"")*"|[^",]*)', text)
+        assert B.split_record(text) == [f[1:-1].replace('""', '"') if f[:1] == '"' else f for f in want]
+
+
 @pytest.mark.parametrize("slice_", [3, 100_000])
 def test_assemble(spark, monkeypatch, slice_):
+    """Records that span lines, however many; a stray quote spoils its own line only."""
     monkeypatch.setattr(B, "SLICE", slice_)
-    text = ['a,"b', 'c ""d""', '",e', "plain", '"x","y"', "", '"open', *["tail"] * 30]
-    df = spark.createDataFrame([("f", i, t) for i, t in enumerate(text)] + [("g", i, t) for i, t in enumerate(['"1', '2"', None])], "file string, n int, line string").repartition(3)
-    got = rows(B.assemble(df, "file", "n", "line", longest=10))
-    assert got[:4] == [("f", 0, 'a,"b\nc ""d""\n",e'), ("f", 10, "tail"), ("f", 11, "tail"), ("f", 12, "tail")]
-    by = {(f, n): t for f, n, t in got}
-    assert by["f", 3] == "plain" and by["f", 4] == '"x","y"' and by["f", 6] == '"open' and by["f", 36] == "tail" and by["g", 0] == '"1\n2"' and by["g", 2] == ""
+    f = ["1,2", 'a,"b', 'c ""d""', '",e"', "3,4", 'a,"b', 'c ""d""', '"', "plain", 'x,"open', "5,6", 'tail"', '"never', *["tail"] * 20, "7,8"]
+    long = ['1,"a', *["tail"] * 40, 'b"', "9,9"]
+    g = ['x"y', "1,2", 'x"y', '1,"2', '3","', '4",5']
+    texts = {"f": f, "g": g, "h": long, "i": ["1,2"], "j": ['"a', None, '",b']}
+    df = spark.createDataFrame([(n, i, t) for n, ts in texts.items() for i, t in enumerate(ts)], "file string, n int, line string").repartition(3)
+    got = {n: [(i, k, t) for m, i, k, t in sorted(map(tuple, B.assemble(df, "file", "n", "line", 2).collect())) if m == n] for n in texts}
+    joined = [(5, 3, 'a,"b\nc ""d""\n"')]
+    alone = [(i, 1, t) for i, t in enumerate(f) if i not in (5, 6, 7)]
+    assert got["f"] == sorted(alone + joined)
+    assert got["g"] == [(0, 1, 'x"y'), (1, 1, "1,2"), (2, 1, 'x"y'), (3, 3, '1,"2\n3","\n4",5')] and got["i"] == [(0, 1, "1,2")]
+    assert got["h"] == [(0, 42, "\n".join(long[:-1])), (42, 1, "9,9")] and got["j"] == [(0, 3, '"a\n\n",b')]
     assert B.assemble(df.limit(0), "file", "n", "line").count() == 0
 
 
-def test_assemble_long_records(spark):
-    """A sound record stays whole beyond ``longest``; stray quotes that happen to close keep nothing together."""
-    sound = ['1,"a', *["tail"] * 20, 'b",c']
-    stray = ['x"y', *["1,2"] * 20, 'x"y']
-    df = spark.createDataFrame([("f", i, t) for i, t in enumerate([*sound, "plain"])] + [("g", i, t) for i, t in enumerate([*stray, "plain"])], "file string, n int, line string").repartition(3)
-    got = rows(B.assemble(df, "file", "n", "line", longest=10))
-    assert got[:2] == [("f", 0, "\n".join(sound)), ("f", 22, "plain")]
-    assert sorted(got[2:], key=lambda r: r[1]) == [("g", i, t) for i, t in enumerate([*stray, "plain"])]
+def test_good_lines_after_a_broken_one_load(spark):
+    df = spark.createDataFrame([("f", 1, line()), ("f", 2, line().replace('"fine"', '"fi')), ("f", 3, line()), ("f", 4, line(Make="two\nlines").split("\n")[0]), ("f", 5, line(Make="two\nlines").split("\n")[1]), ("f", 6, line())], "file string, n int, line string")
+    got = B.parse_records(B.assemble(df, "file", "n", "line"), "n", "line")
+    assert rows(got, "line_id", "reason", "Make") == sorted([(1, None, "M"), (2, "quoting", None), (3, None, "M"), (4, None, "two\nlines"), (6, None, "M")], key=repr)

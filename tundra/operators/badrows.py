@@ -1,7 +1,9 @@
-"""Rows that fail to parse: strict record parsing with a reason for every rejected line.
+"""Rows that fail to parse: strict record parsing with a reason for every rejected record.
 
-Each line is one record. A partition is parsed by Python's strict csv reader inside ``mapInPandas`` (no shuffle,
-one pass over the input); structural errors are caught before the typed field constructors run.
+Lines are assembled to records by a machine that follows the quotes from field to field: a quote opens a field only at its
+start. Where each line is a record of its own, a field that is still open at the line's end is a fault; where records may span lines
+(``assemble``), it goes on in the next. Every record then goes through Python's strict csv reader inside ``mapInPandas``;
+what the machine or the reader finds wrong is caught before the typed field constructors run.
 
 Defined results
     lines without an id are left out; null or blank lines (also with a carriage return or byte order mark) and header lines give no row;
@@ -37,10 +39,6 @@ _NUMBER = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?%?")
 _SPACED_PERCENT = re.compile(r"\s+%$")
 _YEAR = re.compile(r"[0-9]+")
 _DIRTY = re.compile("[\x00-\x1f\ufffd]")
-#: One record in full: fields that are wholly quoted (inner quotes doubled) or free of quotes.
-_SOUND = re.compile(r'(?:"(?:[^"]++|"")*+"|[^",]*+)(?:,(?:"(?:[^"]++|"")*+"|[^",]*+))*+')
-_FIELD = re.compile(r'(?:^|,)("(?:[^"]++|"")*+"|[^",]*+)')
-
 csv.field_size_limit(2**31 - 1)
 
 
@@ -48,24 +46,49 @@ class Structure(ValueError):
     """A record whose structure can't be read; the message is the reason."""
 
 
-def split_record(line: str) -> list[str]:
-    """The fields of one record, or Structure('quoting').
-
-    Line breaks within a record are legal text here, which the csv reader would take for a record's end;
-    such records go through the equivalent grammar instead.
+OPEN, CLOSED, FAULT = "open", "closed", "fault"
+
+
+def follow(line: str, inside: bool = False) -> str:
+    """How a line leaves the machine that begins at a field's start or inside a quoted field: OPEN, CLOSED or FAULT."""
+    at, end = 0, len(line)
+    while True:
+        if not inside and not line.startswith('"', at):  # a bare field ends at the next comma
+            stop = line.find(",", at)
+            stop = end if stop < 0 else stop
+            if line.find('"', at, stop) >= 0:
+                return FAULT
+        else:
+            close = at if inside else at + 1
+            while (close := line.find('"', close)) >= 0 and line.startswith('"', close + 1):
+                close += 2
+            if close < 0:
+                return OPEN
+            stop, inside = close + 1, False
+            if stop < end and line[stop] != ",":
+                return FAULT
+        if stop >= end:
+            return CLOSED
+        at = stop + 1
+
+
+def split_record(text: str) -> list[str]:
+    """The fields of one assembled record by the strict csv reader, or Structure('quoting').
+
+    Line breaks are text here, which the reader would take for a record's end, so they go in as two characters that the text lacks.
     """
-    if "\n" in line or "\r" in line:
-        if not _SOUND.fullmatch(line):
-            raise Structure("quoting")
-        return [f[1:-1].replace('""', '"') if f[:1] == '"' else f for f in _FIELD.findall(line)]
+    if follow(text) != CLOSED:
+        raise Structure("quoting")
+    breaks = "\n" in text or "\r" in text
+    if breaks:
+        feed, ret = (c for c in map(chr, range(0xE000, 0xF8FF)) if c not in text), None
+        feed, ret = next(feed), next(feed)
+        text = text.replace("\n", feed).replace("\r", ret)
     try:
-        (fields,) = csv.reader([line], strict=True)
+        (fields,) = csv.reader([text], strict=True) if text else [[""]]
     except (csv.Error, ValueError):
         raise Structure("quoting") from None
-    # the reader lets quotes inside a bare field pass
-    if any('"' in f for f in fields) and not _SOUND.fullmatch(line):
-        raise Structure("quoting")
-    return fields
+    return [f.replace(feed, "\n").replace(ret, "\r") for f in fields] if breaks else fields
 
 
 def typed(column: str, text: str) -> float | int | str | None:
@@ -176,40 +199,65 @@ def loaded(lines: DataFrame, **cols: str) -> DataFrame:
     return parse_records(lines, **cols).filter("reason IS NULL").drop("reason")
 
 
-def _sound(records: pd.Series) -> pd.Series:
-    return records.map(lambda t: _SOUND.fullmatch(t) is not None).astype(bool)
+#: lines of a file whose neighbours are looked for in one window
+SLICE = 100_000
 
 
-#: lines of a file whose running quote count is kept in one window
-SLICE = 100_000
+def _line_states(width: int):
+    def states(lines: pd.Series) -> pd.DataFrame:
+        outside, inside, whole = [], [], []
+        for t in lines:
+            outside.append(follow(t))
+            inside.append(follow(t, True))
+            whole.append(outside[-1] == CLOSED and len(split_record(t)) == width)
+        return pd.DataFrame({"whole": whole, "opens": [x == OPEN for x in outside], "inside": inside})
 
+    return F.pandas_udf(states, "whole boolean, opens boolean, inside string")
 
-def assemble(lines: DataFrame, file_col: str, order_col: str, line_col: str, longest: int = 1000) -> DataFrame:
-    """(file, first line's order, record): lines joined to records where quotes stay open over line ends.
 
-    For inputs whose records may span lines; ``parse_records`` takes its result as lines. A line begins a record if the
-    quotes before it are even in number. Running counts go through slices with prefix totals, so a file may be
-    any size. An unclosed quote would swallow the rest of a file: where more than ``longest`` lines hang together and
-    are no sound record, they come out one by one instead, and the parser then gives each its reason. A sound record
-    stays whole, however many lines it has. Lines whose quotes never close are not gathered to see this.
+def _join_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Records of lines in order; only the lines of one record are held, which is known to close."""
+    held: list[str] = []
+    first = until = None
+    for pdf in batches:
+        out: list[tuple] = []
+        for file, o, line, last in zip(pdf["file"], pdf["o"], pdf["line"], pdf["until"]):
+            if held:
+                held.append(line)
+                if (file, o) == until:
+                    out.append((*first, len(held), "\n".join(held)))
+                    held = []
+            elif pd.notna(last):
+                held, first, until = [line], (file, o), (file, int(last))
+            else:
+                out.append((file, o, 1, line))
+        yield pd.DataFrame(out, columns=["file", "o", "n", "record"])
+
+
+def assemble(lines: DataFrame, file_col: str, order_col: str, line_col: str, width: int = len(COLUMNS)) -> DataFrame:
+    """(file, first line's order, n_lines, record): lines joined to records where a quoted field stays open over line ends.
+
+    For inputs whose records may span lines; ``parse_records`` takes its result as lines. A line that opens a field goes on up to the
+    line that closes it, however far. A line that is a sound record of ``width`` fields by itself always stands alone, so a stray
+    quote spoils its own line only: where such a line comes before the close, or the quote never closes soundly, the opening line comes out alone.
+
+    For each line the next one that leaves the quotes and the next whole one are found in windows over slices, with what later slices
+    begin with handed back; the records are then joined in a stream that holds one record.
     """
-    quotes = lambda c: F.length(c) - F.length(F.replace(c, F.lit('"'), F.lit("")))
     src = lines.select(F.col(file_col).alias("file"), F.col(order_col).cast("bigint").alias("o"), F.coalesce(F.col(line_col), F.lit("")).alias("line"))
-    src = src.withColumn("q", quotes(F.col("line"))).withColumn("s", F.floor(F.col("o") / SLICE))
-    over_slices = Window.partitionBy("file").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    before = src.groupBy("file", "s").agg(F.sum("q").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(over_slices), F.lit(0))).drop("n")
-    inside = Window.partitionBy("file", "s").orderBy("o")
-    open_before = F.col("before") + F.coalesce(F.sum("q").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    marked = src.join(before, ["file", "s"]).withColumn("start", F.when(open_before % 2 == 0, F.col("o")))
-    carried = marked.groupBy("file", "s").agg(F.max("start").alias("last")).withColumn("carry", F.last("last", True).over(over_slices)).drop("last")
-    keyed = marked.withColumn("key", F.last("start", True).over(inside.rowsBetween(Window.unboundedPreceding, 0))).join(carried, ["file", "s"]).withColumn("key", F.coalesce("key", "carry"))
-    size = keyed.groupBy("file", "key").agg(F.count(F.lit(1)).alias("n"), (F.sum("q") % 2 == 1).alias("open")).filter(F.col("n") > longest).select("file", "key", "open", F.lit(True).alias("long"))
-    keyed = keyed.join(size, ["file", "key"], "left").withColumn("key", F.when(F.col("open"), F.col("o")).otherwise(F.col("key")))
-    keyed = keyed.withColumn("long", F.coalesce(F.col("long") & ~F.col("open"), F.lit(False)))
-    ordered = F.array_sort(F.collect_list(F.struct("o", "line")))
-    whole = keyed.groupBy("file", "key").agg(ordered.alias("lines"), F.max("long").alias("long"))
-    whole = whole.withColumn("record", F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))
-    sound = F.pandas_udf(_sound, "boolean")
-    short, long = whole.filter("NOT long").select("file", "key", "record"), whole.filter("long").withColumn("sound", sound("record"))
-    apart = long.filter("NOT sound").select("file", F.explode("lines").alias("x")).select("file", F.col("x.o").alias("key"), F.col("x.line").alias("record"))
-    return short.unionByName(long.filter("sound").select("file", "key", "record")).unionByName(apart).select(F.col("file").alias(file_col), F.col("key").alias(order_col), F.col("record").alias(line_col))
+    src = src.withColumn("x", _line_states(width)(F.col("line"))).withColumn("s", F.floor(F.col("o") / SLICE))
+    leaves = F.when(F.col("x.inside") != OPEN, F.struct(F.col("o").alias("o"), (F.col("x.inside") == CLOSED).alias("closed")))
+    whole = F.when(F.col("x.whole"), F.col("o"))
+    later = Window.partitionBy("file").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy("file").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    per = src.groupBy("file", "s").agg(F.min(leaves).alias("leave"), F.min(whole).alias("whole"), F.max(whole).alias("last"))
+    per = per.select("file", "s", F.last("leave", True).over(later).alias("leave_after"), F.min("whole").over(later).alias("whole_after"), F.last(F.when(F.col("last").isNotNull(), F.col("s")), True).over(so_far).alias("before"))
+    after = Window.partitionBy("file", "s").orderBy("o", "line").rowsBetween(1, Window.unboundedFollowing)
+    upto = Window.partitionBy("file", "s").orderBy("o", "line").rowsBetween(Window.unboundedPreceding, 0)
+    seen = src.withColumn("leave", F.first(leaves, True).over(after)).withColumn("next", F.first(whole, True).over(after)).withColumn("led", F.count(whole).over(upto) > 0)
+    all_ = seen.join(per, ["file", "s"]).withColumn("leave", F.coalesce("leave", "leave_after")).withColumn("next", F.coalesce("next", "whole_after"))
+    closes = F.col("x.opens") & F.col("leave.closed") & (F.col("next").isNull() | (F.col("next") > F.col("leave.o")))
+    # a stream begins at a whole line, which no record spans
+    keyed = all_.select("file", F.when(F.col("led"), F.col("s")).otherwise(F.coalesce("before", F.lit(-1))).alias("key"), "o", "line", F.when(closes, F.col("leave.o")).alias("until"))
+    joined = keyed.repartition("file", "key").sortWithinPartitions("file", "key", "o", "line").mapInPandas(_join_lines, f"file {dict(lines.dtypes)[file_col]}, o bigint, n int, record string")
+    return joined.select(F.col("file").alias(file_col), F.col("o").alias(order_col), F.col("n").alias("n_lines"), F.col("record").alias(line_col))

@@ -82,11 +82,37 @@ def p2_found(spark, d):
     return badrows.rejected(spread(table(spark, d, "csv_line").select("line_id", "line")))
 
 
-@query("p2_loaded")
+def _loaded_sql() -> str:
+    at = {c: i + 1 for i, c in enumerate(badrows.COLUMNS)}
+    raw = lambda c: f"CASE WHEN f[{at[c]}][1] = '\"' THEN replace(f[{at[c]}][2:-2], '\"\"', '\"') ELSE f[{at[c]}] END"
+
+    def typed(c: str) -> str:
+        if c not in badrows.NUMERIC:
+            return raw(c)
+        t = f"trim({raw(c)})"
+        number = f"CASE WHEN {t} = '' THEN NULL WHEN {t} LIKE '%\\%' ESCAPE '\\' THEN 0.01::DOUBLE * CAST(ltrim(trim({t}[:-2]), '+') AS DOUBLE) ELSE CAST(ltrim({t}, '+') AS DOUBLE) END"
+        return f"TRY_CAST(trunc({number}) AS {badrows.INTEGER[c]})" if c in badrows.INTEGER else number
+
+    bad = _bad_lines_sql()
+    sound = bad[: bad.index("SELECT line_id, reason FROM (")]
+    rest = f"g AS (SELECT p.line_id, f FROM p WHERE sound AND line_id NOT IN (SELECT line_id FROM ({bad})) AND replace(lower(t), '\"', '') <> lower('{','.join(badrows.COLUMNS)}'))"
+    return f"{sound}, {rest} SELECT line_id, " + ", ".join(f'{typed(c)} AS "{c}"' for c in badrows.COLUMNS) + " FROM g"
+
+
+@query("p2_loaded", _loaded_sql())
 def p2_loaded(spark, d):
     return badrows.loaded(spread(table(spark, d, "csv_line").select("line_id", "line")))
 
 
+@query("p2_assembled")
+def p2_assembled(spark, d):
+    """The lines of every file taken as text whose records may span lines: the records' first lines, lengths and reasons."""
+    whole = badrows.assemble(table(spark, d, "csv_line").select("file_name", "line_no", "line"), "file_name", "line_no", "line")
+    keyed = whole.withColumn("at", F.struct("file_name", "line_no", "n_lines"))
+    got = badrows.parse_records(keyed.withColumn("key", F.xxhash64("file_name", "line_no")), "key", "line").select(F.col("line_id").alias("key"), "reason")
+    return got.join(keyed.select(F.xxhash64("file_name", "line_no").alias("key"), "at.*"), "key").select("file_name", "line_no", "n_lines", "reason")
+
+
 _HAVERSINE = "2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2))))"
 _SIDE = "CASE WHEN q.y > p.y THEN (q.x - p.x) * (lat - p.y) - (lon - p.x) * (q.y - p.y) ELSE (p.x - q.x) * (lat - q.y) - (lon - q.x) * (p.y - q.y) END"
 _TURNS = f"sum(CASE WHEN least(p.y, q.y) <= lat AND lat < greatest(p.y, q.y) AND {_SIDE} > 0 THEN CASE WHEN q.y > p.y THEN 1 ELSE -1 END ELSE 0 END) <> 0"
