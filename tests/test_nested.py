@@ -85,3 +85,35 @@ def test_frame(spark):
     assert N.values_table(df.filter("rec_id = 6")).count() == 1
     levels = rows(N.leaf_levels(df.filter("rec_id = 1")), "column_path", "entry", "rep_level", "def_level", "value")
     assert ("a/[]/b/category/[]", 0, 0, 5, "p") in levels or any(x[0].startswith("a/[]/b/category") for x in levels)
+
+
+def test_very_deep_records(spark):
+    deep = '{"k": [' * 30_000 + '{"category": "z", "n": [1, {"value": null}]}' + "]}" * 30_000
+    text = "[" * 5000 + "]" * 5000
+    docs = [(1, deep), (2, json.dumps({"a": {"category": "y", "b": text}})), (3, deep[:-1]), (4, None), (5, "[1]"), (6, "{x")]
+    df = spark.createDataFrame(docs, "rec_id bigint, doc string")
+    got = rows(N.objects_table(df))
+    assert got[0][0] == 1 and got[0][1] == "/".join(["k", "0"] * 30_000) and got[0][3] == "z" and got[1:] == [(2, "a", "", "y")]
+    assert rows(N.record_status(df)) == [(1, "whole"), (2, "whole"), (3, "broken"), (4, "null"), (5, "no object"), (6, "broken")]
+
+
+@settings(max_examples=200, deadline=None)
+@given(trees)
+def test_json_by_stack(tree):
+    from tundra.functions import jsontext
+
+    assert jsontext._by_stack(json.dumps(tree)) == tree and jsontext._by_stack(json.dumps(tree, indent=1)) == tree
+
+
+def test_broken_json_by_stack():
+    import pytest
+
+    from tundra.functions import jsontext
+
+    for text in ("", "{", "[1,]", "{1: 2}", '{"a" 1}', "[1 2]", "[]]", '{"a":}', '{"a": 1,}', "[tru]", '"open', "1 2", "}"):
+        with pytest.raises(ValueError):
+            jsontext._by_stack(text)
+    x = 1
+    for _ in range(20_000):
+        x = [{"é": x}]
+    assert jsontext.loads(jsontext.dumps(x)) is not None and jsontext.dumps(x).startswith('[{"é": [{')

@@ -6,7 +6,7 @@ ancestor are then rebuilt from the level sequences alone: array positions are co
 presence is read from the definition levels. All of it is per record, so the plan has no shuffle.
 
 Defined results
-    null, broken or non-object records give no rows; empty objects and arrays give no leaves; null leaves are entries
+    null, broken or non-object records give no rows (``record_status`` says which); records may be nested to any depth; empty objects and arrays give no leaves; null leaves are entries
     below their full definition level; text that holds an object or array is read as that structure in place;
     provenance keys are dropped with all below them; repeated records give rows each.
 """
@@ -14,13 +14,14 @@ Defined results
 from __future__ import annotations
 
 import json
-import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.jsontext import loads
+
 #: The step of a path into the members of an array.
 ITEM = None
 Path = tuple
@@ -36,8 +37,8 @@ def unfold(value: object) -> object:
         t = value.strip()
         if t[:1] in ("{", "[") and t[-1:] in ("}", "]"):
             try:
-                got = json.loads(t)
-            except (ValueError, RecursionError):
+                got = loads(t)
+            except ValueError:
                 return value
             if isinstance(got, (dict, list)):
                 return got
@@ -67,88 +68,100 @@ def clean(value: object) -> object:
     return root[0]
 
 
-def parse_record(doc: str | None) -> dict | None:
-    """One whole record, cleaned, or None."""
+def read_record(doc: str | None) -> tuple[dict | None, str]:
+    """(the cleaned record, 'whole'), or (None, why not): 'null', 'broken' or 'no object'."""
     if doc is None:
-        return None
+        return None, "null"
     try:
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
-        got = clean(json.loads(doc))
-    except (ValueError, RecursionError):
-        return None
-    return got if isinstance(got, dict) else None
+        got = clean(loads(doc))
+    except ValueError:
+        return None, "broken"
+    return (got, "whole") if isinstance(got, dict) else (None, "no object")
+
+
+def parse_record(doc: str | None) -> dict | None:
+    """One whole record, cleaned, or None."""
+    return read_record(doc)[0]
 
 
 class _Node:
     """What occurs at one path of a record: a scalar, an object's fields, an array's members."""
 
-    __slots__ = ("scalar", "fields", "item")
+    __slots__ = ("scalar", "fields", "item", "parent", "step", "live")
 
-    def __init__(self) -> None:
-        self.scalar, self.fields, self.item = False, {}, None
+    def __init__(self, parent: _Node | None = None, step: str | None = ITEM) -> None:
+        self.scalar, self.fields, self.item, self.parent, self.step, self.live = False, {}, None, parent, step, True
 
+    def path(self) -> Path:
+        out, n = [], self
+        while n.parent is not None:
+            out.append(n.step)
+            n = n.parent
+        return tuple(reversed(out))
 
-def _shape(value: object, node: _Node) -> None:
-    todo = [(value, node)]
+    def children(self) -> list[_Node]:
+        return [*self.fields.values(), *([self.item] if self.item is not None else [])]
+
+
+def _shape(value: object) -> list[_Node]:
+    """The nodes of a record, parents first."""
+    root = _Node()
+    nodes, todo = [root], [(value, root)]
     while todo:
         v, n = todo.pop()
         if isinstance(v, dict):
             for k, x in v.items():
                 if k not in n.fields:
-                    n.fields[k] = _Node()
+                    n.fields[k] = _Node(n, k)
+                    nodes.append(n.fields[k])
                 todo.append((x, n.fields[k]))
         elif isinstance(v, list):
             if n.item is None:
-                n.item = _Node()
+                n.item = _Node(n)
+                nodes.append(n.item)
             todo += [(x, n.item) for x in v]
         else:
             n.scalar = True
+    return nodes
 
 
-def _prune(node: _Node, path: Path, keep: Callable[[Path], bool]) -> bool:
-    """Column pruning: drop subtrees without a wanted leaf."""
-    node.scalar = node.scalar and keep(path)
-    node.fields = {k: n for k, n in node.fields.items() if _prune(n, (*path, k), keep)}
-    if node.item is not None and not _prune(node.item, (*path, ITEM), keep):
-        node.item = None
-    return node.scalar or bool(node.fields) or node.item is not None
+def _prune(nodes: list[_Node], keep: Callable[[Path], bool]) -> None:
+    """Column pruning: drop subtrees without a wanted leaf, from the innermost out."""
+    for n in reversed(nodes):
+        n.scalar = n.scalar and keep(n.path())
+        n.fields = {k: x for k, x in n.fields.items() if x.live}
+        if n.item is not None and not n.item.live:
+            n.item = None
+        n.live = n.scalar or bool(n.fields) or n.item is not None
+
+
+#: stands for a field or member that a record lacks
+_ABSENT = object()
 
 
 def stripe(record: dict, keep: Callable[[Path], bool] | None = None) -> dict[Path, list[tuple[int, int, object]]]:
-    """Columns of a record: leaf path -> [(repetition level, definition level, value)]."""
-    root = _Node()
-    _shape(record, root)
+    """Columns of a record: leaf path -> [(repetition level, definition level, value)]. By a stack, for any depth."""
+    nodes = _shape(record)
     if keep is not None:
-        _prune(root, (), keep)
-    columns: dict[Path, list] = {}
-
-    def missing(n: _Node, path: Path, r: int, d: int) -> None:
+        _prune(nodes, keep)
+    columns: dict[_Node, list] = {}
+    # value, node, repetition level, definition level, repeated ancestors
+    todo: list[tuple] = [(record, nodes[0], 0, 0, 0)]
+    while todo:
+        v, n, r, d, depth = todo.pop()
         if n.scalar:
-            columns.setdefault(path, []).append((r, d, None))
+            here = v is not _ABSENT and v is not None and not isinstance(v, (dict, list))
+            columns.setdefault(n, []).append((r, d + here, v if here else None))
+        parts: list[tuple] = []
         for k, x in n.fields.items():
-            missing(x, (*path, k), r, d)
-        if n.item is not None:
-            missing(n.item, (*path, ITEM), r, d)
-
-    def write(v: object, n: _Node, path: Path, r: int, d: int, depth: int) -> None:
-        if n.scalar:
-            here = not isinstance(v, (dict, list)) and v is not None
-            columns.setdefault(path, []).append((r, d + here, v if here else None))
-        if n.fields:
-            for k, x in n.fields.items():
-                if isinstance(v, dict) and k in v:
-                    write(v[k], x, (*path, k), r, d + 1, depth)
-                else:
-                    missing(x, (*path, k), r, d)
+            parts.append((v[k], x, r, d + 1, depth) if isinstance(v, dict) and k in v else (_ABSENT, x, r, d, depth))
         if n.item is not None:
             if isinstance(v, list) and v:
-                for i, x in enumerate(v):
-                    write(x, n.item, (*path, ITEM), r if i == 0 else depth + 1, d + 1, depth + 1)
+                parts += [(x, n.item, r if i == 0 else depth + 1, d + 1, depth + 1) for i, x in enumerate(v)]
             else:
-                missing(n.item, (*path, ITEM), r, d)
-
-    write(record, root, (), 0, 0, 0)
-    return columns
+                parts.append((_ABSENT, n.item, r, d, depth))
+        todo += reversed(parts)
+    return {n.path(): entries for n, entries in columns.items()}
 
 
 def positions(path: Path, entries: list[tuple[int, int, object]]) -> Iterator[tuple[Path, object]]:
@@ -170,7 +183,7 @@ def positions(path: Path, entries: list[tuple[int, int, object]]) -> Iterator[tu
 
 
 def _text(v: object) -> str:
-    return v if isinstance(v, str) else json.dumps(v)
+    return v if isinstance(v, str) else json.dumps(v)  # a leaf
 
 
 def _owner(path: Path, field: str) -> int | None:
@@ -241,3 +254,14 @@ def values_table(records: DataFrame, id_col: str = "rec_id", doc_col: str = "doc
 
     src = records.select(F.col(id_col).cast("bigint").alias("rec_id"), F.col(doc_col).cast("string").alias("doc")).filter("rec_id IS NOT NULL")
     return src.mapInPandas(run, "rec_id bigint, parent_path string, field string, value string")
+
+
+def record_status(records: DataFrame, id_col: str = "rec_id", doc_col: str = "doc") -> DataFrame:
+    """(rec_id, status) of every record: 'whole', 'null', 'broken' or 'no object'."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"rec_id": pdf["rec_id"], "status": [read_record(doc)[1] for doc in pdf["doc"]]})
+
+    src = records.select(F.col(id_col).cast("bigint").alias("rec_id"), F.col(doc_col).cast("string").alias("doc")).filter("rec_id IS NOT NULL")
+    return src.mapInPandas(run, "rec_id bigint, status string")

@@ -133,7 +133,21 @@ def p4_found(spark, d):
     return inside.select(F.lit("in").alias("kind"), "key_a", "key_b").unionByName(near.select(F.lit("near").alias("kind"), "key_a", "key_b"))
 
 
-@query("p5_found")
+#: every value below the root of every record: a text that holds a structure counts as that structure
+_TREE = """RECURSIVE t AS (SELECT rec_id, '' AS parent, NULL::VARCHAR AS field, doc::JSON AS v FROM yaml_rec WHERE json_valid(doc) AND json_type(doc) = 'OBJECT' UNION ALL
+SELECT rec_id, parent, field, CASE WHEN json_type(v) = 'VARCHAR' AND regexp_matches(v ->> '$', '(?s)^\\s*[{\\[].*[}\\]]\\s*$') AND json_valid(v ->> '$') THEN (v ->> '$')::JSON ELSE v END AS v FROM (
+SELECT rec_id, path AS parent, key AS field, CASE WHEN json_type(v) = 'OBJECT' THEN v -> ('$."' || key || '"') ELSE v -> ('$[' || key || ']') END AS v FROM (
+SELECT rec_id, v, CASE WHEN field IS NULL THEN '' WHEN parent = '' THEN field ELSE parent || '/' || field END AS path, unnest(CASE json_type(v) WHEN 'OBJECT' THEN list_filter(json_keys(v), lambda k: k <> 'prov' AND NOT contains(k, '_prov')) WHEN 'ARRAY' THEN list_transform(range(json_array_length(v)::BIGINT), lambda i: i::VARCHAR) END) AS key FROM t)))"""
+_LEAF = "json_type(v) NOT IN ('OBJECT', 'ARRAY', 'NULL') AND field IS NOT NULL"
+
+
+@query(
+    "p5_found",
+    f"""WITH {_TREE}, l AS (SELECT rec_id, CASE WHEN parent = '' THEN field ELSE parent || '/' || field END AS path, v ->> '$' AS category FROM t WHERE {_LEAF}),
+    o AS (SELECT rec_id, regexp_extract(path, '^(.+)/category(?:/(?:[0-9]+|value))*$', 1) AS path, category FROM l WHERE regexp_matches(path, '^(.+)/category(?:/(?:[0-9]+|value))*$')),
+    d AS (SELECT DISTINCT rec_id, path FROM o), b AS (SELECT a.rec_id, a.path, max_by(b.path, length(b.path)) AS parent_path FROM d a JOIN d b ON a.rec_id = b.rec_id AND starts_with(a.path, b.path || '/') GROUP BY ALL)
+    SELECT o.rec_id, o.path, coalesce(b.parent_path, '') AS parent_path, category FROM o LEFT JOIN b ON o.rec_id = b.rec_id AND o.path = b.path""",
+)
 def p5_found(spark, d):
     return nested.objects_table(spread(table(spark, d, "yaml_rec").select("rec_id", "doc")))
 
@@ -143,11 +157,17 @@ def p5_levels(spark, d):
     return nested.leaf_levels(spread(table(spark, d, "yaml_rec").select("rec_id", "doc")))
 
 
-@query("p5_values")
+@query("p5_values", f"WITH {_TREE} SELECT rec_id, parent AS parent_path, field, v ->> '$' AS value FROM t WHERE {_LEAF}")
 def p5_values(spark, d):
     return nested.values_table(spread(table(spark, d, "yaml_rec").select("rec_id", "doc")))
 
 
+@query("p5_status", "SELECT rec_id, CASE WHEN doc IS NULL THEN 'null' WHEN NOT json_valid(doc) THEN 'broken' WHEN json_type(CASE WHEN json_valid(doc) THEN doc END) <> 'OBJECT' THEN 'no object' ELSE 'whole' END AS status FROM yaml_rec")
+def p5_status(spark, d):
+    """Which records are whole, and why the others are not."""
+    return nested.record_status(spread(table(spark, d, "yaml_rec").select("rec_id", "doc")))
+
+
 # ---------------------------------------------------------------- accumulators
 
 _NTH = "list_sort(list({x}))[CAST(floor({k} * count({x}) / {d}) AS BIGINT) + 1]"

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import jsontext
 from ..operators.nested import is_provenance
 from ..plans.runtime import number_rows
 from .files import decode
@@ -98,8 +99,8 @@ def simplify_json(records: DataFrame, id_col: str, doc_col: str) -> DataFrame:
             out = []
             for i, doc in zip(pdf["id"], pdf["doc"]):
                 try:
-                    got = json.dumps(simplify(json.loads(doc)), ensure_ascii=False)
-                except (ValueError, TypeError, RecursionError):
+                    got = jsontext.dumps(simplify(jsontext.loads(doc)))
+                except (ValueError, TypeError):
                     got = None
                 out.append((i, got))
             yield pd.DataFrame(out, columns=["id", "simplified"])
