@@ -68,15 +68,22 @@ def test_held_out_accuracy(spark, model):
     assert np.mean([len(g) == 1 and G.CODES[g[0][0]] == t for g, t in zip(got, truth)]) > 0.98
 
 
-def test_closing_passage_is_no_signature(spark, model):
-    """Short lines below a rule at the end count if they hold a passage; a signature doesn't."""
+def test_closing_lines_are_read(spark, model):
+    """Lines below a rule at the end and lines above a quote are text like any other."""
     _, _, m = model
     r = random.Random(4)
     body, end = sentence(r, "en", 30), [" ".join(r.choice([w for w in TEXT["de"] if len(w) < 8]) for _ in range(5)) for _ in range(3)]
     docs = [(1, body + "\n--\n" + "\n".join(end), "en"), (2, body + "\n----\n" + end[0], "en"), (3, body + "\n--\n" + end[0] + "\nhttp://a.b/c/d/e/f/g/h/i/j/k/l", "en")]
     df = spark.createDataFrame([(*d, "x", "y", 1) for d in docs], SCHEMA)
     assert max(map(len, end)) <= 60 and sorted(tuple(x) for x in G.mislabelled(df, matrix=m).collect()) == [(1, "de"), (1, "en")]
-    assert len(G.words_of(docs[1][1])[0]) == len(G.words_of(docs[2][1])[0]) == 30
+    assert len(G.words_of(docs[1][1])[0]) == len(G.words_of(docs[2][1])[0]) == 35
+    assert G.words_of("Anna Kovac wrote on Monday:\n> quoted words")[0] == "anna kovac wrote on monday quoted words".split()
+
+
+def test_markup_of_any_length():
+    tag = '<div style="' + "x: y; " * 5000 + '">'
+    assert G.words_of(f"one {tag}two</div> a < b and c > d [b]three[/b]")[0] == "one two a b and c d three".split()
+    assert len(G.words_of("<" * 200_000)[0]) == 0 and len(G.words_of("<a " * 200_000)[0]) == 200_000
 
 
 def test_cache_of_few_words(model):

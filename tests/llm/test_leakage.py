@@ -94,3 +94,18 @@ def test_items_in_blocks(spark, monkeypatch):
     want = found(spark, texts)
     monkeypatch.setattr(L, "ITEM_CHARS", 150)
     assert found(spark, texts) == want == {(0, 1), (0, 2), (1, 1)}
+
+
+def test_items_without_an_instruction(spark):
+    words = [f"w{i}x" for i in range(40)]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(7, "so " + " ".join(words[5:30]) + " on")], "doc_id bigint, text string")
+    assert L.leaks(docs, items).count() == 0 and [tuple(r) for r in L.leaks(docs, items, instruction_lines=0).collect()] == [(7, 1)]
+
+
+def test_long_markup_inside_a_passage(spark):
+    words = [f"w{i}x" for i in range(40)]
+    items = spark.createDataFrame([(1, "do\n" + " ".join(words) + "\nwhy")], "item_id bigint, text string")
+    tag = '<span class="' + "y" * 5000 + '">'
+    docs = spark.createDataFrame([(7, " ".join(words[:9]) + f" {tag}" + " ".join(words[9:18]) + "</span>")], "doc_id bigint, text string")
+    assert [tuple(r) for r in L.leaks(docs, items).collect()] == [(7, 1)]

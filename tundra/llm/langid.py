@@ -9,8 +9,7 @@ Scoring runs over all rows in batches: the distinct words of a batch are scored
 matrix), a Viterbi pass over each text's word scores finds its language segments, for many texts at once. No shuffle.
 
 Defined results
-    markup, links, lines that only name a quote's author and signatures (up to three short lines below a rule, of fewer than
-    ``MIN_WORDS`` words) are not read; rows without an id are left out; null or empty texts, texts without letters and texts without a passage of ``MIN_WORDS`` words are no cases and have no
+    markup and links are not read, everything else is; rows without an id are left out; null or empty texts, texts without letters and texts without a passage of ``MIN_WORDS`` words are no cases and have no
     segments of note; with no usable label anywhere there is no model and no row; repeated rows give rows each;
     confidence is the posterior of the segment's language under the model, tempered by its length.
 """
@@ -28,6 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.runtime import checkpoint
+
 # Customary ways to write the languages (lower case).
 LANGUAGES = {
     "en": ("en", "eng", "english", "englisch", "anglais"),
@@ -53,15 +54,13 @@ CELLS, PART_CHARS = 400_000, 8_000_000
 #: distinct words whose scores a task keeps; beyond them it starts anew (a bound of memory, results are the same)
 CACHE_WORDS = 500_000
 
-_TAG = re.compile(r"<[^<>]{1,200}>|\[/?[a-zA-Z*]+(?:=[^\]\[]*)?\]")
+#: markup of any length; a scan stops at the next angle, so it is linear
+_TAG = re.compile(r"</?[A-Za-z!][^<>]*+>|\[/?[a-zA-Z*]+(?:=[^\]\[]*)?\]")
 _LINK = re.compile(r"(?:https?://|www\.)\S+|[\w.+-]{1,64}@\S+")
 _SOFT = re.compile("[­​-‏⁠﻿]")
 #: a word of letters (marks inside), no part of a code with digits; a break is the end of a sentence or line
 _WORD = re.compile(r"(?<!\w)[^\W\d_]++(?:['’ʼ\-][^\W\d_]++)*+(?!-?\d)")
 _BREAK = re.compile(r"[.!?…:\n]+")
-#: a line that only names the author of the quote below it; a signature at the end below a rule
-_ATTRIBUTION = re.compile(r"(?m)^[> \t]*\S{1,60}(?: [^\s:]{1,30}){1,4}:[ \t]*\n(?=[ \t]*>)")
-_SIGNATURE = re.compile(r"\n(?:_{4,80}|--|\* \* \*|-{4,80})[ \t]*\n(?:[^\n]{0,60}\n?){0,3}\Z")
 
 
 def canonical(label: str | None) -> str | None:
@@ -81,20 +80,11 @@ def canonical_label(col: str) -> F.Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in _BY_NAME.items() for x in kv]), word)
 
 
-def _closing(found: re.Match) -> str:
-    """What stays of a signature: all of it where its words make a passage."""
-    return "\n" if len(_WORD.findall(_LINK.sub(" ", _TAG.sub(" ", found[0])))) < MIN_WORDS else found[0]
-
-
 def words_of(text: str) -> tuple[list[str], np.ndarray]:
     """Lower-case words of a text and, for each, whether a sentence or line ended before it."""
     t = text if text.isascii() else _SOFT.sub("", text)
     if "&" in t:
         t = html.unescape(t)
-    if "\n" in t:
-        t = t.replace("\r\n", "\n")
-        t = _ATTRIBUTION.sub("\n", t) if ">" in t else t
-        t = _SIGNATURE.sub(_closing, t)
     if "<" in t or "[" in t:
         t = _TAG.sub(" ", t)
     if "www." in t or "http" in t or "@" in t:
@@ -254,13 +244,14 @@ def _counted(sample: DataFrame, matrix: np.ndarray | None) -> np.ndarray:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = TRAIN_DOCS) -> np.ndarray:
     """The log-probability matrix (buckets x languages), from at most ``per_language`` labelled rows of each language."""
-    labelled = docs.select(F.col(id_col).alias("id"), canonical_label(label_col).alias("code"), F.col(text_col).alias("text")).filter("code IS NOT NULL AND length(text) >= 40")
-    # which ids to take: hash threshold from exact label counts, so the sample is spread over all rows
-    n = {r["code"]: r["n"] for r in labelled.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
+    coded = docs.select(F.col(id_col).alias("id"), canonical_label(label_col).alias("code"), F.col(text_col).alias("text")).filter("code IS NOT NULL")
+    # which ids to take: hash threshold from exact label counts (a scan of the labels only), so the sample is spread over all rows
+    n = {r["code"]: r["n"] for r in coded.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
     if not n:
         return np.zeros((BUCKETS, 0))
     share = F.element_at(F.create_map(*[x for c, k in n.items() for x in (F.lit(c), F.lit(min(1.0, per_language / k)))]), F.col("code"))
-    sample = labelled.filter((F.pmod(F.xxhash64(F.col("id")), F.lit(1_000_003)) / 1_000_003) < share).select("code", "text")
+    # read twice, so it is kept: a bounded sample
+    sample = checkpoint(coded.filter((F.pmod(F.xxhash64(F.col("id")), F.lit(1_000_003)) / 1_000_003) < share).filter("length(text) >= 40").select("code", "text"))
     matrix = _log_matrix(_counted(sample, None))
     return _log_matrix(_counted(sample, matrix))
 

@@ -11,7 +11,7 @@ any number of texts, and a text is never cut.
 
 Defined results
     null or empty texts match nothing; passages of fewer than ``WINDOW`` words can't leak; the first line of an item (the
-    instruction) never counts; items that share a passage are all reported; each (text id, item) comes once for
+    instruction; a parameter says how many lines) never counts; items that share a passage are all reported; each (text id, item) comes once for
     each row; with no items or no texts there are no rows.
 """
 
@@ -38,7 +38,8 @@ ITEM_CHARS = 20_000_000
 
 #: how tags that end a line begin
 _BREAKING = {"br", "p>", "/p", "bl", "di", "/d", "li", "/l", "hr", "h1", "h2", "h3"}
-_TAG = re.compile(r"<[^<>]{0,300}>|\[/?[a-zA-Z*]+(?:=[^\]\[]*)?\]")
+#: markup of any length; a scan stops at the next angle, so it is linear
+_TAG = re.compile(r"</?[A-Za-z!][^<>]*+>|\[/?[a-zA-Z*]+(?:=[^\]\[]*)?\]")
 _JOINED = re.compile("['’ʼ‘`´­​-‏‪-‮⁠-⁤﻿]|(?<=\\w)[-‐‑](?=\\w)")
 _MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 _WORD = re.compile(r"[^\W_]+")
@@ -156,13 +157,13 @@ class FMIndex:
 class Items:
     """The test passages and questions as rows of word numbers, and their seed phrases."""
 
-    def __init__(self, rows: list[tuple[int, str | None]]) -> None:
+    def __init__(self, rows: list[tuple[int, str | None]], instruction_lines: int = 1) -> None:
         self.vocabulary: dict[str, int] = {}
         parts: dict[tuple[int, ...], int] = {}
         owners: list[list[int]] = []
         for item, text in rows:
-            # the instruction is the first line; the others count each by itself
-            for part in (text or "").split("\n")[1:]:
+            # the instruction is the first line (unless told otherwise); the others count each by itself
+            for part in (text or "").split("\n")[instruction_lines:]:
                 ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(part))
                 if len(ids) >= WINDOW:
                     if ids not in parts:
@@ -256,21 +257,24 @@ def _spans(starts: np.ndarray, parts: np.ndarray, bound: np.ndarray) -> Iterator
         yield tuple(last)
 
 
-def leak_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, first_word, end_word): merged spans of each text that hold passages of an item."""
+def leak_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", instruction_lines: int = 1) -> DataFrame:
+    """(doc_id, item_id, first_word, end_word): merged spans of each text that hold passages of an item.
+
+    The first ``instruction_lines`` lines of an item never count; 0 for items without an instruction.
+    """
     asked = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("item_id IS NOT NULL")
     size = asked.agg(F.sum(F.length("text"))).head()[0] or 0
     blocks = -(-size // ITEM_CHARS) or 1
-    parts = [_spans_of_block(docs, asked.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else asked, id_col, text_col) for k in range(blocks)]
+    parts = [_spans_of_block(docs, asked.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else asked, id_col, text_col, instruction_lines) for k in range(blocks)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def _spans_of_block(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _spans_of_block(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, instruction_lines: int) -> DataFrame:
     rows = [(r[0], r[1]) for r in items.collect()]  # one block of the test set
-    model = docs.sparkSession.sparkContext.broadcast(Items(rows))
+    model = docs.sparkSession.sparkContext.broadcast(Items(rows, instruction_lines))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         it = model.value
@@ -304,6 +308,6 @@ def _spans_of_block(docs: DataFrame, items: DataFrame, id_col: str, text_col: st
     return src.mapInPandas(run, "doc_id bigint, item_id bigint, first_word int, end_word int")
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", instruction_lines: int = 1) -> DataFrame:
     """(doc_id, item_id): the items that each text leaks."""
-    return leak_spans(docs, items, id_col, text_col).select("doc_id", "item_id").distinct()
+    return leak_spans(docs, items, id_col, text_col, instruction_lines).select("doc_id", "item_id").distinct()

@@ -38,6 +38,8 @@ LARGE = 0.25
 #: texts aimed at in a chunk of the best-fit step, and rows aimed at in a rank bucket
 CHUNK_ROWS = 40_000
 BUCKET_ROWS = 500_000
+#: capacities packed in one plan
+CAPS_AT_ONCE = 16
 # Fixed value: how byte-level BPE splits text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -181,8 +183,18 @@ def pack(docs: DataFrame, capacities: DataFrame, id_col: str = "doc_id", text_co
     caps = {int(r[0]): int(r[1]) for r in capacities.select("cap_id", "max_tokens").filter("cap_id IS NOT NULL AND max_tokens >= 1").collect()}
     if not caps:
         return spark.createDataFrame([], schema)
-    # counted once, read twice: a reliable checkpoint of two numbers a text
+    # counted once, read by every plan: a reliable checkpoint of two numbers a text
     sizes = checkpoint(token_counts(docs, id_col, text_col, tokenizer))
+    some = sorted(caps)
+    out: DataFrame | None = None
+    for at in range(0, len(some), CAPS_AT_ONCE):  # any number of capacities, a block in one plan
+        part = _pack_block(sizes, {i: caps[i] for i in some[at : at + CAPS_AT_ONCE]}, schema)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _pack_block(sizes: DataFrame, caps: dict[int, int], schema: str) -> DataFrame:
+    spark = sizes.sparkSession
     each = F.explode(F.array(*[F.struct(F.lit(i).cast("bigint").alias("cap_id"), F.lit(c).cast("bigint").alias("cap")) for i, c in caps.items()])).alias("c")
     pieces = (
         sizes.select("doc_id", "n_tokens", each).select("doc_id", "c.cap_id", "c.cap", "n_tokens")
