@@ -38,6 +38,10 @@ def test_gate_and_replace_against_a_loop(spark, monkeypatch):
     e = N.effective(N.gate(N.once(df, ["grp", "holder", "seq"])), ["grp", "holder"], "note_key")
     got = {(x.grp, x.holder, x.note_key): x.total or 0.0 for x in N.fold(e, ["grp", "holder"], "note_key", "num").collect()}
     assert got == pytest.approx(state)
+    got = {(x.grp, x.holder, x.note_key): x.total or 0.0 for x in N.fold_ledger(df, "note_key", "num").collect()}
+    assert got == pytest.approx(state)
+    plan = N.fold_ledger(df, "note_key", "num")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 2 or plan.count("Scan") <= 2
     assert N.fold(N.gate(df.limit(0)), ["grp", "holder"], "note_key", "num").count() == 0
 
 

@@ -1,15 +1,17 @@
 """A grouped ledger of notes: add and replace events folded into wide reports.
 
 Events are (group, holder, seq, op, key, num, str). The gate comes first: notes count only while their group is
-enabled. Then a replace resets its key: the last one's seq is a pre-aggregated maximum joined back, so no holder is
-ever gathered in one task. Sums are partial plus final; texts are joined in seq order.
+enabled. Then a replace resets its key. Sums are partial plus final; texts are joined in seq order.
 
-The gate needs each event's last toggle. Toggles are few beside notes but not provably small, so groups are cut into
-slices of seq: the state at each slice's start is a running value over slices, and the window only runs inside a slice.
+The ledger is dealt once, by group and slice of seq (an order over the group): in a slice, which no group can make larger, notes
+sent again are dropped, the gate's state runs as a window, and each key is folded from its last replace on. What is left of
+a slice is a row for each holder and key, and of these the slices since the last one with a replace add up. The state
+at each slice's start is a running value over the slices' last toggles, from a second scan of the few columns it needs.
 
 Defined results
-    events without a group or seq are left out, without a key folded as a key of their own; groups start enabled; a note sent again (same group, holder, seq) counts once; values of null add nothing; text joins
-    after numbers are separate results of a key; an empty ledger gives no rows.
+    events without a group or seq are left out, without a key folded as a key of their own; groups start enabled; a note sent again (same group, holder, seq)
+    counts once, of differing copies one that enables or disables, else the least; of toggles with one seq the last holder's counts; values of null
+    add nothing; text joined after numbers, lists and accumulators are separate results of a key; an empty ledger gives no rows.
 """
 
 from __future__ import annotations
@@ -17,46 +19,89 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import accum
+
 SLICE = 100_000
 
 
-def once(notes: DataFrame, ident: list[str]) -> DataFrame:
-    """Each note once, however often it was sent: the first by the remaining columns."""
+TOGGLES = ("enable", "disable")
+
+
+def _first_copy(columns: list[str], op: str) -> Column:
+    """Of several copies of a note: one that enables or disables, else the least by the other columns."""
+    return F.min(F.struct(*([(~F.coalesce(F.col(op).isin(*TOGGLES), F.lit(False))).alias("_later")] if op in columns else []), *columns))
+
+
+def once(notes: DataFrame, ident: list[str], op: str = "op") -> DataFrame:
+    """Each note once, however often it was sent."""
     rest = [c for c in notes.columns if c not in ident]
-    return notes.groupBy(*ident).agg(F.min(F.struct(*rest)).alias("_r")).select(*ident, "_r.*")
+    return notes.groupBy(*ident).agg(_first_copy(rest, op).alias("_r")).select(*ident, *[f"_r.{c}" for c in rest])
+
+
+def _sliced(notes: DataFrame, group: str, holder: str, seq: str, op: str) -> DataFrame:
+    """The gated add and replace events, each once, with their slice ``_s``; dealt by group and slice."""
+    e = notes.filter(F.col(group).isNotNull() & F.col(seq).isNotNull()).withColumn("_s", F.floor(F.col(seq) / SLICE))
+    toggle = F.when(F.col(op).isin(*TOGGLES), F.struct(seq, holder, (F.col(op) == "disable").alias("off")))
+    last = e.groupBy(group, "_s").agg(F.max(toggle).alias("_last"))
+    earlier = Window.partitionBy(group).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    start = last.select(group, "_s", (~F.coalesce(F.last("_last.off", True).over(earlier), F.lit(False))).alias("_start"))
+    rest = [c for c in notes.columns if c not in (group, holder, seq)]
+    dealt = e.repartition(group, "_s").groupBy(group, "_s", holder, seq).agg(_first_copy(rest, op).alias("_r")).select(group, "_s", holder, seq, *[f"_r.{c}" for c in rest])
+    on = F.when(F.col(op) == "enable", True).when(F.col(op) == "disable", False)
+    state = F.last(on, True).over(Window.partitionBy(group, "_s").orderBy(seq, holder).rowsBetween(Window.unboundedPreceding, 0))
+    got = dealt.withColumn("_on", state).join(start, [group, "_s"])
+    return got.filter(F.coalesce("_on", "_start") & F.col(op).isin("add", "replace")).drop("_on", "_start")
 
 
-def gate(events: DataFrame, group: str = "grp", seq: str = "seq", op: str = "op") -> DataFrame:
-    """The add and replace events whose group was enabled when they came."""
-    e = events.withColumn("_t", F.when(F.col(op) == "enable", True).when(F.col(op) == "disable", False)).withColumn("_s", F.floor(F.col(seq) / SLICE))
-    per = e.filter("_t IS NOT NULL").groupBy(group, "_s").agg(F.max_by("_t", seq).alias("_last"))
-    slices = e.select(group, "_s").distinct().join(per, [group, "_s"], "left")
-    start = slices.withColumn("_start", F.coalesce(F.last("_last", True).over(Window.partitionBy(group).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))).drop("_last")
-    # toggles of a slice as points in its order; the window holds one slice of one group
-    state = F.last("_t", True).over(Window.partitionBy(group, "_s").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0))
-    on = [group, "_s"]
-    return e.join(start, on).withColumn("_on", F.coalesce(state, "_start")).filter(F.col("_on") & F.col(op).isin("add", "replace")).drop("_t", "_s", "_start", "_on")
+def gate(notes: DataFrame, group: str = "grp", holder: str = "holder", seq: str = "seq", op: str = "op") -> DataFrame:
+    """The add and replace events, each once, whose group was enabled when they came."""
+    return _sliced(notes, group, holder, seq, op).select(*notes.columns)
 
 
 def effective(events: DataFrame, holder: list[str], key: str, seq: str = "seq", op: str = "op") -> DataFrame:
     """The events from each key's last replace on."""
     cut = events.filter(F.col(op) == "replace").groupBy(*holder, key).agg(F.max(seq).alias("_cut"))
-    return events.join(cut, [*holder, key], "left").filter(F.col("_cut").isNull() | (F.col(seq) >= F.col("_cut"))).drop("_cut")
+    same = [F.col(f"e.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (*holder, key)]
+    return events.alias("e").join(cut.alias("c"), same, "left").filter(F.col("_cut").isNull() | (F.col(seq) >= F.col("_cut"))).select("e.*")
 
 
-def fold(events: DataFrame, holder: list[str], key: str, num: str, text: str | None = None, seq: str = "seq") -> DataFrame:
-    """(holder..., key, n, total, words): sums of numbers and, in seq order, the joined texts."""
+def _joined(order: str, text: str) -> Column:
+    """Texts in order as one."""
+    return F.when(F.count(text) > 0, F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(text).isNotNull(), F.struct(order, text)))), lambda s: s[text]), ""))
+
+
+def fold(events: DataFrame, holder: list[str], key: str, num: str, text: str | None = None, seq: str = "seq", lists: str | None = None, stats: str | None = None) -> DataFrame:
+    """(holder..., key, n, total, words, items, stats): sums of numbers, texts and lists joined in seq order, accumulators merged.
+
+    ``lists`` is an array column; ``stats`` a column of ``accum.stat_val`` structs.
+    """
     aggs = [F.count(F.lit(1)).alias("n"), F.sum(num).alias("total")]
     if text:
-        words = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(text).isNotNull(), F.struct(seq, text)))), lambda s: s[text]), "")
-        aggs.append(F.when(F.count(text) > 0, words).alias("words"))
+        aggs.append(_joined(seq, text).alias("words"))
+    if lists:
+        aggs.append(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col(lists).isNotNull(), F.struct(seq, lists)))), lambda s: s[lists])).alias("items"))
+    if stats:
+        aggs.append(accum.merge_stat_vals(F.col(stats)).alias("stats"))
     return events.groupBy(*holder, key).agg(*aggs)
 
 
+def fold_ledger(notes: DataFrame, key: str, num: str, text: str | None = None, group: str = "grp", holder: str = "holder", seq: str = "seq", op: str = "op") -> DataFrame:
+    """(group, holder, key, n, total, words): the ledger gated, each note once, folded from every key's last replace on."""
+    e = _sliced(notes, group, holder, seq, op)
+    cut = F.max(F.when(F.col(op) == "replace", F.col(seq))).over(Window.partitionBy(group, "_s", holder, key))
+    kept = e.withColumn("_cut", cut).filter(F.col("_cut").isNull() | (F.col(seq) >= F.col("_cut")))
+    words = [_joined(seq, text).alias("_words")] if text else []
+    part = kept.groupBy(group, "_s", holder, key).agg(F.count(F.lit(1)).alias("_n"), F.sum(num).alias("_total"), F.max(F.col("_cut").isNotNull()).alias("_new"), *words)
+    since = F.max(F.when(F.col("_new"), F.col("_s"))).over(Window.partitionBy(group, holder, key))
+    live = part.withColumn("_since", since).filter(F.col("_since").isNull() | (F.col("_s") >= F.col("_since")))
+    words = [_joined("_s", "_words").alias("words")] if text else []
+    return live.groupBy(group, holder, key).agg(F.sum("_n").alias("n"), F.sum("_total").alias("total"), *words)
+
+
 def report(folded: DataFrame, holder: list[str], key: str, value: str, fields: list[str] | None = None, required: list[str] | None = None, override: list[str] | None = None, rewrite: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Wide rows, one a holder. Without ``fields`` the columns are the sorted keys, code and name first.
     ``rewrite`` gets the wide table last.
@@ -64,7 +109,7 @@ def report(folded: DataFrame, holder: list[str], key: str, value: str, fields: l
     Only holders with any ``override`` key, or with all ``required`` ones, stay; override counts only beside required.
     """
     if fields is None:
-        keys = [r[0] for r in folded.select(key).distinct().filter(F.col(key).isNotNull()).limit(10_000).collect()]  # column names
+        keys = [r[0] for r in folded.select(key).distinct().filter(F.col(key).isNotNull()).collect()]  # they become the report's columns
         fields = [*(k for k in ("code", "name") if k in keys), *sorted(k for k in keys if k not in ("code", "name"))]
     kept = folded
     if required:

@@ -366,12 +366,12 @@ _KEPT = f"""{_GATED}, cut AS (SELECT grp, holder, note_key, max(seq) AS cut FROM
 k AS (SELECT e.* FROM e LEFT JOIN cut ON e.grp = cut.grp AND e.holder = cut.holder AND e.note_key = cut.note_key WHERE cut.cut IS NULL OR e.seq >= cut.cut)"""
 
 
-def _ledger(spark, d):
-    return notes.once(table(spark, d, "note_ledger").select("grp", "holder", "seq", "op", "note_key", "num", "str_val"), ["grp", "holder", "seq"])
+def _raw_ledger(spark, d):
+    return table(spark, d, "note_ledger").select("grp", "holder", "seq", "op", "note_key", "num", "str_val")
 
 
-def _effective(spark, d):
-    return notes.effective(notes.gate(_ledger(spark, d)), ["grp", "holder"], "note_key")
+def _ledger(spark, d):
+    return notes.once(_raw_ledger(spark, d), ["grp", "holder", "seq"])
 
 
 @query("notes_sum", f"{_EVENTS} SELECT grp, holder, note_key, count(*) AS n, round(sum(num), 4) AS total FROM o WHERE op = 'add' GROUP BY grp, holder, note_key")
@@ -381,17 +381,17 @@ def notes_sum(spark, d):
 
 @query("notes_gate", f"{_GATED} SELECT grp, op, count(*) AS n, round(sum(num), 4) AS total FROM e GROUP BY grp, op")
 def notes_gate(spark, d):
-    return notes.gate(_ledger(spark, d)).groupBy("grp", "op").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("num"), 4).alias("total"))
+    return notes.gate(_raw_ledger(spark, d).drop("str_val", "note_key")).groupBy("grp", "op").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("num"), 4).alias("total"))
 
 
 @query("notes_replace", f"{_KEPT} SELECT grp, holder, note_key, count(*) AS n, round(sum(num), 4) AS total FROM k GROUP BY grp, holder, note_key")
 def notes_replace(spark, d):
-    return rounded(notes.fold(_effective(spark, d), ["grp", "holder"], "note_key", "num"), 4)
+    return rounded(notes.fold_ledger(_raw_ledger(spark, d), "note_key", "num"), 4)
 
 
 @query("notes_concat", f"{_KEPT} SELECT grp, holder, note_key, string_agg(str_val, '' ORDER BY seq) AS words FROM k WHERE str_val IS NOT NULL GROUP BY grp, holder, note_key")
 def notes_concat(spark, d):
-    return notes.fold(_effective(spark, d).filter("str_val IS NOT NULL"), ["grp", "holder"], "note_key", "num", "str_val").select("grp", "holder", "note_key", "words")
+    return notes.fold_ledger(_raw_ledger(spark, d), "note_key", "num", "str_val").filter("words IS NOT NULL").select("grp", "holder", "note_key", "words")
 
 
 @query(
@@ -400,7 +400,7 @@ def notes_concat(spark, d):
     max(CASE WHEN note_key = 'alarm' THEN total END) AS alarm, bool_or(note_key = 'int') AND bool_or(note_key = 'fill') OR bool_or(note_key = 'alarm') AS ok FROM f GROUP BY grp, holder) SELECT grp, holder, "int", fill, alarm FROM w WHERE ok""",
 )
 def notes_required(spark, d):
-    f = rounded(notes.fold(_effective(spark, d), ["grp", "holder"], "note_key", "num"), 4)
+    f = rounded(notes.fold_ledger(_raw_ledger(spark, d), "note_key", "num"), 4)
     return notes.report(f, ["grp", "holder"], "note_key", "total", ["int", "fill", "alarm"], ["int", "fill"], ["alarm"])
 
 
@@ -422,6 +422,20 @@ def notes_lookup(spark, d):
     return got.select("grp", "holder", F.coalesce("has_alarm", F.lit(False)).alias("has_alarm"), F.round("alarm", 4).alias("alarm"))
 
 
+@query(
+    "notes_lists",
+    f"""{_EVENTS}, a AS (SELECT holder, seq, num, str_val FROM o WHERE op = 'add' AND note_key IS NOT NULL) SELECT holder, string_agg(str_val, ',' ORDER BY seq) AS items, round(sum(num), 4) AS stat_sum, count(num) AS stat_count, max(num) AS stat_max FROM a GROUP BY holder""",
+)
+def notes_lists(spark, d):
+    """Lists and accumulators as notes of one key: every text a list of one, every number an accumulator of one."""
+    e = _ledger(spark, d).filter("op = 'add' AND note_key IS NOT NULL").withColumn("key", F.lit("all"))
+    one = F.col("num")
+    stat = F.struct(one.alias("sum"), F.when(one.isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias("count"), one.alias("min"), one.alias("max"))
+    e = e.withColumn("one", F.when(F.col("str_val").isNotNull(), F.array("str_val"))).withColumn("stat", stat)
+    f = notes.fold(e, ["holder"], "key", "num", lists="one", stats="stat")
+    return f.select("holder", F.nullif(F.array_join("items", ","), F.lit("")).alias("items"), F.round("stats.sum", 4).alias("stat_sum"), F.col("stats.count").alias("stat_count"), F.col("stats.max").alias("stat_max"))
+
+
 @query(
     "notes_copy_holder",
     "SELECT holder, count(*) AS n FROM (SELECT holder FROM note_ledger UNION ALL SELECT 'hub_copy' FROM note_ledger WHERE holder = 'hub_central') GROUP BY holder",
@@ -437,7 +451,7 @@ def notes_copy_holder(spark, d):
     SELECT '# notes' AS line UNION ALL SELECT 'grp,holder,fill,int' UNION ALL SELECT grp || ',' || holder || ',' || coalesce(fill::VARCHAR, 'NA') || ',' || coalesce(i::VARCHAR, 'NA') FROM w""",
 )
 def notes_csv(spark, d):
-    f = notes.fold(_effective(spark, d).filter("note_key IS NOT NULL"), ["grp", "holder"], "note_key", "num")
+    f = notes.fold_ledger(_raw_ledger(spark, d), "note_key", "num").filter("note_key IS NOT NULL")
     wide = notes.report(f, ["grp", "holder"], "note_key", "n", ["fill", "int"])
     return notes.csv_lines(wide, ["grp", "holder", "fill", "int"], preamble=["# notes"]).select("line")
 
