@@ -6,7 +6,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tundra.functions import bitset, mercator, polygon, records
-from tundra.operators import boxes, hierarchy, tracts
+from tundra.operators import boxes, hierarchy, spatial, tracts
 
 BOXES = [(1, 5, 7, 9), (6, 9, 3, 6), (3, 6, 4, 7), (8, 9, 5, 6), (4, 7, 3, 8), (2, 8, 5, 7), (1, 3, 2, 4), (3, 7, 2, 4), (6, 8, 1, 5), (4, 8, 8, 9), (1, 9, 1, 9)]
 
@@ -19,17 +19,18 @@ def ring(*pts):
     return F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in pts])
 
 
-@pytest.mark.parametrize("cell", [0.7, 3.0, 100.0])
-def test_box_queries(spark, cell):
+@pytest.mark.parametrize("task_rows", [2, 40_000])
+def test_box_queries(spark, monkeypatch, task_rows):
+    monkeypatch.setattr(spatial, "TASK_ROWS", task_rows)
     b = box_frame(spark, BOXES)
     p = spark.createDataFrame([(1, 2.0, 4.0), (2, 1.0, 3.0), (3, 4.0, 7.0), (4, None, 1.0), (5, 50.0, 50.0)], "pid int, x double, y double")
-    got = boxes.stab_join(p, b, cell, "pid", "id")
+    got = boxes.stab_join(p, b, "pid", "id")
     by = {k: {BOXES[i] for q, i in rows(got) if q == k} for k in (1, 2, 3, 4, 5)}
     assert by[1] == by[2] == {(1, 3, 2, 4), (1, 9, 1, 9)} and by[4] == by[5] == set()
     assert by[3] == {(1, 5, 7, 9), (3, 6, 4, 7), (4, 7, 3, 8), (2, 8, 5, 7), (1, 9, 1, 9)}
     q = spark.createDataFrame([(1, 2.0, 4.0, 5.0, 8.0), (2, 20.0, 21.0, 1.0, 2.0)], "q int, x_min double, x_max double, y_min double, y_max double")
-    assert {BOXES[i] for _, i in rows(boxes.overlap_join(q, b, cell, "q", "id"))} == {(1, 5, 7, 9), (3, 6, 4, 7), (4, 7, 3, 8), (2, 8, 5, 7), (4, 8, 8, 9), (1, 9, 1, 9)}
-    assert rows(boxes.overlap_exists(q, b, cell, "q", "id")) == [(1, True), (2, False)]
+    assert {BOXES[i] for _, i in rows(boxes.overlap_join(q, b, "q", "id"))} == {(1, 5, 7, 9), (3, 6, 4, 7), (4, 7, 3, 8), (2, 8, 5, 7), (4, 8, 8, 9), (1, 9, 1, 9)}
+    assert rows(boxes.overlap_exists(q, b, "q", "id")) == [(1, True), (2, False)]
 
 
 def test_grid_join_is_the_nested_loop(spark):
@@ -39,7 +40,7 @@ def test_grid_join_is_the_nested_loop(spark):
         return [(x := r.uniform(-20, 20), x + r.choice([0, r.random(), big * r.random()]), y := r.uniform(-20, 20), y + r.choice([0, r.random(), big * r.random()])) for _ in range(n)]
 
     a, b = some(200, 3), some(150, 60)
-    got = boxes.overlap_join(box_frame(spark, a).withColumnRenamed("id", "q"), box_frame(spark, b), 1.0, "q", "id").collect()
+    got = boxes.overlap_join(box_frame(spark, a).withColumnRenamed("id", "q"), box_frame(spark, b), "q", "id").collect()
     want = {(i, j) for i, p in enumerate(a) for j, o in enumerate(b) if p[0] <= o[1] and p[1] >= o[0] and p[2] <= o[3] and p[3] >= o[2]}
     assert len(got) == len(want) and {tuple(x) for x in got} == want
 
@@ -69,9 +70,9 @@ def test_tracts_with_holes(spark):
     assert got["a"].centroid.area == pytest.approx(13.0) and got["a"].centroid.x == pytest.approx((12 * 2 + 6.5) / 13) and tuple(got["a"].extent) == (0.0, 0.0, 7.0, 4.0)
     assert got["b"].centroid.area == pytest.approx(4.0)  # all water: the outer ring
     pts = spark.createDataFrame([(1, 0.5, 0.5), (2, 2.0, 2.0), (3, 50.0, 50.0), (4, None, 1.0)], "point_id int, lon double, lat double")
-    assert rows(tracts.find_tracts(pts, polys, 1.0)) == [(1, "a")]
-    assert rows(tracts.find_tracts(pts, polys, 1.0, ignore_holes=True)) == [(1, "a"), (2, "a")]
-    assert rows(tracts.find_tracts(pts, polys, 1.0, allow_in_holes=True)) == [(1, "a"), (2, "a")]
+    assert rows(tracts.find_tracts(pts, polys)) == [(1, "a")]
+    assert rows(tracts.find_tracts(pts, polys, ignore_holes=True)) == [(1, "a"), (2, "a")]
+    assert rows(tracts.find_tracts(pts, polys, allow_in_holes=True)) == [(1, "a"), (2, "a")]
     assert spark.range(1).select(F.size(tracts.state_codes()).alias("n")).head().n == 52
 
 

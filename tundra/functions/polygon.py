@@ -1,6 +1,7 @@
 """Planar geometry of rings as Column expressions: extents, areas, centroids, winding number, rectangles.
 
-A ring is ARRAY<STRUCT<x, y>>. All of it stays inside code generation; nothing is exploded.
+A ring is ARRAY<STRUCT<x, y>>. Nothing is exploded and no row leaves the JVM; Spark evaluates the higher-order functions over a ring by its
+interpreter. Many points against many rings go through the numpy tests of ``operators.spatial``.
 """
 
 from __future__ import annotations

@@ -1,8 +1,8 @@
-"""Rectangle index: stab, overlap and existence queries as grid equi-joins.
+"""Rectangle index: stab, overlap and existence queries as joins over a sampled quadtree.
 
-An inequality join would compare everything with everything, so both sides are cut into grid cells and joined on
-the cell; the pair is kept only in the cell that holds the low corner of the overlap, so none comes twice. A box over
-more than ``MAX_CELLS`` cells goes up to a grid level where it covers few, and queries look at every level in use.
+An inequality join would compare everything with everything, so both sides go to the leaves of a quadtree that a bounded sample
+shapes (``spatial.overlapping``): in each leaf an R-tree is probed, a crowded leaf is split over several tasks on both sides, and a
+pair is kept only by the leaf that holds the low corner of the overlap, so none comes twice.
 
 Defined results: borders count (closed boxes); removed boxes are left out; null or NaN corners match nothing; boxes or
 queries given twice match each.
@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_CELLS = 16
+from . import spatial
+
 BOX = ("x_min", "x_max", "y_min", "y_max")
 
 
@@ -35,48 +36,20 @@ def find_node(boxes: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return boxes.join(ids.select(key).distinct(), key)
 
 
-def _cells(df: DataFrame, cell: float, level: Column) -> DataFrame:
-    side = F.lit(cell) * F.pow(F.lit(2.0), level)
-    at = lambda c: F.floor(F.col(c) / side).cast("bigint")
-    return (
-        df.withColumn("_cx", F.explode(F.sequence(at("x_min"), at("x_max")))).withColumn("_cy", F.explode(F.sequence(at("y_min"), at("y_max"))))
-    )
-
-
-def _level(cell: float) -> Column:
-    """The least grid level on which a box covers at most MAX_CELLS cells a side."""
-    span = F.greatest(F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min"))
-    return F.greatest(F.ceil(F.log2(F.greatest(span, F.lit(1e-300)) / F.lit(cell * (MAX_CELLS**0.5 - 1)))), F.lit(0)).cast("int")
-
-
-def overlap_join(queries: DataFrame, boxes: DataFrame, cell: float, query_key: str, box_key: str) -> DataFrame:
+def overlap_join(queries: DataFrame, boxes: DataFrame, query_key: str, box_key: str) -> DataFrame:
     """(query_key, box_key) of every query box that meets a box."""
     good = " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in BOX) + " AND x_min <= x_max AND y_min <= y_max"
-    b = boxes.select(F.col(box_key).alias("_b"), *[F.col(c).cast("double").alias(c) for c in BOX]).filter(good).withColumn("_l", _level(cell))
-    q = queries.select(F.col(query_key).alias("_q"), *[F.col(c).cast("double").alias(c) for c in BOX]).filter(good)
-    own = q.withColumn("_lq", _level(cell))
-    levels = b.select("_l").distinct().unionByName(own.select(F.col("_lq").alias("_l")).distinct()).distinct()
-    top = [r[0] for r in levels.collect()]  # a few grid levels
-    if not top:
-        return q.select(F.col("_q").alias(query_key), F.lit(None).cast(dict(boxes.dtypes)[box_key]).alias(box_key)).limit(0)
-    # a pair meets on the coarser of both levels
-    spread = lambda df, l: _cells(df.withColumn("_l", F.explode(F.array(*[F.lit(x) for x in sorted(top)]))).filter(F.col("_l") >= F.col(l)), cell, F.col("_l"))  # noqa: E731, E741
-    qs, bs = spread(own, "_lq"), spread(b.withColumnRenamed("_l", "_lb"), "_lb")
-    j = qs.alias("q").join(bs.alias("b"), ["_l", "_cx", "_cy"])
-    side = F.lit(cell) * F.pow(F.lit(2.0), F.col("_l"))
-    ref = (F.floor(F.greatest("q.x_min", "b.x_min") / side) == F.col("_cx")) & (F.floor(F.greatest("q.y_min", "b.y_min") / side) == F.col("_cy"))
-    pick = lambda t: tuple(F.col(f"{t}.{c}") for c in BOX)
-    coarser = F.col("_l") == F.greatest("_lq", "_lb")
-    return j.filter(coarser & ref & overlaps(pick("q"), pick("b"))).select(F.col("_q").alias(query_key), F.col("_b").alias(box_key))
-
-
-def stab_join(points: DataFrame, boxes: DataFrame, cell: float, point_key: str, box_key: str, x: str = "x", y: str = "y") -> DataFrame:
+    side = lambda df, key: df.select(F.col(key).alias("id"), *[F.col(c).cast("double").alias(c) for c in BOX]).filter(good).select("id", F.col("x_min").alias("x0"), F.col("y_min").alias("y0"), F.col("x_max").alias("x1"), F.col("y_max").alias("y1"))
+    return spatial.overlapping(side(queries, query_key), side(boxes, box_key)).select(F.col("q").alias(query_key), F.col("b").alias(box_key))
+
+
+def stab_join(points: DataFrame, boxes: DataFrame, point_key: str, box_key: str, x: str = "x", y: str = "y") -> DataFrame:
     """(point_key, box_key) of every box that holds a point, borders included."""
     q = points.select(point_key, F.col(x).alias("x_min"), F.col(x).alias("x_max"), F.col(y).alias("y_min"), F.col(y).alias("y_max"))
-    return overlap_join(q, boxes, cell, point_key, box_key)
+    return overlap_join(q, boxes, point_key, box_key)
 
 
-def overlap_exists(queries: DataFrame, boxes: DataFrame, cell: float, query_key: str, box_key: str) -> DataFrame:
+def overlap_exists(queries: DataFrame, boxes: DataFrame, query_key: str, box_key: str) -> DataFrame:
     """(query_key, found): whether any box meets the query box."""
-    hit = overlap_join(queries, boxes, cell, query_key, box_key).select(query_key).distinct().withColumn("_f", F.lit(True))
+    hit = overlap_join(queries, boxes, query_key, box_key).select(query_key).distinct().withColumn("_f", F.lit(True))
     return queries.select(query_key).distinct().join(hit, query_key, "left").select(query_key, F.coalesce("_f", F.lit(False)).alias("found"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import polygon as G
 from ..functions.binding import let
-from . import boxes
+from . import spatial
 
 # State codes in use (1 to 56 without the reserved ones, and 72).
 RESERVED = (3, 7, 14, 43, 52)
@@ -56,27 +56,13 @@ def roll_up(polys: DataFrame) -> DataFrame:
     return polys.groupBy("sId").agg(F.count(F.lit(1)).alias("n_polys"), G.extent_of_group(F.col("extent")).alias("extent"), G.multi_centroid_area(F.col("x"), F.col("y"), F.col("area")).alias("centroid"))
 
 
-def find_tracts(points: DataFrame, polys: DataFrame, cell: float, key: str = "point_id", ignore_holes: bool = False, allow_in_holes: bool = False) -> DataFrame:
-    """(key, sId) of the tracts that hold each point: box candidates by grid, then the exact ring and hole tests.
+def find_tracts(points: DataFrame, polys: DataFrame, key: str = "point_id", ignore_holes: bool = False, allow_in_holes: bool = False) -> DataFrame:
+    """(key, sId) of the tracts that hold each point: candidates by quadtree and R-tree, then the exact ring and hole tests.
 
     ``ignore_holes``: anything inside the outer ring counts; ``allow_in_holes``: where nothing else is found, tracts in
     whose holes the point lies.
     """
-    b = polys.withColumn("_id", F.monotonically_increasing_id())
-    flat = b.select("_id", "sId", "ring", "holes", F.col("extent.min_x").alias("x_min"), F.col("extent.max_x").alias("x_max"), F.col("extent.min_y").alias("y_min"), F.col("extent.max_y").alias("y_max"))
-    p = points.select(key, F.col("lon").alias("_x"), F.col("lat").alias("_y")).filter("_x BETWEEN -180 AND 180 AND _y BETWEEN -90 AND 90")
-    return _refine(p, flat, cell, key, ignore_holes, allow_in_holes)
-
-
-def _refine(p: DataFrame, flat: DataFrame, cell: float, key: str, ignore_holes: bool, allow_in_holes: bool) -> DataFrame:
-    cells = boxes._cells(flat, cell, F.lit(0))
-    at = p.withColumn("_cx", F.floor(F.col("_x") / cell).cast("bigint")).withColumn("_cy", F.floor(F.col("_y") / cell).cast("bigint"))
-    x, y = F.col("_x"), F.col("_y")
-    hit = at.join(cells, ["_cx", "_cy"]).filter((x >= F.col("x_min")) & (x <= F.col("x_max")) & (y >= F.col("y_min")) & (y <= F.col("y_max"))).filter(G.in_polygon(F.col("ring"), x, y))
-    if ignore_holes:
-        return hit.select(key, "sId").distinct()
-    hit = hit.select(key, "sId", (~F.exists("holes", lambda h: G.in_polygon(h, x, y))).alias("_ok"))
-    if not allow_in_holes:
-        return hit.filter("_ok").select(key, "sId").distinct()
-    some = hit.groupBy(key).agg(F.max("_ok").alias("_any"))
-    return hit.join(some, key).filter(F.col("_ok") | ~F.col("_any")).select(key, "sId").distinct()
+    holes = "ignored" if ignore_holes else "fallback" if allow_in_holes else "excluded"
+    regions = polys.select("sId", F.col("ring").alias("polygon"), F.col("holes").alias("innerRings"))
+    got = spatial.points_in_regions(points, regions, key, "sId", holes)
+    return got.select(F.col("key_a").cast(dict(points.dtypes)[key]).alias(key), F.col("key_b").alias("sId"))

@@ -753,13 +753,13 @@ _BOXES = "b AS (SELECT poly_id, list_min(list_transform(polygon, lambda p: p.x))
 @query("box_stab", f"WITH {_BOXES} SELECT t.point_id, b.poly_id FROM tract_point t JOIN b ON t.lon BETWEEN x_min AND x_max AND t.lat BETWEEN y_min AND y_max")
 def box_stab(spark, d):
     pts = table(spark, d, "tract_point").select("point_id", "lon", "lat")
-    return boxes.stab_join(pts, _boxes(spark, d), 0.1, "point_id", "poly_id", "lon", "lat")
+    return boxes.stab_join(pts, _boxes(spark, d), "point_id", "poly_id", "lon", "lat")
 
 
 @query("box_overlap", f"WITH {_BOXES} SELECT q.poly_id AS a, b.poly_id AS b FROM b AS q JOIN b ON q.x_min <= b.x_max AND q.x_max >= b.x_min AND q.y_min <= b.y_max AND q.y_max >= b.y_min")
 def box_overlap(spark, d):
     b = _boxes(spark, d)
-    return boxes.overlap_join(b.withColumnRenamed("poly_id", "a"), b.withColumnRenamed("poly_id", "b"), 0.1, "a", "b")
+    return boxes.overlap_join(b.withColumnRenamed("poly_id", "a"), b.withColumnRenamed("poly_id", "b"), "a", "b")
 
 
 _STATED = "q AS (SELECT DISTINCT sId, extent.min_lon AS x_min, extent.max_lon AS x_max, extent.min_lat AS y_min, extent.max_lat AS y_max FROM ctract WHERE extent IS NOT NULL)"
@@ -774,7 +774,7 @@ def box_exists(spark, d):
     q = table(spark, d, "ctract").filter("extent IS NOT NULL").select("sId", F.col("extent.min_lon").alias("x_min"), F.col("extent.max_lon").alias("x_max"), F.col("extent.min_lat").alias("y_min"), F.col("extent.max_lat").alias("y_max")).distinct()
     b = _boxes(spark, d)
     live = boxes.alive(boxes.remove(b.withColumn("removed", F.lit(False)), b.filter("poly_id % 2 <> 0"), "poly_id"))
-    return boxes.overlap_exists(q, live, 0.1, "sId", "poly_id")
+    return boxes.overlap_exists(q, live, "sId", "poly_id")
 
 
 @query("box_find_node", f"WITH {_BOXES} SELECT b.* FROM b WHERE poly_id IN (SELECT s_suppkey FROM supplier)")
@@ -792,7 +792,7 @@ _TRACTS = _P4[: _P4.index(", k AS (SELECT DISTINCT point_id")]
 )
 def find_tract(spark, d):
     """Tracts of each point; where it lies only in holes, those tracts."""
-    return tracts.find_tracts(table(spark, d, "tract_point"), tracts.polygons(table(spark, d, "ctractpoly")), 0.1, allow_in_holes=True)
+    return tracts.find_tracts(table(spark, d, "tract_point"), tracts.polygons(table(spark, d, "ctractpoly")), allow_in_holes=True)
 
 
 @query(
@@ -801,7 +801,7 @@ def find_tract(spark, d):
     w AS (SELECT point_id, e.poly_id, e.sId, {_WINDING.format(x='h.lon', y='h.lat')} <> 0 AS inside FROM h JOIN e ON h.poly_id = e.poly_id GROUP BY ALL) SELECT DISTINCT point_id, sId FROM w WHERE inside""",
 )
 def find_tract_outer(spark, d):
-    return tracts.find_tracts(table(spark, d, "tract_point"), tracts.polygons(table(spark, d, "ctractpoly")), 0.1, ignore_holes=True)
+    return tracts.find_tracts(table(spark, d, "tract_point"), tracts.polygons(table(spark, d, "ctractpoly")), ignore_holes=True)
 
 
 @query("tract_ids", "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN '01' || '002' || '9' || printf('%04.2f', s_suppkey / 100.0) WHEN 1 THEN '01' || '002' || s_suppkey::VARCHAR ELSE 'G' || s_suppkey::VARCHAR END AS tract_id FROM supplier")
