@@ -93,9 +93,27 @@ def test_store(spark, tmp_path):
     with pytest.raises(KeyError):
         K.get(new, "key", 99, "value")
     K.save(new, str(tmp_path / "kv"), "key")
-    again = K.open_store(spark, K.store_factory(spark, str(tmp_path))("kv"))
+    again = K.store_factory(spark, str(tmp_path))("kv").read()
     assert [r.key for r in K.key_range(again, "key", 2, 4).collect()] == [2, 3, 4]
     with pytest.raises(Exception):
         K.save(new, str(tmp_path / "kv"), "key")
     assert rows(K.put_all(s, w.filter("key IS NOT NULL"), "key", "value", 0).filter("value = 0"), "key") == [(0,), (11,), (3,)]
     assert K.delete_all(s, s.limit(0), "key").count() == 10 and K.get_all(s.limit(0), s, "key").filter(F.col("value").isNull()).count() == 10
+
+
+def test_store_options(spark, tmp_path):
+    df = spark.createDataFrame([("a", [1, 2]), ("b", None)], "key string, value array<int>")
+    o = K.Options(integer_keys=False, value_codec="json", dated=True)
+    a = K.Store(spark, f"{tmp_path}/s.", "key", {"key": "string", "value": "array<int>"}, o).write(df)
+    assert rows(a.read()) == [("a", [1, 2]), ("b", None)] and a.path != f"{tmp_path}/s." and dict(K.open_store(spark, a.path).dtypes)["value"] == "string"
+    b = a.copy()
+    assert rows(b.read()) == rows(a.read()) and b.options.value_codec == "json" and b.path.startswith(a.path + ".copied.")
+    with pytest.raises(Exception, match="exist"):
+        a.write(df)
+    with pytest.raises(ValueError):
+        K.Options(value_codec="pickle")
+    with pytest.raises(ValueError):
+        K.Options(key_codec="json")
+    json_keys = K.Store(spark, f"{tmp_path}/j", "key", {"key": "struct<x:int>", "value": "int"}, K.Options(integer_keys=False, key_codec="json", overwrite=True))
+    pairs = spark.createDataFrame([((1,), 5)], "key struct<x:int>, value int")
+    assert json_keys.write(pairs).write(pairs).read().head().key.x == 1

@@ -131,3 +131,50 @@ def test_high_water_of_arrays_and_accumulators(spark):
     held = df.select("id", F.explode_outer("v").alias("x")).groupBy("id").agg(A.stat_val(F.col("x")).alias("s"))
     assert {r[0]: r[1] for r in held.select("id", A.high_water_float(F.col("s"), "accumulator")).collect()} == high
     assert [r[0] for r in spark.createDataFrame([("NA",), ("2.5",), (None,)], "t string").select(A.high_water_float(F.col("t"))).collect()] == [0.0, 2.5, 0.0]
+    for bad in ("x", "1.0d"):
+        df = spark.createDataFrame([(bad,)], "t string")
+        assert df.select(A.high_water_float(F.col("t"), strict=False)).head()[0] is None and df.select(A.high_water_int(F.col("t"), strict=False)).head()[0] is None
+        with pytest.raises(Exception, match="no number"):
+            df.select(A.high_water_float(F.col("t"))).collect()
+        with pytest.raises(Exception, match="no number"):
+            df.select(A.high_water_int(F.col("t"))).collect()
+
+
+def test_order_statistics_in_rounds(spark, monkeypatch):
+    """Buckets too large to be ordered are cut again; the result is the same."""
+    r = random.Random(2)
+    df = spark.createDataFrame([(k, r.gauss(0, 1)) for k in "ab" for _ in range(3000)] + [("c", 5.0)] * 50, "k string, v double")
+    want = rows(A.order_statistics(df, ["k"], "v"))
+    monkeypatch.setattr(A, "ORDER_ROWS", 3)
+    assert rows(A.order_statistics(df, ["k"], "v")) == want
+
+
+def test_tag_edits(spark):
+    v = spark.createDataFrame([(1, 2, 3, 4)], "k int, v_ave int, v_max int, other int")
+    edit = lambda name: A.delete_entry(v, name, ["v"], ["_ave", "_max"]).columns
+    assert edit("other") == ["k", "v_ave", "v_max"] and edit("v_ave") == edit("v") == ["k", "other"] and edit("v_max") == v.columns
+    with pytest.raises(KeyError):
+        edit("none")
+    assert A.set_entry(v, "v_ave", F.lit(9)).head().v_ave == 9
+
+
+def test_shown(spark):
+    s = spark.createDataFrame([(1.0,), (3.0,)], "v double").agg(A.stat_val(F.col("v")).alias("s"))
+    d = A.Shown()
+    assert s.select(d.number(F.col("s")), d.text(F.col("s"))).head()[:] == (3.0, "StatVal(mean=2.000000, n=2)")
+    assert s.select(d.with_number(A.stat_mean).number(F.col("s"))).head()[0] == 2.0
+
+
+def test_histogram_order(spark):
+    bins = lambda *x: spark.createDataFrame([("k", b, n, 0) for b, n in x], "k string, bin bigint, n bigint, zeros bigint")
+    sign = lambda a, b: H.compare(a, b, ["k"]).head().sign
+    a = bins((0, 2), (3, 5))
+    assert [sign(a, a), sign(a, bins((0, 2))), sign(bins((9, 9)), a), sign(a, bins((0, 2), (4, 5))), sign(a, bins((0, 1), (3, 5))), sign(bins((-1, 9), (3, 5)), a)] == [0, 1, -1, -1, 1, -1]
+
+
+def test_softmax_axes(spark):
+    df = spark.createDataFrame([(1, [[1.0, 2.0], [1.0, 4.0]]), (2, [[1.0, 2.0]]), (3, [])], "id int, x array<array<double>>")
+    get = lambda axis: {r.id: r.p for r in df.select("id", softmax.softmax_matrix(F.col("x"), 1.0, axis).alias("p")).collect()}
+    a, b, c = 0.2689414214, 0.1192029220, 0.0474258732
+    assert get(0)[1] == [pytest.approx([0.5, b]), pytest.approx([0.5, 1 - b])] and get(1)[1] == [pytest.approx([a, 1 - a]), pytest.approx([c, 1 - c])]
+    assert get(None)[1] == get(0)[1] and get(None)[2] == [pytest.approx([a, 1 - a])] and get(None)[3] == []

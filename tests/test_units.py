@@ -63,3 +63,11 @@ def test_longest_match_and_numbers():
     assert U.read_cost("not in the 2013 list – cost base: EUR (2010)") == ("eur", None, 2010)
     assert U.read_cost(None) == (None, None, None) and U.read_power("", "power") == (None, None)
     assert [U.full_year(y) for y in (0, 9, 99, 2009, None, 300)] == [2000, 2009, 1999, 2009, None, None]
+
+
+def test_currencies_and_years_of_the_rates(spark):
+    """Any currency and year that has a rate counts; repeated and differing rates give one row."""
+    df = spark.createDataFrame([(1, "E", None, None, 5.0, "kCHF", 1871, None, "x", "y"), (2, "E", None, None, None, None, None, "paid 70 chf in 2014", "x", "y"), (3, "E", None, None, 5.0, "NOK", 2014, None, "x", "y")], SCHEMA)
+    rates = spark.createDataFrame([("CHF", 1871, 3.0), ("CHF", 1871, 2.0), ("CHF", 1871, 2.0), ("CHF", 2014, 0.8), (None, 2014, 1.0), ("CHF", None, 1.0)], "cur_code string, cost_year int, eur_2014 double")
+    got = {r.row_id: (r.common_unit, r.value, r.eur_2014) for r in U.normalize(df, rates).filter("field_name = 'BaseCost'").collect()}
+    assert got == {1: ("CHF 1871", 5000.0, 10000.0), 2: ("CHF 2014", 70.0, 56.0), 3: (None, None, None)}

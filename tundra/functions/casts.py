@@ -148,3 +148,27 @@ def listify(v: Column, is_array: bool = False, keep_null: bool = False) -> Colum
     if is_array:
         return v
     return F.array(v) if keep_null else F.when(v.isNull(), F.array().cast("array<string>")).otherwise(F.array(v.cast("string")))
+
+
+def listify_column(df: DataFrame, column: str, keep_null: bool = False) -> Column:
+    """``listify`` by the column's own type."""
+    return listify(F.col(column), dict(df.dtypes)[column].startswith("array"), keep_null)
+
+
+#: codecs tried on bytes, in this order
+TEXT_CODECS = ("utf-8", "cp1252", "latin-1")
+
+
+def decode_bytes(data: Column, codecs: tuple[str, ...] = TEXT_CODECS, hint: str | None = None) -> Column:
+    """Bytes as text by the first codec that reads them without an error, the hint's first; null if none does."""
+    tried = (*([hint] if hint else []), *codecs)
+
+    def one(b: bytes | None) -> str | None:
+        for c in tried if b is not None else ():
+            try:
+                return bytes(b).decode(c)
+            except UnicodeDecodeError:
+                continue
+        return None
+
+    return F.pandas_udf(lambda s: s.map(one).astype(object), "string")(data)

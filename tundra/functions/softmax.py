@@ -17,6 +17,14 @@ def softmax_array(x: Column, theta: float = 1.0) -> Column:
     return F.when(F.size(x) > 0, p).otherwise(x.cast("array<double>"))
 
 
+def softmax_matrix(x: Column, theta: float = 1.0, axis: int | None = None) -> Column:
+    """Softmax of an array of equally long rows: down the columns (0), along the rows (1), or (None) the first axis longer than one."""
+    turned = lambda m: F.when(F.size(m) > 0, F.transform(F.sequence(F.lit(0), F.size(m[0]) - 1), lambda j: F.transform(m, lambda r: r[j])))
+    along = lambda m: F.transform(m, lambda r: softmax_array(r, theta))
+    by = {0: turned(along(turned(x))), 1: along(x)}
+    return F.when(F.size(x) > 1, by[0]).otherwise(by[1]) if axis is None else by[axis]
+
+
 def softmax_rows(df: DataFrame, keys: list[str], value: str, theta: float = 1.0, out: str = "p") -> DataFrame:
     """Softmax down the rows of each group (the first axis). Maximum and sum are pre-aggregated, so a group may be any size."""
     y = F.col(value).cast("double") * F.lit(float(theta))

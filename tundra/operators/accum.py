@@ -1,9 +1,9 @@
 """Mergeable accumulators as native aggregates: sums, moments, extrema and exact order statistics.
 
 Sums, moments and extrema are partial plus final aggregates. Order statistics (upper median, quartiles by integer
-rank) are exact and never gather a group in one task: equal values are counted first, the distinct values of each
+rank) are exact and never gather a group in one task: equal values are counted first, the values of each
 group are cut into buckets by an approximate sketch, bucket totals tell which bucket holds a rank, and only that
-bucket is ordered. The sketch decides the cut, not the result.
+bucket is kept; it is cut again until it is small, and then ordered. The sketch decides the cut, not the result.
 
 Defined results
     nulls don't count; a group without values has count 0 and null statistics; one value has deviation 0.0; ties and
@@ -12,16 +12,22 @@ Defined results
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.binding import let
+from ..functions.casts import float_value, int_value
 from ..plans.runtime import checkpoint
 
 #: buckets of a group, found in two steps of STEP each
 STEP = 8
 BUCKETS = STEP * STEP
+#: distinct values of a bucket that are ordered in one task; a bucket with more is cut again
+ORDER_ROWS, MAX_ROUNDS = 2_000_000, 16
 #: integer ranks (k, d): the value at position k*n // d of the sorted values
 RANKS = {"q1": (1, 4), "median": (1, 2), "q3": (3, 4)}
 
@@ -56,60 +62,93 @@ def _bucket(cuts: Column, x: Column) -> Column:
     return let(coarse, lambda b: b + below(F.slice(cuts, b + 1, STEP - 1)))
 
 
+def _same(a: str, b: str, cols: list[str]) -> list[Column]:
+    return [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
+
+
+def _cuts(x: str) -> Column:
+    return F.percentile_approx(x, [i / BUCKETS for i in range(1, BUCKETS)], 1000)
+
+
+def _ordered(src: DataFrame, ks: list[str], ranks: dict[str, tuple[int, int]], extras: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """(groups with ``extras``, groups with the values at ranks) of ``_x`` by the columns ``ks``: two scans of ``src``.
+
+    The first scan has the extras, counts and sketches; the second the value counts, of which each round keeps the buckets that
+    hold a rank, until these are small enough to be ordered.
+    """
+    # read more than once, and an approximate sketch need not come out the same twice
+    base = checkpoint(src.groupBy(*ks).agg(F.count("_x").alias("_n"), _cuts("_x").alias("_cuts"), *extras))
+    held = src.filter("_x IS NOT NULL").groupBy(*ks, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    wanted = base.filter("_n > 0").select(*ks, F.explode(F.array(*[F.struct(F.lit(n).alias("_name"), F.floor(F.col("_n") * k / d).alias("_rank")) for n, (k, d) in ranks.items()])).alias("_r")).select(*ks, "_r.*")
+    sketch, by = base.filter("_n > 0").select(*ks, "_cuts"), list(ks)
+    for _ in range(MAX_ROUNDS):
+        cut = held.alias("h").join(sketch.alias("s"), _same("h", "s", by)).select("h.*", _bucket(F.col("s._cuts"), F.col("h._x")).alias("_b"))
+        totals = cut.groupBy(*by, "_b").agg(F.sum("_c").alias("_t"), F.count(F.lit(1)).alias("_d"))
+        w = Window.partitionBy(*by).orderBy("_b")  # at most BUCKETS rows a group
+        totals = totals.withColumn("_hi", F.sum("_t").over(w)).withColumn("_lo", F.col("_hi") - F.col("_t"))
+        where = checkpoint(wanted.alias("r").join(totals.alias("t"), [*_same("r", "t", by), F.col("r._rank") >= F.col("t._lo"), F.col("r._rank") < F.col("t._hi")]).select(*[f"r.{k}" for k in ks], "r._name", (F.col("r._rank") - F.col("t._lo")).alias("_rank"), "t._b", "t._d"))
+        run = cut.alias("c").join(where.alias("w"), _same("c", "w", [*by, "_b"])).select(*[f"c.{k}" for k in ks], "w._name", "c._x", "c._c", "w._rank")
+        if (where.agg(F.max("_d")).head()[0] or 0) <= ORDER_ROWS:
+            break
+        by = [*ks, "_name"]
+        held, wanted = checkpoint(run.select(*by, "_x", "_c")), where.select(*by, "_rank")
+        sketch = checkpoint(held.groupBy(*by).agg(_cuts("_x").alias("_cuts")))
+    else:
+        raise RuntimeError(f"ranks are not found in {MAX_ROUNDS} rounds")
+    run = run.withColumn("_cum", F.sum("_c").over(Window.partitionBy(*ks, "_name").orderBy("_x")))
+    return base, run.filter("_cum > _rank").groupBy(*ks).agg(*[F.min(F.when(F.col("_name") == n, F.col("_x"))).alias(n) for n in ranks])
+
+
+def _source(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, list[str]]:
+    """(group columns _k0, _k1 ... and _x, their names)."""
+    groups = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)] or [F.lit(0).alias("_k0")]
+    return df.select(*groups, F.col(value).cast("double").alias("_x")), [f"_k{i}" for i in range(len(groups))]
+
+
 def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str, tuple[int, int]] | None = None) -> DataFrame:
     """One row a group with the values at integer ranks; see the module for the method."""
     ranks = ranks or RANKS
-    src = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(value).cast("double").alias("_x")).filter("_x IS NOT NULL")
-    if not keys:
-        src = src.withColumn("_k0", F.lit(0))
-    ks = [f"_k{i}" for i in range(max(1, len(keys)))]
-    held = src.groupBy(*ks, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    sketch = held.groupBy(*ks).agg(F.sum("_c").alias("_n"), F.percentile_approx("_x", [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("_cuts"))
-    sketch = checkpoint(sketch)  # read more than once, and an approximate sketch need not come out the same twice
-    same = lambda a, b, cols: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
-    cut = held.alias("h").join(sketch.alias("s"), same("h", "s", ks)).select("h.*", _bucket(F.col("s._cuts"), F.col("h._x")).alias("_b"))
-    totals = cut.groupBy(*ks, "_b").agg(F.sum("_c").alias("_t"))
-    w = Window.partitionBy(*ks).orderBy("_b")  # at most BUCKETS rows a group
-    totals = totals.withColumn("_hi", F.sum("_t").over(w)).withColumn("_lo", F.col("_hi") - F.col("_t"))
-    wanted = sketch.select(*ks, F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.floor(F.col("_n") * k / d).alias("rank")) for n, (k, d) in ranks.items()])).alias("_r"))
-    wanted = wanted.select(*ks, "_r.name", "_r.rank")
-    where = wanted.alias("r").join(totals.alias("t"), [*same("r", "t", ks), F.col("r.rank") >= F.col("t._lo"), F.col("r.rank") < F.col("t._hi")]).select("r.*", "t._b", "t._lo")
-    run = cut.alias("c").join(where.alias("w"), same("c", "w", [*ks, "_b"])).select("c.*", "w.name", "w.rank", "w._lo")
-    run = run.withColumn("_cum", F.col("_lo") + F.sum("_c").over(Window.partitionBy(*ks, "name", "_b").orderBy("_x")))
-    got = run.filter("_cum > rank").groupBy(*ks).agg(*[F.min(F.when(F.col("name") == n, F.col("_x"))).alias(n) for n in ranks])
+    src, ks = _source(df, keys, value)
+    got = _ordered(src, ks, ranks, [])[1]
     return got.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], *ranks)
 
 
 def accumulate(df: DataFrame, keys: list[str], value: str, tags: dict[str, str] | None = None) -> DataFrame:
-    """Groups with the tagged views of one accumulator: {output column: view}; all moments come from one pass."""
+    """Groups with the tagged views of one accumulator: {output column: view}; moments come with the first scan."""
     tags = tags or {v: v for v in ("count", "mean", "stdv", "min", "max", "median", "q1", "q3")}
-    x = F.col(value)
     moments = {out: v for out, v in tags.items() if v in VIEWS}
-    base = df.groupBy(*keys).agg(*[VIEWS[v](x).alias(out) for out, v in moments.items()]) if moments or not keys else df.select(*keys).distinct()
-    ordered = {out: v for out, v in tags.items() if v in RANKS}
-    if ordered:
-        got = order_statistics(df, keys, value, {f"_o_{out}": RANKS[v] for out, v in ordered.items()})
-        if keys:
-            base = base.alias("b").join(got.alias("o"), [F.col(f"b.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys], "left").select("b.*", *[F.col(f"o._o_{o}").alias(o) for o in ordered])
-        else:
-            base = base.join(got.select(*[F.col(f"_o_{o}").alias(o) for o in ordered]), F.lit(True), "left")
-    return base.select(*keys, *tags)
+    if all(v in VIEWS for v in tags.values()):
+        return df.groupBy(*keys).agg(*[VIEWS[v](F.col(value)).alias(out) for out, v in moments.items()])
+    src, ks = _source(df, keys, value)
+    wide = _views(src, ks, tags)
+    return wide.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], *tags)
+
+
+def _views(src: DataFrame, ks: list[str], tags: dict[str, str]) -> DataFrame:
+    """The groups ``ks`` of ``_x`` with their tagged views."""
+    extras = [VIEWS[v](F.col("_x")).alias(out) for out, v in tags.items() if v in VIEWS]
+    ordered = {f"_o_{out}": RANKS[v] for out, v in tags.items() if v in RANKS}
+    base, got = _ordered(src, ks, ordered, extras)
+    b, o = base.alias("b"), got.alias("o")
+    return b.join(o, _same("b", "o", ks), "left").select(*[f"b.{k}" for k in ks], *[F.col(f"b.{out}") if v in VIEWS else F.col(f"o._o_{out}").alias(out) for out, v in tags.items()])
 
 
 def tag_aware(df: DataFrame, keys: list[str], values: dict[str, str], suffixes: dict[str, str]) -> DataFrame:
-    """An accumulator for each value column, fanned out into key+tag columns; plain columns pass through as they are.
+    """An accumulator for each value column, fanned out into key+tag columns; all columns go through the same two scans.
 
     ``values``: {name: column}; ``suffixes``: {'_ave': 'mean', ...}.
     """
-    out: DataFrame | None = None
-    for name, column in values.items():
-        part = accumulate(df, keys, column, {f"{name}{s}": v for s, v in suffixes.items()})
-        if out is None:
-            out = part
-        else:
-            o, p = out.alias("o"), part.alias("p")
-            out = o.join(p, [F.col(f"o.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys] or F.lit(True)).select("o.*", *[F.col(f"p.`{name}{s}`") for s in suffixes])
-    return out
+    groups = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)] or [F.lit(0).alias("_k0")]
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("_of"), F.col(c).cast("double").alias("_x")) for n, c in values.items()])).alias("_e")
+    ks = [f"_k{i}" for i in range(len(groups))]
+    src = df.select(*groups, each).select(*ks, "_e._of", "_e._x")
+    if all(v in VIEWS for v in suffixes.values()):
+        long = src.groupBy(*ks, "_of").agg(*[VIEWS[v](F.col("_x")).alias(f"_v{s}") for s, v in suffixes.items()])
+    else:
+        long = _views(src, [*ks, "_of"], {f"_v{s}": v for s, v in suffixes.items()})
+    pick = lambda n, s: F.max(F.when(F.col("_of") == n, F.col(f"_v{s}")))
+    wide = long.groupBy(*ks).agg(*[pick(n, s).alias(n + s) for n in values for s in suffixes])  # one row for each group and name
+    return wide.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], *[F.col(f"`{n}{s}`") for n in values for s in suffixes])
 
 
 def tag_names(entries: list[str], accumulators: list[str], suffixes: list[str]) -> list[str]:
@@ -124,6 +163,27 @@ def resolve_tag(name: str, entries: list[str], accumulators: list[str], suffixes
     return next(((name[: -len(s)], s) for s in suffixes if s and name.endswith(s) and name[: -len(s)] in accumulators), None)
 
 
+def set_entry(view: DataFrame, name: str, value: Column) -> DataFrame:
+    """A tagged view with an entry set under exactly this name."""
+    return view.withColumn(name, value)
+
+
+def delete_entry(view: DataFrame, name: str, accumulators: list[str], suffixes: list[str]) -> DataFrame:
+    """A tagged view without an entry: an accumulator goes with its bare name or its first tag; its other tags are ignored.
+
+    What the view doesn't have is a KeyError.
+    """
+    plain = [c for c in view.columns if not any(c == a + s for a in accumulators for s in suffixes)]
+    if name in plain:
+        return view.drop(name)
+    owner = name if name in accumulators else next((a for a in accumulators if name == a + suffixes[0]), None)
+    if owner is not None:
+        return view.drop(*[owner + s for s in suffixes])
+    if any(name.endswith(s) for s in suffixes[1:]):
+        return view
+    raise KeyError(name)
+
+
 def value_histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Exact value counts: one row for each (group, value)."""
     return df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
@@ -157,25 +217,51 @@ def column_lists(df: DataFrame, keys: list[str], names: list[str], order: str) -
     return df.groupBy(*keys).agg(rows.alias("_r")).select(*keys, *[position_list("_r", n).alias(n) for n in names])
 
 
-def render(mean: Column, stdv: Column) -> Column:
+def render(mean: Column, stdv: Column, digits: int = 6) -> Column:
     """The text form mean+-stdv."""
-    return F.format_string("%.6f+-%.6f", mean, stdv)
+    return F.format_string(f"%.{digits}f+-%.{digits}f", mean, stdv)
+
+
+@dataclass(frozen=True)
+class Shown:
+    """How accumulators of ``stat_val`` show as a number and as text unless told otherwise; both can be exchanged."""
+
+    number: Callable[[Column], Column] = lambda s: s["max"]
+    text: Callable[[Column], Column] = lambda s: F.concat(F.lit("StatVal(mean="), F.format_string("%.6f", stat_mean(s)), F.lit(", n="), s["count"].cast("string"), F.lit(")"))
 
+    def with_number(self, view: Callable[[Column], Column]) -> Shown:
+        return replace(self, number=view)
 
-def high_water_float(v: Column, kind: str = "scalar") -> Column:
+    def with_text(self, view: Callable[[Column], Column]) -> Shown:
+        return replace(self, text=view)
+
+
+def _bad(v: Column, kind: str, strict: bool) -> Column:
+    return F.raise_error(F.concat(F.lit("no number: "), v)).cast(kind) if strict else F.lit(None).cast(kind)
+
+
+def high_water_float(v: Column, kind: str = "scalar", strict: bool = True) -> Column:
     """Null or 'NA' is 0, an array or accumulator (``kind`` 'array', 'accumulator') its largest value, else the number.
 
-    What has no largest value (no elements, only nulls) is 0 too.
+    What has no largest value (no elements, only nulls) is 0 too. Text that is no number is an error, or null if not ``strict``.
     """
     if kind == "array":
-        return F.coalesce(F.array_max(F.transform(v, lambda x: x.try_cast("double"))), F.lit(0.0))
+        return F.coalesce(F.array_max(F.transform(v, lambda x: float_value(x.cast("string")))), F.lit(0.0))
     if kind == "accumulator":
         return F.coalesce(v["max"].cast("double"), F.lit(0.0))
     if kind != "scalar":
         raise ValueError(f"no such kind: {kind}")
-    return F.coalesce(F.when(F.lower(v.cast("string")) == "na", F.lit(0.0)).otherwise(v.try_cast("double")), F.lit(0.0))
+    t = v.cast("string")
+    return F.when(t.isNull() | (t == "NA"), F.lit(0.0)).otherwise(F.coalesce(float_value(t), _bad(t, "double", strict)))
+
+
+def high_water_int(v: Column, strict: bool = True) -> Column:
+    """The same for whole numbers; arrays and accumulators are not accepted."""
+    t = v.cast("string")
+    return F.when(t.isNull() | (t == "NA"), F.lit(0).cast("bigint")).otherwise(F.coalesce(int_value(t), _bad(t, "bigint", strict)))
 
 
-def high_water_int(v: Column) -> Column:
-    """The same for whole numbers; accumulators are not accepted."""
-    return F.coalesce(F.when(F.lower(v.cast("string")) == "na", F.lit(0)).otherwise(v.try_cast("bigint")), F.lit(0))
+def high_water(df: DataFrame, column: str, strict: bool = True) -> Column:
+    """``high_water_float`` of a column by its type: arrays, accumulator structs and scalars."""
+    kind = dict(df.dtypes)[column]
+    return high_water_float(F.col(column), "array" if kind.startswith("array") else "accumulator" if kind.startswith("struct") else "scalar", strict)

@@ -9,26 +9,23 @@ from ..plans.runtime import checkpoint
 
 
 def closure(links: DataFrame, child: str, parent: str, max_rounds: int = 64) -> DataFrame:
-    """(node, ancestor): every node with itself and all above it, by squaring the reach each round.
+    """(node, ancestor): every node with itself and all above it.
 
-    Each round doubles the path length and cuts lineage by a reliable checkpoint; cycles end because known pairs are not
-    added again. Null links are ignored.
+    A round joins only the pairs that the last one found with all pairs, which doubles the path length (the way to an ancestor
+    begins with one of the longest ways known); all pairs then are a reliable checkpoint. Cycles end because known pairs are not added again. Null links are ignored.
     """
     e = links.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).filter("node IS NOT NULL AND ancestor IS NOT NULL").distinct()
     nodes = e.select("node").unionByName(e.select(F.col("ancestor").alias("node"))).distinct()
-    reach = checkpoint(e)
-    n = reach.count()
+    reach = checkpoint(e.withColumn("fresh", F.lit(True)))
     for _ in range(max_rounds):
-        a, b = reach.alias("a"), reach.alias("b")
-        longer = a.join(b, F.col("a.ancestor") == F.col("b.node")).select("a.node", "b.ancestor")
-        reach = checkpoint(reach.unionByName(longer).distinct())
-        m = reach.count()
-        if m == n:
+        new, known = reach.filter("fresh").alias("a"), reach.alias("b")
+        longer = new.join(known, F.col("a.ancestor") == F.col("b.node")).select(F.col("a.node").alias("node"), F.col("b.ancestor").alias("ancestor"), F.lit(True).alias("fresh"))
+        reach = checkpoint(longer.unionByName(reach.withColumn("fresh", F.lit(False))).groupBy("node", "ancestor").agg(F.min("fresh").alias("fresh")))
+        if reach.filter("fresh").isEmpty():
             break
-        n = m
     else:
         raise RuntimeError("the hierarchy is deeper than expected")
-    return reach.unionByName(nodes.select("node", F.col("node").alias("ancestor"))).distinct()
+    return reach.drop("fresh").unionByName(nodes.select("node", F.col("node").alias("ancestor"))).distinct()
 
 
 def is_instance(pairs: DataFrame, closed: DataFrame) -> DataFrame:

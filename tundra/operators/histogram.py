@@ -94,3 +94,18 @@ def same(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     j = a.alias("a").join(b.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "bin"]], "full_outer")
     ok = F.col("a.n").eqNullSafe(F.col("b.n")) & F.col("a.zeros").eqNullSafe(F.col("b.zeros"))
     return j.select(*[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys], ok.alias("_ok")).groupBy(*keys).agg(F.every("_ok").alias("equal"))
+
+
+def compare(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., sign): -1, 0 or 1 as the first histogram comes before, with or after the second.
+
+    The one with fewer bins comes first; of as many, the lowest bin that either lacks or counts differently decides: the lower bin
+    first, at the same bin the smaller count; then the zeros.
+    """
+    both = [*keys, "bin"]
+    j = a.alias("a").join(b.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in both], "full_outer")
+    differs = ~F.col("a.n").eqNullSafe(F.col("b.n"))
+    g = j.select(*[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in keys], *[F.when(F.col(f"{t}.bin").isNotNull() & differs, F.struct(f"{t}.bin", f"{t}.n")).alias(f"d{t}") for t in "ab"], F.col("a.n").alias("na"), F.col("b.n").alias("nb"), F.col("a.zeros").alias("za"), F.col("b.zeros").alias("zb"))
+    g = g.groupBy(*keys).agg(F.count("na").alias("la"), F.count("nb").alias("lb"), F.min("da").alias("da"), F.min("db").alias("db"), F.sum("za").alias("za"), F.sum("zb").alias("zb"))
+    sign = lambda x, y: F.when(x < y, -1).when(x > y, 1)
+    return g.select(*keys, F.coalesce(sign(F.col("la"), F.col("lb")), sign(F.col("da.bin"), F.col("db.bin")), sign(F.col("da.n"), F.col("db.n")), sign(F.col("za"), F.col("zb")), F.lit(0)).alias("sign"))

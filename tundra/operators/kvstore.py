@@ -11,11 +11,14 @@ Defined results
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.runtime import checkpoint
+from ..sources.files import run_suffix
 
 
 def last_wins(writes: DataFrame, key: str, order: str) -> DataFrame:
@@ -98,9 +101,64 @@ def check_store(store: DataFrame, key: str) -> DataFrame:
     return store
 
 
-def store_factory(spark: SparkSession, root: str):
-    """A maker of named stores under one folder."""
-    return lambda name: f"{root.rstrip('/')}/{name}"
+@dataclass(frozen=True)
+class Options:
+    """How a store on disk keeps its rows: whole-number keys or keys by a codec, values by a codec; what a new one does to an old one."""
+
+    integer_keys: bool = True
+    key_codec: str | None = None
+    value_codec: str | None = None
+    overwrite: bool = False
+    dated: bool = False
+
+    def __post_init__(self) -> None:
+        if self.key_codec not in CODECS or self.value_codec not in CODECS:
+            raise ValueError(f"codecs are {sorted(c for c in CODECS if c)} or None")
+        if self.integer_keys and self.key_codec:
+            raise ValueError("whole-number keys have no codec")
+
+
+#: codec -> (to bytes or text, back to a type); pickles are unsafe and not offered
+CODECS: dict[str | None, tuple] = {
+    None: (lambda c: c, lambda c, kind: c),
+    "json": (lambda c: F.to_json(F.struct(c.alias("v"))), lambda c, kind: F.from_json(c, f"v {kind}")["v"]),
+    "text": (lambda c: c.cast("string"), lambda c, kind: c.cast(kind)),
+}
+
+
+def packing_functions(options: Options) -> tuple:
+    """(pack key, unpack key, pack value, unpack value) as Column functions; the unpacking ones also take the type."""
+    key = (lambda c: c.cast("bigint"), lambda c, kind: c.cast(kind)) if options.integer_keys else CODECS[options.key_codec]
+    return (*key, *CODECS[options.value_codec])
+
+
+class Store:
+    """A keyed store in a folder: immutable snapshots, the last of which counts; its options stay with it and its copies."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str, kinds: dict[str, str], options: Options | None = None) -> None:
+        self.spark, self.key, self.kinds, self.options = spark, key, kinds, options or Options()
+        self.path = path + run_suffix() if self.options.dated else path
+
+    def write(self, rows: DataFrame) -> Store:
+        """The rows as the store's new snapshot; an old one is an error unless the store overwrites."""
+        pack_key, _, pack, _ = packing_functions(self.options)
+        packed = check_store(rows, self.key).select(*[(pack_key if c == self.key else pack)(F.col(c)).alias(c) for c in rows.columns]) if not self.options.key_codec else rows.select(*[(pack_key if c == self.key else pack)(F.col(c)).alias(c) for c in rows.columns])
+        save(packed, self.path, self.key, self.options.overwrite)
+        return self
+
+    def read(self) -> DataFrame:
+        _, unpack_key, _, unpack = packing_functions(self.options)
+        return open_store(self.spark, self.path).select(*[(unpack_key if c == self.key else unpack)(F.col(c), k).alias(c) for c, k in self.kinds.items()])
+
+    def copy(self, path: str | None = None) -> Store:
+        """A store with the same rows and options in a folder of its own."""
+        other = Store(self.spark, path or f"{self.path}.copied.{run_suffix()}", self.key, self.kinds, replace(self.options, dated=False))
+        return other.write(self.read())
+
+
+def store_factory(spark: SparkSession, root: str, key: str = "key", kinds: dict[str, str] | None = None, options: Options | None = None):
+    """A maker of named stores under one folder, with the same options."""
+    return lambda name: Store(spark, f"{root.rstrip('/')}/{name}", key, kinds or {"key": "bigint", "value": "bigint"}, options)
 
 
 def check_unique(requests: DataFrame, key: str) -> DataFrame:
@@ -135,7 +193,8 @@ def credit_all(store: DataFrame, requests: DataFrame, key: str, value: str = "va
     return _apply(store, requests, key, value, credit_value, "max_remaining", checked)
 
 
-SLICES = 256
+#: slices of the order at least and at most, and rows aimed at in one
+SLICES, MOST_SLICES, SLICE_ROWS = 256, 20_000, 100_000
 
 
 def credit_from_pool(requests: DataFrame, order: str, value: str, most: str, pool: float, group: list[str] | None = None) -> DataFrame:
@@ -148,8 +207,9 @@ def credit_from_pool(requests: DataFrame, order: str, value: str, most: str, poo
         raise ValueError("a pool can't be negative")
     g = group or []
     src = requests.withColumn("_need", F.greatest(F.col(most) - F.col(value), F.lit(0)))
+    k = min(MOST_SLICES, max(SLICES, requests.count() // SLICE_ROWS))
     # read more than once, and an approximate sketch need not come out the same twice
-    cuts = checkpoint(src.groupBy(*g).agg(F.percentile_approx(order, [i / SLICES for i in range(1, SLICES)], 1000).alias("_cuts"), F.sum("_need").alias("_all")))
+    cuts = checkpoint(src.groupBy(*g).agg(F.percentile_approx(order, [i / k for i in range(1, k)], max(1000, 4 * k)).alias("_cuts"), F.sum("_need").alias("_all")))
     on = lambda a, b, ks: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in ks] or F.lit(True)
     s = src.alias("a").join(cuts.alias("b"), on("a", "b", g)).select("a.*", "b._all", F.size(F.filter("b._cuts", lambda c: c < F.col(f"a.{order}"))).alias("_s"))
     totals = s.groupBy(*g, "_s").agg(F.sum("_need").alias("_t"))

@@ -2,8 +2,8 @@
 
 A multi-pattern automaton finds unit and currency aliases in the unit columns and in free text, the longest match
 wins, and the field context (power use of a kind of equipment, or cost) decides between readings. What it finds are
-small keys; the conversion factors and the cost rates are tables that are broadcast and joined (both bounded: the
-factors are built here, of the rates one row is taken for each known currency and year of two centuries). The only shuffle is one small pre-aggregated median for each kind of equipment.
+small keys; the conversion factors and the cost rates are tables that are broadcast and joined (the factors are built here; the rates are
+counted first). Currencies are those with names here and all that have a rate. The only shuffle is one small pre-aggregated median for each kind of equipment.
 
 Defined results
     rows without an id are left out; no figure, no known kind of equipment or no unit told anywhere: ``value`` is null and the row is no case;
@@ -16,13 +16,15 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.runtime import small
+
 # Common unit of power use by kind of energy.
 COMMON_POWER = {"E": "kWh/day", "EK": "kWh/day", "EG": "kWh/day", "S": "kW", "I": "liters/charge", "KE": "liters/day", "GE": "Kg/day"}
 #: dimension of each common unit
@@ -75,6 +77,8 @@ CURRENCY = {
     "GBP": ("gbp", "£", "stg", "uk pound", "uk pounds", "pound sterling", "pounds sterling", "sterling", "pound", "pounds", "ukp"),
     "SEK": ("sek", "sec", "kr", "skr", "swedish krona", "swedish kronor", "swedish crown", "swedish crowns", "kronor", "krona", "crowns"),
 }
+#: more currencies are an error; up to so many rates are broadcast, more are joined by a shuffle
+MOST_CODES, MOST_RATES = 1000, 200_000
 #: hours in a day turn a steady power into energy a day
 DAY_HOURS = 24.0
 
@@ -111,10 +115,10 @@ def unit_aliases() -> list[tuple[str, str, float]]:
     return [(a, d, f) for (a, d), f in out.items()]
 
 
-def currency_aliases() -> list[tuple[str, str, float]]:
-    """(alias, code, single units of the currency in one unit of the alias)."""
+def currency_aliases(codes: tuple[str, ...] = ()) -> list[tuple[str, str, float]]:
+    """(alias, code, single units of the currency in one unit of the alias); ``codes`` beside the known ones stand for themselves."""
     out: dict[str, tuple[str, float]] = {}
-    for code, names in CURRENCY.items():
+    for code, names in {**CURRENCY, **{c: (c.lower(),) for c in codes if c not in CURRENCY}}.items():
         for n in names:
             out.setdefault(n, (code, 1.0))
             for scaled, factor in ((f"k{n}", 1e3), (f"{n} x1000", 1e3), (f"{n} x 1000", 1e3), (f"'000 {n}", 1e3), (f"000 {n}", 1e3), (f"thousand {n}", 1e3), (f"{n} thousand", 1e3), (f"m{n}", 1e6), (f"{n} cent", 1e-2), (f"{n} cents", 1e-2), (f"{n} pence", 1e-2), (f"{n} ore", 1e-2)):
@@ -130,13 +134,13 @@ def normal(text: str) -> str:
     return _SLASH.sub("/", _SPACES.sub(" ", text.replace("–", " – "))).strip().lower()
 
 
-@lru_cache(maxsize=1)
-def _automaton() -> ahocorasick.Automaton:
+@lru_cache(maxsize=4)
+def _automaton(codes: tuple[str, ...] = ()) -> ahocorasick.Automaton:
     """All aliases; a key's value lists its readings as (dimension or 'cost', key, length)."""
     found: dict[str, list] = {}
     for alias, dimension, _ in unit_aliases():
         found.setdefault(alias, []).append((dimension, alias))
-    for alias, code, _ in currency_aliases():
+    for alias, code, _ in currency_aliases(codes):
         found.setdefault(alias, []).append(("cost", alias))
     a = ahocorasick.Automaton()
     for alias, readings in found.items():
@@ -151,10 +155,10 @@ def _edge(text: str, i: int, c: str) -> bool:
 
 
 @lru_cache(maxsize=200_000)
-def matches(text: str) -> tuple[tuple[int, int, tuple], ...]:
+def matches(text: str, codes: tuple[str, ...] = ()) -> tuple[tuple[int, int, tuple], ...]:
     """(start, end, readings) of the aliases in a normalised text; of overlapping ones the longest, then the first."""
     got = []
-    for last, (alias, readings) in _automaton().iter(text):
+    for last, (alias, readings) in _automaton(codes).iter(text):
         start = last - len(alias) + 1
         if _edge(text, start - 1, alias[0]) and _edge(text, last + 1, alias[-1]):
             got.append((start, last + 1, readings))
@@ -214,21 +218,21 @@ def read_power_unit(text: str | None, dimension: str) -> str | None:
 
 
 @lru_cache(maxsize=200_000)
-def read_currency_unit(text: str | None) -> str | None:
+def read_currency_unit(text: str | None, codes: tuple[str, ...] = ()) -> str | None:
     if not text:
         return None
     t = normal(text)
-    got = [(e - s, a) for s, e, readings in matches(t) for kind, a in readings if kind == "cost"]
+    got = [(e - s, a) for s, e, readings in matches(t, codes) for kind, a in readings if kind == "cost"]
     return max(got)[1] if got else None
 
 
 @lru_cache(maxsize=200_000)
-def read_cost(text: str | None) -> tuple[str | None, float | None, int | None]:
+def read_cost(text: str | None, codes: tuple[str, ...] = ()) -> tuple[str | None, float | None, int | None]:
     """(alias, amount before it, year) of the first cost in a text: a currency with a year after it, or before it."""
     if not text:
         return None, None, None
     t = normal(text)
-    for start, end, readings in matches(t):
+    for start, end, readings in matches(t, codes):
         for kind, alias in readings:
             if kind != "cost":
                 continue
@@ -258,7 +262,7 @@ def _clean(v: object) -> object:
     return None if v is None or (isinstance(v, float) and math.isnan(v)) else v
 
 
-def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read_batches(batches: Iterator[pd.DataFrame], codes: tuple[str, ...] = ()) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in READ.replace("\n", " ").split(", ")]
     for pdf in batches:
         out = []
@@ -267,19 +271,19 @@ def _read_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             unit, cur, notes = (_clean(x) for x in (unit, cur, notes))
             dimension = POWER_DIMENSION.get(COMMON_POWER.get(_clean(energy) or "", ""), "")
             alias, (text_alias, text_figure) = read_power_unit(unit, dimension), read_power(notes, dimension)
-            c_alias, (ct_alias, ct_amount, ct_year) = read_currency_unit(cur), read_cost(notes)
+            c_alias, (ct_alias, ct_amount, ct_year) = read_currency_unit(cur, codes), read_cost(notes, codes)
             out.append((row_id, energy, power, alias, text_figure, text_alias, unit, cost, c_alias, ct_amount, ct_alias, full_year(None if year is None else int(year)), ct_year, cur, None if year is None else int(year)))
         got = pd.DataFrame(out, columns=names)
         yield got.astype({"p_figure": "float64", "p_text_figure": "float64", "c_figure": "float64", "c_text_amount": "float64", "c_year": "Int32", "c_text_year": "Int32", "c_year_raw": "Int32"})
 
 
-def read_figures(rows: DataFrame) -> DataFrame:
+def read_figures(rows: DataFrame, codes: tuple[str, ...] = ()) -> DataFrame:
     """The aliases, figures and years that each row tells, before any conversion."""
     src = rows.select(
         F.col("row_id").cast("bigint").alias("row_id"), "Energy", F.col("PowerRate").cast("double"), "PowerRateUnits",
         F.col("BaseCost").cast("double"), "BaseCostCur", F.col("BaseCostYear").cast("int"), "Notes",
     )
-    got = src.filter("row_id IS NOT NULL").mapInPandas(_read_batches, READ)
+    got = src.filter("row_id IS NOT NULL").mapInPandas(partial(_read_batches, codes=codes), READ)
     return got.select([F.when(~F.isnan(c), F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in got.dtypes])
 
 
@@ -297,12 +301,17 @@ def normalize(rows: DataFrame, rates: DataFrame) -> DataFrame:
     ``told_by``: 'column', 'text' or 'scale'; ``value`` is the figure in its common unit.
     """
     spark = rows.sparkSession
-    read = read_figures(rows).withColumn("common", _lit_map(COMMON_POWER, F.coalesce("Energy", F.lit("")))).withColumn("dim", _lit_map(POWER_DIMENSION, F.col("common")))
+    # the rates' currencies are known to the automaton by their codes
+    codes = tuple(sorted(r[0] for r in rates.filter("cur_code IS NOT NULL").select("cur_code").distinct().limit(MOST_CODES + 1).collect()))
+    if len(codes) > MOST_CODES:
+        raise ValueError(f"more than {MOST_CODES} currencies")
+    read = read_figures(rows, codes).withColumn("common", _lit_map(COMMON_POWER, F.coalesce("Energy", F.lit("")))).withColumn("dim", _lit_map(POWER_DIMENSION, F.col("common")))
     factors = F.broadcast(spark.createDataFrame(unit_aliases(), "alias string, dimension string, factor double"))  # a few thousand rows, built above
-    currencies = F.broadcast(spark.createDataFrame(currency_aliases(), "c_key string, code string, c_factor double"))
+    currencies = F.broadcast(spark.createDataFrame(currency_aliases(codes), "c_key string, code string, c_factor double"))
 
-    # at most one row for each known currency and year of two centuries, so it may be broadcast
-    known = rates.filter(F.col("cur_code").isin(*CURRENCY) & F.col("cost_year").between(1900, 2100)).select(F.col("cur_code").alias("code"), F.col("cost_year").cast("int").alias("cost_year"), F.col("eur_2014").alias("rate")).dropDuplicates(["code", "cost_year"])
+    # one row for each currency and year; of differing rates the lower counts
+    known = rates.filter("cur_code IS NOT NULL AND cost_year IS NOT NULL").groupBy(F.col("cur_code").alias("code"), F.col("cost_year").cast("int").alias("cost_year")).agg(F.min("eur_2014").alias("rate"))
+    known = small(known, MOST_RATES)
 
     # what all such equipment uses: median of the figures stated in the common unit itself
     usual = (
@@ -325,7 +334,7 @@ def normalize(rows: DataFrame, rates: DataFrame) -> DataFrame:
         .join(factors.withColumnRenamed("dimension", "dim"), ["alias", "dim"], "left")
         .join(F.broadcast(usual), "common", "left")
         .join(currencies, "c_key", "left")
-        .join(F.broadcast(known), ["code", "cost_year"], "left")
+        .join(known, ["code", "cost_year"], "left")
         .withColumn("cost_unit", F.when(F.col("rate").isNotNull(), F.concat_ws(" ", "code", F.col("cost_year").cast("string"))))
         .withColumn("exact_p", F.col("p_unit").eqNullSafe(F.col("common")) & p)
         .withColumn("exact_c", F.col("c_unit").eqNullSafe(F.col("code")) & F.col("c_year_raw").eqNullSafe(F.col("cost_year")) & c)

@@ -83,6 +83,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """The table marked for a broadcast if it has at most ``most`` rows, otherwise as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def number_rows(df: DataFrame, name: str, start: int = 0) -> DataFrame:
     """Adds ``name``: the rows' numbers in their present order, over all partitions.
 

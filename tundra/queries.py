@@ -224,7 +224,7 @@ def tag_aware_views(spark, d):
 @query("accum_render", "SELECT event_type, printf('%.3f+-%.3f', avg(value), coalesce(stddev_samp(value), 0)) AS text FROM events GROUP BY event_type")
 def accum_render(spark, d):
     e = table(spark, d, "events").groupBy("event_type").agg(F.avg("value").alias("m"), accum.sample_stdv(F.col("value")).alias("s"))
-    return e.select("event_type", F.format_string("%.3f+-%.3f", "m", "s").alias("text"))
+    return e.select("event_type", accum.render(F.col("m"), F.col("s"), 3).alias("text"))
 
 
 @query(
@@ -260,12 +260,39 @@ def multival_columns(spark, d):
 
 @query(
     "high_water",
-    "SELECT row_id, coalesce(PowerRate, 0) AS f, coalesce(BaseCostYear, 0)::BIGINT AS i FROM test_csv_input",
+    r"""SELECT row_id, coalesce(PowerRate, 0) AS f, coalesce(BaseCostYear, 0)::BIGINT AS i, CASE WHEN Year IS NULL OR Year = 'NA' THEN 0 WHEN regexp_matches(Year, '^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$') THEN TRY_CAST(Year AS DOUBLE) END AS year_f,
+    CASE WHEN Year IS NULL OR Year = 'NA' THEN 0 WHEN regexp_matches(Year, '^\s*[+-]?\d+\s*$') THEN TRY_CAST(Year AS BIGINT) END AS year_i FROM test_csv_input""",
 )
 def high_water(spark, d):
+    """Of numbers, and of text that need not be a number."""
     t = table(spark, d, "test_csv_input")
-    text = F.coalesce(F.col("PowerRate").cast("string"), F.lit("NA"))
-    return t.select("row_id", accum.high_water_float(text).alias("f"), accum.high_water_int(F.coalesce(F.col("BaseCostYear").cast("string"), F.lit("NA"))).alias("i"))
+    year = F.col("Year")
+    return t.select("row_id", accum.high_water(t, "PowerRate").alias("f"), accum.high_water_int(F.col("BaseCostYear")).alias("i"), accum.high_water_float(year, strict=False).alias("year_f"), accum.high_water_int(year, strict=False).alias("year_i"))
+
+
+@query("high_water_array", "SELECT vec_id, list_max(list_transform(embedding, lambda x: x::DOUBLE)) > 0 AS positive, round(list_max(embedding)::DOUBLE, 4) AS high FROM embeddings")
+def high_water_array(spark, d):
+    e = table(spark, d, "embeddings")
+    return e.select("vec_id", (accum.high_water(e, "embedding") > 0).alias("positive"), F.round(accum.high_water(e, "embedding"), 4).alias("high"))
+
+
+@query("high_water_accumulator", "SELECT event_type, max(value) AS high, printf('%.3f', avg(value)) AS text FROM events GROUP BY event_type")
+def high_water_accumulator(spark, d):
+    """Accumulators as numbers and, by an exchanged view, as text."""
+    a = table(spark, d, "events").groupBy("event_type").agg(accum.stat_val(F.col("value")).alias("s"))
+    shown = accum.Shown().with_text(lambda s: F.format_string("%.3f", accum.stat_mean(s)))
+    return a.select("event_type", accum.high_water(a, "s").alias("high"), shown.text(F.col("s")).alias("text")).filter(shown.number(F.col("s")) == F.col("high"))
+
+
+@query("tag_edit", "SELECT event_type, round(avg(value), 6) AS v_ave, max(value) AS v_max, 'note' AS extra FROM events GROUP BY event_type")
+def tag_edit(spark, d):
+    """Entries of a tagged view set and deleted: an accumulator goes with its first tag, its other tags are ignored."""
+    tags = {"_ave": "mean", "_max": "max"}
+    v = accum.tag_aware(table(spark, d, "events"), ["event_type"], {"v": "value", "u": "user_id"}, tags)
+    v = accum.set_entry(accum.set_entry(v, "extra", F.lit("note")), "gone", F.lit(1))
+    for name in ("gone", "u_ave", "v_max"):
+        v = accum.delete_entry(v, name, ["v", "u"], list(tags))
+    return rounded(v)
 
 
 # ---------------------------------------------------------------- histograms
@@ -326,6 +353,20 @@ def histo_same(spark, d):
     return histogram.same(bins, again, ["event_type"])
 
 
+@query(
+    "histo_compare",
+    f"""WITH bins AS ({_BINS.format(q='50::DOUBLE')}), p AS (SELECT DISTINCT a.event_type AS x, b.event_type AS y FROM bins a JOIN bins b ON b.event_type = CASE a.event_type WHEN 'view' THEN 'click' WHEN 'click' THEN 'view' ELSE a.event_type END),
+    j AS (SELECT x, coalesce(a.bin, b.bin) AS bin, a.n AS na, b.n AS nb, coalesce(a.zeros, 0) AS za, coalesce(b.zeros, 0) AS zb FROM p JOIN (SELECT DISTINCT bin FROM bins) k ON true LEFT JOIN bins a ON a.event_type = x AND a.bin = k.bin LEFT JOIN bins b ON b.event_type = y AND b.bin = k.bin WHERE a.n IS NOT NULL OR b.n IS NOT NULL),
+    g AS (SELECT x, count(na) AS la, count(nb) AS lb, min(CASE WHEN na IS DISTINCT FROM nb AND na IS NOT NULL THEN bin END) AS da, min(CASE WHEN na IS DISTINCT FROM nb AND nb IS NOT NULL THEN bin END) AS db, sum(za) AS za, sum(zb) AS zb FROM j GROUP BY x)
+    SELECT g.x AS event_type, CASE WHEN la <> lb THEN sign(la - lb) WHEN da <> db THEN sign(da - db) WHEN da IS NOT NULL THEN sign(j.na - j.nb) ELSE sign(g.za - g.zb) END::INTEGER AS sign FROM g LEFT JOIN j ON j.x = g.x AND j.bin = g.da""",
+)
+def histo_compare(spark, d):
+    """The order of histograms: views and clicks against each other, every other kind against itself."""
+    a = histogram.build(table(spark, d, "events"), ["event_type"], "value", 50.0)
+    b = a.withColumn("event_type", F.when(F.col("event_type") == "view", "click").when(F.col("event_type") == "click", "view").otherwise(F.col("event_type")))
+    return histogram.compare(a, b, ["event_type"])
+
+
 # ---------------------------------------------------------------- times, softmax
 
 
@@ -356,6 +397,18 @@ def softmax_array(spark, d):
     return e.select("vec_id", (F.col("i") + 1).cast("int").alias("i"), F.round("p", 9).alias("p"))
 
 
+@query(
+    "softmax_matrix",
+    """WITH u AS (SELECT vec_id, i // 8 AS r, i % 8 AS c, embedding[i + 1]::DOUBLE AS y FROM embeddings, unnest(range(64)) AS t(i)), e AS (SELECT vec_id, r, c, exp(y - max(y) OVER (PARTITION BY vec_id, c)) AS e FROM u)
+    SELECT vec_id, r::INTEGER AS r, c::INTEGER AS c, round(e / sum(e) OVER (PARTITION BY vec_id, c), 9) AS p FROM e""",
+)
+def softmax_matrix(spark, d):
+    """Vectors as matrices of eight rows, down their columns."""
+    m = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.slice("embedding", r * 8 + 1, 8))
+    e = table(spark, d, "embeddings").select("vec_id", F.posexplode(softmax.softmax_matrix(m)).alias("r", "row"))
+    return e.select("vec_id", "r", F.posexplode("row").alias("c", "p")).select("vec_id", "r", "c", F.round("p", 9).alias("p"))
+
+
 # ---------------------------------------------------------------- notes
 
 _ONCE = "SELECT grp, holder, seq, min(struct_pack(op := op, note_key := note_key, num := num, str_val := str_val)) AS r FROM note_ledger GROUP BY ALL"
@@ -551,10 +604,12 @@ def kv_pool(spark, d):
     return kvstore.credit_from_pool(c, "key", "value", "most", 60000, ["nation"]).select("key", "nation", "new_value", "leftover")
 
 
-@query("kv_debit_note_totals", "SELECT holder AS key, CAST(coalesce(sum(num), 0) AS DOUBLE) >= 0 AS ok FROM note_ledger WHERE op = 'add' GROUP BY holder")
-def kv_debit_note_totals(spark, d):
-    """Only whether each holder's notes, repeats included, add up to no less than 0; ``kv_debit_notes`` debits by the totals."""
-    return table(spark, d, "note_ledger").filter("op = 'add'").groupBy(F.col("holder").alias("key")).agg((F.coalesce(F.sum("num"), F.lit(0.0)) >= 0).alias("ok"))
+@query("kv_store", f"WITH {_STORE} SELECT key, value FROM store")
+def kv_store(spark, d):
+    """Written with codecs, copied with its options, and read back from the copy."""
+    o = kvstore.Options(value_codec="json", dated=True)
+    store = kvstore.Store(spark, shared_path(spark, "kv_store") + ".", "key", {"key": "bigint", "value": "bigint"}, o)
+    return store.write(_store(spark, d)).copy().read()
 
 
 @query(
@@ -623,9 +678,17 @@ def percent(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(casts.percent(F.concat(F.col("p_size").cast("string"), F.lit("%"))), 9).alias("share"))
 
 
+@query("cast_bytes", "SELECT n_nationkey, n_name || 'é' AS a, n_name || 'Ã©' AS b FROM nation")
+def cast_bytes(spark, d):
+    """Bytes as text by a list of codecs, and by a hint."""
+    b = F.encode(F.concat("n_name", F.lit("é")), "utf-8")
+    return table(spark, d, "nation").select("n_nationkey", casts.decode_bytes(b).alias("a"), casts.decode_bytes(b, hint="cp1252").alias("b"))
+
+
 @query("listify", "SELECT row_id, CASE WHEN Make IS NULL THEN 0 ELSE 1 END AS n FROM test_csv_input")
 def listify(spark, d):
-    return table(spark, d, "test_csv_input").select("row_id", F.size(casts.listify(F.col("Make"))).alias("n"))
+    t = table(spark, d, "test_csv_input")
+    return t.select("row_id", F.size(casts.listify_column(t, "Make")).alias("n"))
 
 
 # ---------------------------------------------------------------- planar geometry
@@ -813,9 +876,10 @@ def tract_ids(spark, d):
     return s.select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, by[0]).when(F.col("s_suppkey") % 3 == 1, by[1]).otherwise(by[2]).alias("tract_id"))
 
 
-@query("state_codes", "SELECT code::INTEGER AS code FROM (SELECT unnest(range(1, 57)) AS code UNION ALL SELECT 72) WHERE code NOT IN (3, 7, 14, 43, 52)")
+@query("state_codes", "SELECT n_name, (n_nationkey * 3 + 1)::INTEGER AS code, n_nationkey * 3 + 1 <= 56 AND n_nationkey * 3 + 1 NOT IN (3, 7, 14, 43, 52) AS used FROM nation")
 def state_codes(spark, d):
-    return spark.range(1).select(F.explode(tracts.state_codes()).alias("code"))
+    code = (F.col("n_nationkey") * 3 + 1).cast("int")
+    return table(spark, d, "nation").select("n_name", code.alias("code"), F.array_contains(tracts.state_codes(), code).alias("used"))
 
 
 # ---------------------------------------------------------------- mercator (M2-M8)
@@ -1044,7 +1108,8 @@ def ogr_wkt(spark, d):
 @query("multival_pack", "SELECT p_brand, count(*) AS n, CAST(round(sum(p_size)) AS BIGINT) AS total FROM part GROUP BY p_brand")
 def multival_pack(spark, d):
     """Packed as 32-bit floats with their names and unpacked."""
-    rows = table(spark, d, "part").groupBy("p_brand").agg(F.collect_list(F.array(F.col("p_partkey").cast("double"), F.col("p_size").cast("double"))).alias("r"))
+    # a block of rows a value, so that no value holds a brand of any size
+    rows = table(spark, d, "part").groupBy("p_brand", F.floor(F.col("p_partkey") / 10_000)).agg(F.collect_list(F.array(F.col("p_partkey").cast("double"), F.col("p_size").cast("double"))).alias("r"))
     u = rows.select("p_brand", packed.unpack_named(packed.pack_named(F.col("r"), ["p_partkey", "p_size"])).alias("u"))
     r = u.select("p_brand", F.explode("u.rows").alias("r"))
     return r.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("r")[1])).cast("bigint").alias("total"))
@@ -1064,12 +1129,13 @@ def hierarchy_closure(spark, d):
     return c.groupBy("node").agg(F.count(F.lit(1)).alias("n_ancestors"), F.min("ancestor").alias("first"))
 
 
-@query("hierarchy_is_instance", "SELECT n_name AS node, r_name AS ancestor, n_regionkey = r_regionkey AS is_instance FROM nation, region")
+@query("hierarchy_is_instance", "SELECT a.n_name AS node, r_name AS ancestor, a.n_regionkey = r_regionkey AS is_instance FROM nation a JOIN nation b ON b.n_nationkey = (a.n_nationkey + 1) % 25 JOIN region ON b.n_regionkey = r_regionkey")
 def hierarchy_is_instance(spark, d):
+    """Each nation against the region of the next one."""
     n, r = table(spark, d, "nation"), table(spark, d, "region")
-    links = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("c"), F.col("r_name").alias("p"))
-    asked = n.select(F.col("n_name").alias("node")).crossJoin(r.select(F.col("r_name").alias("ancestor")))
-    return hierarchy.is_instance(asked, hierarchy.closure(links, "c", "p"))
+    links = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("c"), F.col("r_name").alias("p"))
+    after = links.select(((F.col("k") + 24) % 25).alias("k"), F.col("p").alias("ancestor"))
+    return hierarchy.is_instance(links.select("k", F.col("c").alias("node")).join(after, "k").select("node", "ancestor"), hierarchy.closure(links, "c", "p"))
 
 
 @query("enum_decode", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 WHEN 'P' THEN 2 END AS code, 'Order(status=' || o_orderstatus || ', key=' || o_orderkey || ', pri=''' || o_orderpriority || ''')' AS text FROM orders")
@@ -1085,9 +1151,11 @@ def default_dict(spark, d):
     return table(spark, d, "customer").select("c_custkey", records.with_default(m, F.col("c_mktsegment"), F.lower).alias("code"))
 
 
-@query("key_union", "SELECT key, count(*) AS n FROM (SELECT unnest(['name', 'abbrev']) AS key UNION SELECT unnest(['abbrev', 'size'])) GROUP BY key")
+@query("key_union", "SELECT key, count(*) AS n FROM (SELECT DISTINCT rec_id, unnest(list_concat(json_keys(doc), ['abbrev', 'size'])) AS key FROM yaml_rec WHERE json_valid(doc) AND json_type(doc) = 'OBJECT') GROUP BY key")
 def key_union(spark, d):
-    return spark.range(1).select(F.explode(F.array_union(F.array(F.lit("name"), F.lit("abbrev")), F.array(F.lit("abbrev"), F.lit("size")))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    """Keys of whole records with two more added to each set."""
+    r = table(spark, d, "yaml_rec").select("rec_id", F.json_object_keys("doc").alias("k")).filter("k IS NOT NULL")
+    return r.select(F.explode(F.array_union("k", F.array(F.lit("abbrev"), F.lit("size")))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---------------------------------------------------------------- streams
