@@ -145,7 +145,7 @@ def test_order_statistics_in_rounds(spark, monkeypatch):
     r = random.Random(2)
     df = spark.createDataFrame([(k, r.gauss(0, 1)) for k in "ab" for _ in range(3000)] + [("c", 5.0)] * 50, "k string, v double")
     want = rows(A.order_statistics(df, ["k"], "v"))
-    monkeypatch.setattr(A, "ORDER_ROWS", 3)
+    monkeypatch.setattr(A, "ORDER_ROWS", 3)  # more rows than 3 * BUCKETS / 4, too
     assert rows(A.order_statistics(df, ["k"], "v")) == want
 
 

@@ -81,14 +81,17 @@ def _ordered(src: DataFrame, ks: list[str], ranks: dict[str, tuple[int, int]], e
     held = src.filter("_x IS NOT NULL").groupBy(*ks, "_x").agg(F.count(F.lit(1)).alias("_c"))
     wanted = base.filter("_n > 0").select(*ks, F.explode(F.array(*[F.struct(F.lit(n).alias("_name"), F.floor(F.col("_n") * k / d).alias("_rank")) for n, (k, d) in ranks.items()])).alias("_r")).select(*ks, "_r.*")
     sketch, by = base.filter("_n > 0").select(*ks, "_cuts"), list(ks)
+    # where no group is large its buckets can't be, which saves looking
+    few = (base.agg(F.max("_n")).head()[0] or 0) <= ORDER_ROWS * BUCKETS // 4
     for _ in range(MAX_ROUNDS):
         cut = held.alias("h").join(sketch.alias("s"), _same("h", "s", by)).select("h.*", _bucket(F.col("s._cuts"), F.col("h._x")).alias("_b"))
         totals = cut.groupBy(*by, "_b").agg(F.sum("_c").alias("_t"), F.count(F.lit(1)).alias("_d"))
         w = Window.partitionBy(*by).orderBy("_b")  # at most BUCKETS rows a group
         totals = totals.withColumn("_hi", F.sum("_t").over(w)).withColumn("_lo", F.col("_hi") - F.col("_t"))
-        where = checkpoint(wanted.alias("r").join(totals.alias("t"), [*_same("r", "t", by), F.col("r._rank") >= F.col("t._lo"), F.col("r._rank") < F.col("t._hi")]).select(*[f"r.{k}" for k in ks], "r._name", (F.col("r._rank") - F.col("t._lo")).alias("_rank"), "t._b", "t._d"))
+        where = wanted.alias("r").join(totals.alias("t"), [*_same("r", "t", by), F.col("r._rank") >= F.col("t._lo"), F.col("r._rank") < F.col("t._hi")]).select(*[f"r.{k}" for k in ks], "r._name", (F.col("r._rank") - F.col("t._lo")).alias("_rank"), "t._b", "t._d")
+        where = where if few else checkpoint(where)
         run = cut.alias("c").join(where.alias("w"), _same("c", "w", [*by, "_b"])).select(*[f"c.{k}" for k in ks], "w._name", "c._x", "c._c", "w._rank")
-        if (where.agg(F.max("_d")).head()[0] or 0) <= ORDER_ROWS:
+        if few or (where.agg(F.max("_d")).head()[0] or 0) <= ORDER_ROWS:
             break
         by = [*ks, "_name"]
         held, wanted = checkpoint(run.select(*by, "_x", "_c")), where.select(*by, "_rank")

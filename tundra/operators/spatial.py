@@ -188,9 +188,9 @@ def winding_inside(px: np.ndarray, py: np.ndarray, rx: np.ndarray, ry: np.ndarra
     return out
 
 
-def _tree(objects: DataFrame, box: tuple[float, float, float, float] = WORLD) -> QuadTree:
+def _tree(objects: DataFrame, box: tuple[float, float, float, float] = WORLD, total: int | None = None) -> QuadTree:
     """The quadtree of a bounded sample; ``objects`` (cx, cy, second) has one row for each object to be placed."""
-    total = objects.count()
+    total = objects.count() if total is None else total
     if not total:
         return QuadTree(np.empty(0), np.empty(0), 0, np.empty(0, dtype=bool), box)
     rate = min(1.0, SAMPLE_ROWS / total)
@@ -313,11 +313,11 @@ def overlapping(queries: DataFrame, boxes: DataFrame) -> DataFrame:
     spark = queries.sparkSession
     both = queries.select("x0", "y0", "x1", "y1", F.lit(False).alias("second")).unionByName(boxes.select("x0", "y0", "x1", "y1", F.lit(True).alias("second")))
     finite = lambda c: F.when(F.abs(c) < 1e300, F.col(c))
-    low = both.agg(F.min(finite("x0")), F.min(finite("y0")), F.max(finite("x1")), F.max(finite("y1"))).head()
-    if low is None or any(v is None for v in low):
-        low = (-1.0, -1.0, 1.0, 1.0)
+    low = both.agg(F.min(finite("x0")), F.min(finite("y0")), F.max(finite("x1")), F.max(finite("y1")), F.count(F.lit(1))).head()
+    if any(v is None for v in low):
+        low = (-1.0, -1.0, 1.0, 1.0, low[4])
     box = (low[0], low[1], max(low[2] - low[0], 1e-9), max(low[3] - low[1], 1e-9))
-    tree = _tree(both.select(F.col("x0").alias("cx"), F.col("y0").alias("cy"), "second"), box)
+    tree = _tree(both.select(F.col("x0").alias("cx"), F.col("y0").alias("cy"), "second"), box, low[4])
     tree_b = spark.sparkContext.broadcast(tree)  # at most MAX_LEAVES leaves
 
     def place(df: DataFrame, second: bool) -> DataFrame:

@@ -1007,7 +1007,7 @@ def yaml_file(spark, d):
 
 @query(
     "ogr_file",
-    """WITH r AS (SELECT poly_id, sId, polygon FROM ctractpoly WHERE len(polygon) >= 3) SELECT poly_id, sId, len(polygon)::INTEGER AS n_points, round(list_min(list_transform(polygon, lambda p: p.x)), 6) AS min_x, round(list_sum(list_transform(polygon, lambda p: p.y)), 4) AS sum_y FROM r""",
+    """WITH r AS (SELECT poly_id, sId, polygon FROM ctractpoly WHERE len(polygon) >= 3) SELECT poly_id, sId, len(polygon)::INTEGER AS n_points, round(list_min(list_transform(polygon, lambda p: p.x)), 6) AS min_x, round(list_max(list_transform(polygon, lambda p: p.y)), 6) AS max_y FROM r""",
 )
 def ogr_file(spark, d):
     """Tract polygons written as shape listings and read back."""
@@ -1018,8 +1018,8 @@ def ogr_file(spark, d):
     text = F.concat(F.lit("OGRFeature(tract):"), k, F.lit("\n  ID (Integer) = "), k, F.lit("\n  GEOID (String) = "), F.coalesce("sId", F.lit("")), F.lit("\n  POLYGON (("), ring, F.lit("))\n"))
     t.select(text).write.text(path)
     a, p = F.col("attrs"), F.col("polygons")[0][0]
-    got = ogr.read_shapes(spark, path).select(a["ID"].cast("bigint").alias("poly_id"), F.nullif(a["GEOID"], F.lit("")).alias("sId"), F.size(p).alias("n_points"), F.array_min(F.transform(p, lambda q: q["x"])).alias("min_x"), F.aggregate(p, F.lit(0.0), lambda s, q: s + q["y"]).alias("sum_y"))
-    return got.select("poly_id", "sId", "n_points", F.round("min_x", 6).alias("min_x"), F.round("sum_y", 4).alias("sum_y"))
+    got = ogr.read_shapes(spark, path).select(a["ID"].cast("bigint").alias("poly_id"), F.nullif(a["GEOID"], F.lit("")).alias("sId"), F.size(p).alias("n_points"), F.array_min(F.transform(p, lambda q: q["x"])).alias("min_x"), F.array_max(F.transform(p, lambda q: q["y"])).alias("max_y"))
+    return got.select("poly_id", "sId", "n_points", F.round("min_x", 6).alias("min_x"), F.round("max_y", 6).alias("max_y"))
 
 
 @query(
