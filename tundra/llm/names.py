@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.runtime import checkpoint
+from ..plans.runtime import checkpoint, small
 
 MAX_ROUNDS = 50
 #: letters that a short form keeps, letters of the longest short form, letters from which a lone part may be mistyped
@@ -43,6 +43,8 @@ KEPT, SHORT, LONE = 3, 6, 5
 LONGEST = 64
 #: a word is general if it goes with this share of all first parts, and with this many
 GENERAL_SHARE, GENERAL_LEAST = 0.02, 20
+#: keys asked for that are broadcast at most; more are joined by a shuffle
+FEW_KEYS = 200_000
 #: members of a class that are paired in one task
 PAIR_BLOCK = 2000
 
@@ -300,9 +302,14 @@ def _offered(c: DataFrame) -> DataFrame:
 
 
 def _only(asked: DataFrame, offered: DataFrame) -> DataFrame:
-    """(cid, lo, hi) of the classes behind what a class asks for; pre-aggregated, so that any number may offer a key."""
-    behind = offered.groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"))
-    return asked.distinct().join(behind, "key").groupBy("cid").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    """(cid, lo, hi) of the classes behind what a class asks for; pre-aggregated, so that any number may offer a key.
+
+    Most of what is offered nobody asks for, so where the questions are few they go to the offers, and not the offers over the net.
+    """
+    asked = checkpoint(asked.distinct())
+    wanted = small(asked.select("key").distinct(), FEW_KEYS)
+    behind = offered.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi"))
+    return asked.join(behind, "key").groupBy("cid").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 def _joins(found: DataFrame) -> DataFrame:
