@@ -1,9 +1,11 @@
 import random
 
+import duckdb
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from tundra import queries as Q
 from tundra.operators import kvstore as K
 from tundra.operators import notes as N
 
@@ -45,6 +47,17 @@ def test_gate_and_replace_against_a_loop(spark, monkeypatch):
     assert N.fold(N.gate(df.limit(0)), ["grp", "holder"], "note_key", "num").count() == 0
 
 
+def test_lists_keep_empty_texts(spark, tmp_path):
+    ev = [("h_one", 1, 1.0, ""), ("h_two", 2, 1.0, ""), ("h_two", 3, None, ""), ("h_mixed", 5, 2.0, "a"), ("h_mixed", 4, None, ""), ("h_none", 6, 3.0, None), ("h_text", 7, None, "x"), ("h_late", None, None, "n"), ("h_late", 8, 1.0, "m")]
+    ledger = f"{tmp_path}/note_ledger.parquet"
+    spark.createDataFrame([("g", h, seq, "add", "k", num, text) for h, seq, num, text in ev], NOTE).write.parquet(ledger)
+    got = {r.holder: tuple(r) for r in Q.QUERIES["notes_lists"](spark, str(tmp_path)).collect()}
+    assert {h: r[1] for h, r in got.items()} == {"h_one": "", "h_two": ",", "h_mixed": ",a", "h_none": None, "h_text": "x", "h_late": "m,n"}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW note_ledger AS SELECT * FROM read_parquet('{ledger}/*.parquet')")
+    assert got == {r[0]: r for r in con.execute(Q.SQL["notes_lists"]).fetchall()}
+
+
 def test_report(spark):
     f = spark.createDataFrame([("h1", "name", "n1"), ("h1", "z", "1"), ("h2", "code", "c"), ("h3", "z", "3"), ("h3", "a", "4")], "holder string, note_key string, v string")
     assert N.report(f, ["holder"], "note_key", "v").columns == ["holder", "code", "name", "a", "z"]

@@ -77,13 +77,13 @@ def _joined(order: str, text: str) -> Column:
 def fold(events: DataFrame, holder: list[str], key: str, num: str, text: str | None = None, seq: str = "seq", lists: str | None = None, stats: str | None = None) -> DataFrame:
     """(holder..., key, n, total, words, items, stats): sums of numbers, texts and lists joined in seq order, accumulators merged.
 
-    ``lists`` is an array column; ``stats`` a column of ``accum.stat_val`` structs.
+    ``lists`` is an array column, those without seq come last; ``stats`` a column of ``accum.stat_val`` structs.
     """
     aggs = [F.count(F.lit(1)).alias("n"), F.sum(num).alias("total")]
     if text:
         aggs.append(_joined(seq, text).alias("words"))
     if lists:
-        aggs.append(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col(lists).isNotNull(), F.struct(seq, lists)))), lambda s: s[lists])).alias("items"))
+        aggs.append(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col(lists).isNotNull(), F.struct(F.col(seq).isNull().alias("_none"), seq, lists)))), lambda s: s[lists])).alias("items"))
     if stats:
         aggs.append(accum.merge_stat_vals(F.col(stats)).alias("stats"))
     return events.groupBy(*holder, key).agg(*aggs)

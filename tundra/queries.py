@@ -486,7 +486,7 @@ def notes_lists(spark, d):
     stat = F.struct(one.alias("sum"), F.when(one.isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias("count"), one.alias("min"), one.alias("max"))
     e = e.withColumn("one", F.when(F.col("str_val").isNotNull(), F.array("str_val"))).withColumn("stat", stat)
     f = notes.fold(e, ["holder"], "key", "num", lists="one", stats="stat")
-    return f.select("holder", F.nullif(F.array_join("items", ","), F.lit("")).alias("items"), F.round("stats.sum", 4).alias("stat_sum"), F.col("stats.count").alias("stat_count"), F.col("stats.max").alias("stat_max"))
+    return f.select("holder", F.when(F.size("items") > 0, F.array_join("items", ",")).alias("items"), F.round("stats.sum", 4).alias("stat_sum"), F.col("stats.count").alias("stat_count"), F.col("stats.max").alias("stat_max"))
 
 
 @query(
